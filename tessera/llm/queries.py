@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.llm.encode import decode_corpus, encode_corpus
+from tessera.llm.pieces import cut_oversized
 from tessera.sources.tables import table
 
 QUERIES = {}
@@ -29,3 +30,23 @@ def p7_decoded(spark, root):
 
 
 SQL["p7_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
+def profiles(spark, root, *columns):
+    """The size profiles, a fixed table of four rows of parameters."""
+    return [tuple(row) for row in table(spark, root, "size_profiles").select("profile", *columns).orderBy("profile").collect()]
+
+
+@query
+def p9_pieces(spark, root):
+    """Pieces of every document that has more than piece_tokens tokens, for each size profile."""
+    sizes = profiles(spark, root, "piece_tokens", "overlap_tokens")
+    return cut_oversized(table(spark, root, "documents"), "doc_id", "text", sizes)
+
+
+@query
+def p9_boundaries(spark, root):
+    """Pieces and tokens per profile and kind of boundary."""
+    return p9_pieces(spark, root).groupBy("profile", "boundary").agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.sum(F.col("token_end") - F.col("token_start")).alias("n_tokens")
+    )

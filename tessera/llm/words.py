@@ -38,8 +38,8 @@ def read_ranks(folder: str, name: str) -> dict[bytes, int]:
 class WordBook:
     """Distinct words seen by one worker, numbered in order of appearance; forgets everything beyond ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
+    def __init__(self, limit: int = 400_000, long_word: int = 0, piece: int = 0):
+        self.limit, self.long_word, self.piece = limit, long_word, piece
         self.clear()
 
     def clear(self) -> None:
@@ -53,7 +53,10 @@ class WordBook:
     def _cut(self, run: str) -> tuple[int, ...]:
         number, words = self.number, self.words
         found = []
-        for word in _WORD.findall(run):
+        cut = _WORD.findall(run)
+        if self.long_word and len(run) > self.long_word:
+            cut = [p for w in cut for p in ([w] if len(w) <= self.long_word else [w[k : k + self.piece] for k in range(0, len(w), self.piece)])]
+        for word in cut:
             k = number.get(word)
             if k is None:
                 k = number[word] = len(words)
@@ -73,3 +76,55 @@ class WordBook:
         except KeyError:
             parts = [known.get(run) or self._cut(run) for run in runs]
         return np.fromiter(chain.from_iterable(parts), dtype=np.int32)
+
+
+class TokenCounts:
+    """Word numbers with the number of tokens, and what problems 8 and 9 ask of a word; one per Python worker."""
+
+    #: Longer words are taken in slices of SLICE characters, whose tokens are counted one by one.
+    LONG_WORD, SLICE = 256, 64
+
+    def __init__(self, folder: str, name: str):
+        import tiktoken
+
+        self.encoding = tiktoken.Encoding(name, pat_str=WORD_PATTERN, mergeable_ranks=read_ranks(folder, name), special_tokens={})
+        self.book = WordBook(long_word=self.LONG_WORD, piece=self.SLICE)
+        self.forget()
+
+    def forget(self) -> None:
+        self.book.clear()
+        self.tokens = np.zeros(0, dtype=np.int64)
+        self.extra: dict[str, np.ndarray] = {}
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, dtype=np.int32)
+        if self.book.full():
+            self.forget()
+        return self.book.numbers(text)
+
+    def learn(self) -> None:
+        """Count the tokens of words not counted yet."""
+        new = self.book.words[len(self.tokens) :]
+        if new:
+            counts = [len(self.encoding.encode_ordinary(w)) for w in new]
+            self.tokens = np.concatenate([self.tokens, np.array(counts, dtype=np.int64)])
+
+    def per_word(self, name: str, function, dtype) -> np.ndarray:
+        """function(word) for every known word, kept under ``name``."""
+        known = self.extra.get(name, np.zeros(0, dtype=dtype))
+        new = self.book.words[len(known) :]
+        if new:
+            known = np.concatenate([known, np.array([function(w) for w in new], dtype=dtype)])
+            self.extra[name] = known
+        return known
+
+
+_COUNTS: dict[tuple[str, str], TokenCounts] = {}
+
+
+def token_counts(folder: str, name: str) -> TokenCounts:
+    """The worker's counter; kept between tasks of one Python worker."""
+    if (folder, name) not in _COUNTS:
+        _COUNTS[folder, name] = TokenCounts(folder, name)
+    return _COUNTS[folder, name]
