@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.llm.encode import decode_corpus, encode_corpus
+from tessera.llm.packing import pack
 from tessera.llm.pieces import cut_oversized
 from tessera.sources.tables import table
 
@@ -50,3 +51,19 @@ def p9_boundaries(spark, root):
     return p9_pieces(spark, root).groupBy("profile", "boundary").agg(
         F.count(F.lit(1)).alias("n_pieces"), F.sum(F.col("token_end") - F.col("token_start")).alias("n_tokens")
     )
+
+
+@query
+def p8_containers(spark, root):
+    """Every document in a container of capacity_tokens, for each size profile."""
+    return pack(table(spark, root, "documents"), "doc_id", "text", profiles(spark, root, "capacity_tokens"))
+
+
+@query
+def p8_fill(spark, root):
+    """Containers, tokens and share of the capacity used, per size profile."""
+    packed = p8_containers(spark, root).groupBy("profile").agg(
+        F.count_distinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.count_distinct("doc_id").alias("n_docs")
+    )
+    sizes = table(spark, root, "size_profiles").select("profile", "capacity_tokens")
+    return packed.join(sizes, "profile").withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
