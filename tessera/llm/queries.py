@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.llm.encode import decode_corpus, encode_corpus
 from tessera.llm.packing import pack
 from tessera.llm.pieces import cut_oversized
+from tessera.llm.quantiles import merged, percentiles, sketches
 from tessera.sources.tables import table
 
 QUERIES = {}
@@ -18,6 +19,51 @@ def query(function):
     return function
 
 
+POINTS = (0.5, 0.9, 0.95, 0.99)
+
+
+def requests(spark, root):
+    """Every request once, with the day of created_at."""
+    rows = table(spark, root, "ai_request_metrics").select(
+        "request_id", "source", "model", "repo_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"), "duration_ms", "total_tokens"
+    )
+    return rows.dropDuplicates(["request_id"])
+
+
+def _request_sketches(spark, root):
+    return merged(sketches(requests(spark, root), ["source", "model", "repo_id", "day"], ["duration_ms", "total_tokens"]))
+
+
+@query
+def p3_percentiles(spark, root):
+    """Percentiles of duration and tokens per source, model, repo and day of creation."""
+    return percentiles(_request_sketches(spark, root), POINTS)
+
+
+@query
+def p3_weeks(spark, root):
+    """Percentiles per week, combined from the sketches of its days without reading a request again."""
+    days = _request_sketches(spark, root).where(F.col("dim") == "day")
+    weeks = days.withColumns({"dim": F.lit("week"), "key": F.date_format(F.date_trunc("week", F.col("key").cast("timestamp")), "yyyy-MM-dd")})
+    return percentiles(merged(weeks), POINTS)
+
+
+@query
+def p3_exact_small_groups(spark, root):
+    """Groups of few values, for which the sketch is exact."""
+    return p3_percentiles(spark, root).where(F.col("n") < 8192).select("dim", "key", "metric", "n", "p", "value")
+
+
+SQL["p3_exact_small_groups"] = """
+    WITH r AS (SELECT DISTINCT ON (request_id) * FROM ai_request_metrics ORDER BY request_id),
+    l AS (SELECT d.dim, d.key, m.metric, m.value::DOUBLE AS value FROM r,
+            LATERAL (VALUES ('source', source), ('model', model), ('repo_id', repo_id), ('day', strftime(created_at, '%Y-%m-%d'))) AS d(dim, key),
+            LATERAL (VALUES ('duration_ms', duration_ms), ('total_tokens', total_tokens)) AS m(metric, value) WHERE m.value IS NOT NULL),
+    o AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY dim, key, metric) AS n FROM l WINDOW w AS (PARTITION BY dim, key, metric ORDER BY value))
+    SELECT dim, key, metric, n, p, value FROM o, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) AS q(p)
+    WHERE n < 8192 AND rn = greatest(1, ceil(p * n))"""
+
+
 @query
 def p7_ids(spark, root):
     """Ids of every document by byte_bpe_50k."""
