@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.llm.encode import decode_corpus, encode_corpus
+from tessera.llm.files import file_texts
 from tessera.llm.packing import pack
 from tessera.llm.pieces import cut_oversized
 from tessera.llm.quantiles import merged, percentiles, sketches
+from tessera.llm.syntax import EXTENSIONS, fault_rates, parse_faults
 from tessera.sources.tables import table
 
 QUERIES = {}
@@ -64,6 +66,31 @@ SQL["p3_exact_small_groups"] = """
     WHERE n < 8192 AND rn = greatest(1, ceil(p * n))"""
 
 
+def _parsed(spark, root):
+    # other extensions have no grammar here and are not read into files
+    known = F.substring_index("file_path", ".", -1).isin(*EXTENSIONS)
+    return parse_faults(file_texts(spark, root, "repo_id", "language", where=known))
+
+
+@query
+def p5_found(spark, root):
+    """Files whose text is no valid syntax in the language of their extension."""
+    return _parsed(spark, root).where(~F.col("valid")).select("file_id")
+
+
+@query
+def p5_rates(spark, root):
+    """Files and invalid files per repo_id and language."""
+    return fault_rates(_parsed(spark, root), "repo_id", "language")
+
+
+@query
+def p5_kinds(spark, root):
+    """Files per kind of fault and extension."""
+    extension = F.substring_index("file_path", ".", -1).alias("extension")
+    return _parsed(spark, root).where(~F.col("valid")).groupBy(extension, "fault").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 @query
 def p7_ids(spark, root):
     """Ids of every document by byte_bpe_50k."""
