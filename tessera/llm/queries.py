@@ -9,6 +9,7 @@ from tessera.llm.files import file_texts
 from tessera.llm.packing import pack
 from tessera.llm.pieces import cut_oversized
 from tessera.llm.quantiles import merged, percentiles, sketches
+from tessera.llm.similar import pairs, similar
 from tessera.llm.syntax import EXTENSIONS, fault_rates, parse_faults
 from tessera.sources.tables import table
 
@@ -21,6 +22,21 @@ def query(function):
     return function
 
 
+@query
+def p1_found(spark, root):
+    """Pairs of chunks of which at least one is among the 5 most similar to the other."""
+    found = pairs(similar(table(spark, root, "code_chunks"), "chunk_id", "embedding", k=5))
+    return found.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+@query
+def p1_neighbours(spark, root):
+    """The 5 most similar chunks of every chunk with a usable embedding."""
+    return similar(table(spark, root, "code_chunks"), "chunk_id", "embedding", k=5).select(
+        F.col("id").alias("chunk_id"), F.col("neighbour").alias("similar_id"), F.round("cosine", 4).alias("cosine")
+    )
+
+
 POINTS = (0.5, 0.9, 0.95, 0.99)
 
 
