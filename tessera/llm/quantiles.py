@@ -24,7 +24,8 @@ HELD = 4_000_000
 #: Sketches that one merging task reads at most, for partitions numbered evenly.
 MERGE_WIDTH = 64
 
-SKETCH = "dim string, key string, metric string, n long, low double, high double, bound double, levels array<int>, buffers array<array<double>>"
+GROUP = ["dim", "key", "period", "metric"]
+SKETCH = "dim string, key string, period string, metric string, n long, low double, high double, bound double, levels array<int>, buffers array<array<double>>"
 
 
 class Sketch:
@@ -107,10 +108,10 @@ class Sketch:
         return [self.low if p <= 0 else self.high if p >= 1 else float(values[order[min(int(np.searchsorted(upto, r)), len(order) - 1)]]) for p, r in zip(points, ranks, strict=True)]
 
 
-def sketches(df: DataFrame, dims: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """One sketch per (dim, key, metric) and task; ``dims`` are string columns, ``metrics`` numeric ones.
+def sketches(df: DataFrame, dims: Sequence[str], metrics: Sequence[str], period: str) -> DataFrame:
+    """One sketch per (dim, key, period, metric) and task; ``dims`` and ``period`` are string columns, ``metrics`` numeric ones.
 
-    Nulls and NaN in a metric are left out; a null key is a group of its own (null); infinities are values. Groups
+    Nulls and NaN in a metric are left out; a null key or period is a group of its own (null); infinities are values. Groups
     without values have no sketch. Repeated rows count as often as they come: drop them first.
     """
     dims, metrics = list(dims), list(metrics)
@@ -126,17 +127,19 @@ def sketches(df: DataFrame, dims: Sequence[str], metrics: Sequence[str]) -> Data
 
         for batch in batches:
             codes = [(d, batch.column(k).dictionary_encode(null_encoding="encode")) for k, d in enumerate(dims)]
+            time = batch.column(len(dims) + len(metrics)).dictionary_encode(null_encoding="encode")
+            when, periods = time.indices.to_numpy(), time.dictionary.to_pylist()
             for j, metric in enumerate(metrics):
                 values = batch.column(len(dims) + j).cast(pa.float64()).to_numpy(zero_copy_only=False)
                 good = np.flatnonzero(~np.isnan(values))
                 for dim, code in codes:
-                    index = code.indices.to_numpy()[good]
+                    index = code.indices.to_numpy()[good].astype(np.int64) * len(periods) + when[good]
                     order = np.argsort(index, kind="stable")
                     kinds, first = np.unique(index[order], return_index=True)
                     ends = [*first[1:], len(order)]
                     keys = code.dictionary.to_pylist()
                     for kind, a, b in zip(kinds, first, ends, strict=True):
-                        name = (dim, keys[kind], metric)
+                        name = (dim, keys[kind // len(periods)], periods[kind % len(periods)], metric)
                         if name not in groups:
                             groups[name] = Sketch()
                         groups[name].add(values[good[order[a:b]]])
@@ -147,12 +150,13 @@ def sketches(df: DataFrame, dims: Sequence[str], metrics: Sequence[str]) -> Data
         yield from out()
 
     columns = [F.col(d).cast("string").alias(f"d{k}") for k, d in enumerate(dims)] + [F.col(m).cast("double").alias(f"m{k}") for k, m in enumerate(metrics)]
+    columns.append(F.col(period).cast("string").alias("period"))
     return df.select(*columns).mapInArrow(run, SKETCH)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string()] * 3 + [pa.int64()] + [pa.float64()] * 3 + [pa.list_(pa.int32()), pa.list_(pa.list_(pa.float64()))]
-    names = ["dim", "key", "metric", "n", "low", "high", "bound", "levels", "buffers"]
+    kinds = [pa.string()] * 4 + [pa.int64()] + [pa.float64()] * 3 + [pa.list_(pa.int32()), pa.list_(pa.list_(pa.float64()))]
+    names = [*GROUP, "n", "low", "high", "bound", "levels", "buffers"]
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
@@ -166,33 +170,33 @@ def _merge(frame: pd.DataFrame) -> Sketch:
 
 
 def merged(parts: DataFrame, width: int = MERGE_WIDTH) -> DataFrame:
-    """One sketch per (dim, key, metric) from any number of sketches of each, ``width`` at a time where there are many."""
+    """One sketch per (dim, key, period, metric) from any number of sketches of each, ``width`` at a time where there are many."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         head = frame.iloc[0]
         names = ["n", "low", "high", "bound", "levels", "buffers"]
         row = dict(zip(names, _merge(frame).row(), strict=True))
-        return pd.DataFrame([{"dim": head["dim"], "key": head["key"], "metric": head["metric"], **row}])
+        return pd.DataFrame([{**{g: head[g] for g in GROUP}, **row}])
 
     tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while tasks > width:
         tasks = -(-tasks // width)
         salted = parts.withColumn("salt", F.spark_partition_id() % tasks)
-        parts = salted.groupBy("dim", "key", "metric", "salt").applyInPandas(lambda f: run(f), SKETCH)
-    return parts.groupBy("dim", "key", "metric").applyInPandas(run, SKETCH)
+        parts = salted.groupBy(*GROUP, "salt").applyInPandas(lambda f: run(f), SKETCH)
+    return parts.groupBy(*GROUP).applyInPandas(run, SKETCH)
 
 
 def percentiles(sketched: DataFrame, points: Sequence[float]) -> DataFrame:
-    """(dim, key, metric, n, p, value, rank_error) from one sketch per group; rank_error is a proven bound as a share of n."""
+    """(dim, key, period, metric, n, p, value, rank_error) from one sketch per group; rank_error is a proven bound as a share of n."""
     points = [float(p) for p in points]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for dim, key, metric, *state in frame.itertuples(index=False, name=None):
+            for dim, key, period, metric, *state in frame.itertuples(index=False, name=None):
                 sketch = Sketch.of(*state)
                 for p, value in zip(points, sketch.at(points), strict=True):
-                    rows.append((dim, key, metric, sketch.n, p, value, sketch.bound / sketch.n))
-            yield pd.DataFrame(rows, columns=["dim", "key", "metric", "n", "p", "value", "rank_error"])
+                    rows.append((dim, key, period, metric, sketch.n, p, value, sketch.bound / sketch.n))
+            yield pd.DataFrame(rows, columns=[*GROUP, "n", "p", "value", "rank_error"])
 
-    return sketched.mapInPandas(run, "dim string, key string, metric string, n long, p double, value double, rank_error double")
+    return sketched.mapInPandas(run, "dim string, key string, period string, metric string, n long, p double, value double, rank_error double")

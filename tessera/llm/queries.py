@@ -48,37 +48,49 @@ def requests(spark, root):
     return rows.dropDuplicates(["request_id"])
 
 
-def _request_sketches(spark, root):
-    return merged(sketches(requests(spark, root), ["source", "model", "repo_id", "day"], ["duration_ms", "total_tokens"]))
+def _daily(spark, root):
+    """Sketches per source, model, repo and over all of them, for each day of creation."""
+    rows = requests(spark, root).withColumn("all", F.lit("all"))
+    return merged(sketches(rows, ["source", "model", "repo_id", "all"], ["duration_ms", "total_tokens"], "day"))
+
+
+def _over(sketched, period):
+    """Sketches of longer periods from those of days."""
+    return merged(sketched.withColumn("period", period))
+
+
+@query
+def p3_days(spark, root):
+    """Percentiles of duration and tokens per day of creation: by source, model and repo, and over all."""
+    return percentiles(_daily(spark, root), POINTS)
 
 
 @query
 def p3_percentiles(spark, root):
-    """Percentiles of duration and tokens per source, model, repo and day of creation."""
-    return percentiles(_request_sketches(spark, root), POINTS)
+    """Percentiles per source, model and repo over all days, combined from the sketches of the days."""
+    return percentiles(_over(_daily(spark, root), F.lit("all")), POINTS)
 
 
 @query
 def p3_weeks(spark, root):
-    """Percentiles per week, combined from the sketches of its days without reading a request again."""
-    days = _request_sketches(spark, root).where(F.col("dim") == "day")
-    weeks = days.withColumns({"dim": F.lit("week"), "key": F.date_format(F.date_trunc("week", F.col("key").cast("timestamp")), "yyyy-MM-dd")})
-    return percentiles(merged(weeks), POINTS)
+    """Percentiles per week, combined from the sketches of its days."""
+    week = F.date_format(F.date_trunc("week", F.col("period").cast("timestamp")), "yyyy-MM-dd")
+    return percentiles(_over(_daily(spark, root).where(F.col("dim") != "repo_id"), week), POINTS)
 
 
 @query
 def p3_exact_small_groups(spark, root):
-    """Groups of few values, for which the sketch is exact."""
-    return p3_percentiles(spark, root).where(F.col("n") < 8192).select("dim", "key", "metric", "n", "p", "value")
+    """Days with few values, for which the sketch is exact."""
+    return p3_days(spark, root).where(F.col("n") < 8192).select("dim", "key", "period", "metric", "n", "p", "value")
 
 
 SQL["p3_exact_small_groups"] = """
     WITH r AS (SELECT DISTINCT ON (request_id) * FROM ai_request_metrics ORDER BY request_id),
-    l AS (SELECT d.dim, d.key, m.metric, m.value::DOUBLE AS value FROM r,
-            LATERAL (VALUES ('source', source), ('model', model), ('repo_id', repo_id), ('day', strftime(created_at, '%Y-%m-%d'))) AS d(dim, key),
+    l AS (SELECT d.dim, d.key, strftime(created_at, '%Y-%m-%d') AS period, m.metric, m.value::DOUBLE AS value FROM r,
+            LATERAL (VALUES ('source', source), ('model', model), ('repo_id', repo_id), ('all', 'all')) AS d(dim, key),
             LATERAL (VALUES ('duration_ms', duration_ms), ('total_tokens', total_tokens)) AS m(metric, value) WHERE m.value IS NOT NULL),
-    o AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY dim, key, metric) AS n FROM l WINDOW w AS (PARTITION BY dim, key, metric ORDER BY value))
-    SELECT dim, key, metric, n, p, value FROM o, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) AS q(p)
+    o AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY dim, key, period, metric) AS n FROM l WINDOW w AS (PARTITION BY dim, key, period, metric ORDER BY value))
+    SELECT dim, key, period, metric, n, p, value FROM o, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) AS q(p)
     WHERE n < 8192 AND rn = greatest(1, ceil(p * n))"""
 
 
