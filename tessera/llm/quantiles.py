@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,49 +153,76 @@ def sketches(df: DataFrame, dims: Sequence[str], metrics: Sequence[str], period:
     return df.select(*columns).mapInArrow(run, SKETCH)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string()] * 4 + [pa.int64()] + [pa.float64()] * 3 + [pa.list_(pa.int32()), pa.list_(pa.list_(pa.float64()))]
-    names = [*GROUP, "n", "low", "high", "bound", "levels", "buffers"]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+_STATE = ["n", "low", "high", "bound", "levels", "buffers"]
 
 
-def _merge(frame: pd.DataFrame) -> Sketch:
-    total = Sketch()
-    state = frame[["n", "low", "high", "bound", "levels", "buffers"]]
-    # in a fixed order, so that a rerun of a lost task gives the same sketch
-    for row in sorted(state.itertuples(index=False, name=None), key=lambda r: (r[0], r[1], r[2], r[3], float(np.sum(r[5][0])) if len(r[5]) else 0.0)):
-        total.merge(Sketch.of(*row))
-    return total
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Sketch rows (group..., state...) as one batch."""
+    columns = list(zip(*rows, strict=True))
+    inner = [b for buffers in columns[-1] for b in buffers]
+    ends = lambda parts: np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    values = pa.array(np.concatenate(inner) if inner else np.zeros(0))
+    buffers = pa.ListArray.from_arrays(ends(columns[-1]), pa.ListArray.from_arrays(ends(inner), values))
+    kinds = [pa.string()] * len(GROUP) + [pa.int64()] + [pa.float64()] * 3 + [pa.list_(pa.int32())]
+    return pa.record_batch([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=False)), buffers], names=[*GROUP, *_STATE])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Sketch]]:
+    """(group, sketch) of each row."""
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*GROUP, *_STATE[:-1]]]
+        outer = batch.column(batch.schema.get_field_index("buffers"))
+        ends, lists = outer.offsets.to_numpy(), outer.values
+        cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        for k, row in enumerate(zip(*columns, strict=True)):
+            buffers = [values[cuts[j] : cuts[j + 1]] for j in range(ends[k], ends[k + 1])]
+            yield row[: len(GROUP)], Sketch.of(*row[len(GROUP) :], buffers)
 
 
 def merged(parts: DataFrame, width: int = MERGE_WIDTH) -> DataFrame:
-    """One sketch per (dim, key, period, metric) from any number of sketches of each, ``width`` at a time where there are many."""
+    """One sketch per group from any number of sketches of each, about ``width`` at a time where there are many.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        head = frame.iloc[0]
-        names = ["n", "low", "high", "bound", "levels", "buffers"]
-        row = dict(zip(names, _merge(frame).row(), strict=True))
-        return pd.DataFrame([{**{g: head[g] for g in GROUP}, **row}])
+    Rows of a group come one after another and in a fixed order, so that a task holds one sketch at a time and a rerun
+    gives the same result.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, total, done = None, None, []
+        for group, sketch in _rows(batches):
+            if total is None or group != name:
+                if total is not None:
+                    done.append((*name, *total.row()))
+                    if len(done) >= 1000:
+                        yield _batch(done)
+                        done = []
+                name, total = group, Sketch()
+            total.merge(sketch)
+        if total is not None:
+            done.append((*name, *total.row()))
+            yield _batch(done)
+
+    fixed = ["n", "low", "high", "bound", "levels", "buffers"]
     tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while tasks > width:
         tasks = -(-tasks // width)
         salted = parts.withColumn("salt", F.spark_partition_id() % tasks)
-        parts = salted.groupBy(*GROUP, "salt").applyInPandas(lambda f: run(f), SKETCH)
-    return parts.groupBy(*GROUP).applyInPandas(run, SKETCH)
+        parts = salted.repartition(*GROUP, "salt").sortWithinPartitions("salt", *GROUP, *fixed).drop("salt").mapInArrow(run, SKETCH)
+    return parts.repartition(*GROUP).sortWithinPartitions(*GROUP, *fixed).mapInArrow(run, SKETCH)
 
 
 def percentiles(sketched: DataFrame, points: Sequence[float]) -> DataFrame:
     """(dim, key, period, metric, n, p, value, rank_error) from one sketch per group; rank_error is a proven bound as a share of n."""
     points = [float(p) for p in points]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for dim, key, period, metric, *state in frame.itertuples(index=False, name=None):
-                sketch = Sketch.of(*state)
-                for p, value in zip(points, sketch.at(points), strict=True):
-                    rows.append((dim, key, period, metric, sketch.n, p, value, sketch.bound / sketch.n))
-            yield pd.DataFrame(rows, columns=[*GROUP, "n", "p", "value", "rank_error"])
-
-    return sketched.mapInPandas(run, "dim string, key string, period string, metric string, n long, p double, value double, rank_error double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (*group, sketch.n, p, value, sketch.bound / sketch.n)
+                for group, sketch in _rows(iter([batch]))
+                for p, value in zip(points, sketch.at(points), strict=True)
+            ]
+            if rows:
+                kinds = [pa.string()] * len(GROUP) + [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*GROUP, "n", "p", "value", "rank_error"])
+
+    return sketched.mapInArrow(run, "dim string, key string, period string, metric string, n long, p double, value double, rank_error double")
