@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.encode import decode_corpus, encode_corpus
 from tessera.llm.files import file_texts
+from tessera.llm.handwritten import scored
 from tessera.llm.packing import pack
 from tessera.llm.pieces import cut_oversized
 from tessera.llm.quantiles import merged, percentiles, sketches
@@ -37,6 +38,22 @@ def p1_neighbours(spark, root):
     )
 
 
+@query
+def p2_found(spark, root):
+    """Files that nobody wrote by hand."""
+    files, _ = scored(file_texts(spark, root, "repo_id"))
+    return files.where("score > 0").select("file_id")
+
+
+@query
+def p2_remaining(spark, root):
+    """Hand-written files and files left out, per directory name right above the file."""
+    files, _ = scored(file_texts(spark, root, "repo_id"))
+    directory = F.element_at(F.split("file_path", "/"), -2).alias("directory")
+    wide = files.where(F.contains("file_path", F.lit("/")))
+    return wide.groupBy(directory).agg(F.count_if(F.col("score") <= 0).alias("n_written"), F.count_if(F.col("score") > 0).alias("n_left_out"))
+
+
 POINTS = (0.5, 0.9, 0.95, 0.99)
 
 
