@@ -47,42 +47,46 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def usable(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
-    """One row per key whose vector has ``width`` finite values that are not all zero."""
+    """(id, vec): one row per key whose vector has ``width`` finite values that are not all zero, as fixed-point numbers."""
+
+    def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x = np.rint(x / np.linalg.norm(x, axis=1, keepdims=True) * SCALE).astype(np.int16)
+                yield pa.record_batch([batch.column(0), _binary(x)], names=["id", "vec"])
+
     v = F.col(vector)
     good = F.col(key).isNotNull() & (F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.where(good).select(F.col(key).cast("string").alias("id"), v.cast("array<double>").alias("vector")).dropDuplicates(["id"])
+    rows = df.where(good).select(F.col(key).cast("string").alias("id"), v.alias("vector"))
+    return rows.mapInArrow(quantise, "id string, vec binary").dropDuplicates(["id"])
 
 
-def distinct_vectors(rows: DataFrame, width: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): exact copies as one class (rep, vec, size, heads: the k + 1 least ids), and (id, vec) of all rows."""
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """Exact copies as one class: (rep, vec, size, heads), heads being the k + 1 least ids and rep the least."""
 
-    def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # only the k + 1 least ids that a batch has of a vector can be among its heads, which bounds what is gathered
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = np.rint(x / np.linalg.norm(x, axis=1, keepdims=True) * SCALE).astype(np.int16)
-            # within the batch, the k + 1 least ids of each vector may be among its heads
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            order = np.argsort(ids, kind="stable")
-            _, kind = np.unique(np.ascontiguousarray(x[order]).view(f"V{2 * width}").ravel(), return_inverse=True)
-            by_kind = np.argsort(kind, kind="stable")
-            place = np.arange(len(kind)) - np.searchsorted(kind[by_kind], kind[by_kind])
-            early = np.zeros(len(kind), dtype=bool)
-            early[order[by_kind]] = place <= k
-            yield pa.record_batch([batch.column(0), _binary(x), pa.array(early)], names=["id", "vec", "early"])
-
-    members = rows.mapInArrow(quantise, "id string, vec binary, early boolean")
+            ids, vecs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            seen: dict[bytes, int] = {}
+            early = [False] * len(ids)
+            for i in sorted(range(len(ids)), key=ids.__getitem__):
+                seen[vecs[i]] = seen.get(vecs[i], 0) + 1
+                early[i] = seen[vecs[i]] <= k + 1
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(early, pa.bool_())], names=["id", "vec", "early"])
+
+    marked = rows.mapInArrow(mark, "id string, vec binary, early boolean")
     heads = F.slice(F.array_sort(F.collect_list(F.when(F.col("early"), F.col("id")))), 1, k + 1)
-    classes = members.groupBy("vec").agg(F.count(F.lit(1)).alias("size"), heads.alias("heads"))
-    return classes.select(F.col("heads")[0].alias("rep"), "vec", "size", "heads"), members.select("id", "vec")
+    classes = marked.groupBy("vec").agg(F.count(F.lit(1)).alias("size"), heads.alias("heads"))
+    return classes.select(F.col("heads")[0].alias("rep"), "vec", "size", "heads")
 
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The numbers of the ORDER nearest pivots of each vector, nearest first."""
     depth = min(ORDER, len(pivots))
-    out = np.empty((len(vectors), depth), dtype=np.int16 if len(pivots) < 2**15 else np.int32)
+    out = np.empty((len(vectors), depth), dtype=np.int16)
     for a in range(0, len(vectors), 1024):
         near = vectors[a : a + 1024] @ pivots.T
         top = np.argpartition(-near, depth - 1, axis=1)[:, :depth]
@@ -113,8 +117,8 @@ def similar(df: DataFrame, key: str, vector: str, k: int = 5, width: int = 64) -
     come out as strings. Recall is measured against brute force in the tests.
     """
     spark = df.sparkSession
-    classes, members = distinct_vectors(usable(df, key, vector, width), width, k)
-    classes = cut(classes)
+    members = usable(df, key, vector, width)
+    classes = cut(distinct_vectors(members, k))
     number = classes.count()
     pivots_wanted = min(MOST_PIVOTS, max(16, math.ceil(number / VECTORS_PER_PIVOT)))
     # a bounded sample: the pivots, and three times as many vectors to foresee the lengths of the files
@@ -137,7 +141,7 @@ def similar(df: DataFrame, key: str, vector: str, k: int = 5, width: int = 64) -
             order = nearest_pivots(_floats(batch.column(1), width), pivots)
             row = np.repeat(np.arange(batch.num_rows), min(INDEXED, order.shape[1]))
             place = np.tile(np.arange(min(INDEXED, order.shape[1])), batch.num_rows)
-            pivot = order[row, place]
+            pivot = order[row, place].astype(np.int64)
             # a posting lies in one part of its file, a query visits all of them
             asks = place < ASKED
             copies = np.where(asks, parts[pivot], 1)
@@ -152,7 +156,7 @@ def similar(df: DataFrame, key: str, vector: str, k: int = 5, width: int = 64) -
                     pa.array(cell.astype(np.int32)),
                     batch.column(0).take(take),
                     batch.column(1).take(take),
-                    _binary(order.astype(np.int32)).take(take),
+                    _binary(order).take(take),
                     batch.column(2).take(take),
                     pa.array(is_posting),
                     pa.array(asks),
@@ -163,7 +167,7 @@ def similar(df: DataFrame, key: str, vector: str, k: int = 5, width: int = 64) -
     def search(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("rep")
         vectors = _floats(group["vec"], width)
-        order = np.frombuffer(b"".join(group["pivots"].to_pylist()), dtype=np.int32).reshape(len(vectors), -1)
+        order = np.frombuffer(b"".join(group["pivots"].to_pylist()), dtype=np.int16).reshape(len(vectors), -1)
         posting = np.flatnonzero(group["posting"].to_numpy())
         asks = np.flatnonzero(group["asks"].to_numpy())
         ids, copies = group["rep"].combine_chunks(), group["copies"].to_numpy()
@@ -194,7 +198,8 @@ def similar(df: DataFrame, key: str, vector: str, k: int = 5, width: int = 64) -
     posts = classes.select("rep", "vec", "size").mapInArrow(post, "cell int, rep string, vec binary, pivots binary, copies long, posting boolean, asks boolean")
     found = posts.groupBy("cell").applyInArrow(search, f"rep string, many boolean, near {near_type}")
     best = found.groupBy("rep", "many").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
-    return _members(best, classes, members, k)
+    # read three times below; the search runs once
+    return _members(cut(best), classes, members, k)
 
 
 def _members(best: DataFrame, classes: DataFrame, members: DataFrame, k: int) -> DataFrame:
