@@ -35,11 +35,11 @@ DOUBTFUL, SURE = -0.7, 0.2
 
 # What tools and licences write into a file's head, directories and names that say where a file comes from.
 _HEAD = re.compile(
-    r"(?i)generated by|code generated|@generated|auto-?generated|autogenerated|automatically generated|generated with|do not edit|not modify by hand"
+    r"(?i)generated by|code generated|@generated|auto-?generated|autogenerated|automatically generated|generated with|not modify by hand"
     r"|manual edits|changes will be lost|vendored copy|copied from \S+ \(release|- upstream:|spdx-license|@license|the \S+ contributors|redistribution and use"
 )
 _DIRS = frozenset("node_modules vendor third_party thirdparty site-packages bower_components __generated__ autogen generated-sources gen deps external".split())
-_NAMES = re.compile(r"(?i)\.min\.m?js$|[._-]lock\.(json|yaml|toml)$|-lock\.|\.lock$|_pb2\.\w+$|\.pb\.\w+$|\.g\.\w+$|\.generated\.\w+$|^[\w-]+\.[0-9a-f]{8}\.js$")
+_NAMES = re.compile(r"(?i)\.min\.m?js$|[._-]lock\.(json|yaml|toml)$|-lock\.|\.lock$|^npm-shrinkwrap\.json$|^go\.sum$|_pb2\.\w+$|\.pb\.\w+$|\.g\.\w+$|\.generated\.\w+$|^[\w-]+\.[0-9a-f]{8}\.js$")
 _COMMENT = re.compile(r"\s*(?://|#|/\*|\*|<!--|--|\"\"\")")
 _LITERAL = re.compile(r"(?:[-+]?(?:0x[0-9a-fA-F]+|\d[\d.eE+-]*)|\"[^\"\n]*\"|'[^'\n]*')(?:\s*:\s*(?:\"[^\"\n]*\"|[-\d.]+))?\s*,\s*")
 
@@ -84,7 +84,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
     counts = np.bincount(np.concatenate(found), minlength=GRAM_BUCKETS)
     buckets = np.flatnonzero(counts)
-    values = np.log1p(counts[buckets]).astype(np.float32)
+    values = np.sqrt(counts[buckets]).astype(np.float32)
     return buckets, values / np.linalg.norm(values)
 
 
@@ -104,7 +104,7 @@ def components(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     parts += ["head"] * any(_COMMENT.match(line) and _HEAD.search(line) for line in text.split("\n", 12)[:12])
     buckets = np.array(sorted({_bucket(p) for p in parts}), dtype=np.int64)
     values = np.full(len(buckets), 0.25, dtype=np.float32)
-    values[buckets == _bucket("head")] = 1.0
+    values[buckets == _bucket("head")] = 4.0
     return buckets, values
 
 
