@@ -1,0 +1,369 @@
+"""Credentials in source code and configuration (problem 4).
+
+Method: a linear-chain conditional random field labels the lexical tokens of a line as outside, beginning or inside of
+a secret, from the shape of a token and its literal and from the words around it; Viterbi decoding gives the exact
+characters to redact. It is trained here on a bounded sample of chunks that keyword and format rules label; the field
+also finds what no single rule names, since shape and context weigh together.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+FEATURES = 1 << 16
+#: Chunks of the training sample, about; drawn by a hash of the chunk's id.
+SAMPLE_CHUNKS = 12_000
+EPOCHS, BATCH, RATE, DECAY = 14, 128, 0.3, 1e-6
+OUTSIDE, BEGIN, INSIDE = 0, 1, 2
+MARK = "[REDACTED]"
+
+_TOKEN = re.compile(r"[A-Za-z0-9_\-!#*%.+$~^]+|\s+|.")
+#: A secret's line has a credential's word or sign, or a run of ten characters with a digit; other lines are outside throughout.
+_SIGNS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "basic ", "dsn", "conn", "jwt", "sig=", "@")
+_RUN = re.compile(r"(?<![^\s\"'`(),;=>])(?=[^\s\"'`(),;=>]{0,60}\d)[^\s\"'`(),;>]{10,}")
+_LITERAL = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|`([^`]*)`|>([^<>]+)</|(?:[=:]|\b(?:is|ENV|ARG))\s*((?:(?:Bearer|Basic)\s+)?[^\s\"'`,;(){}\[\]<>][^\s\"'`,;<>]*)|(-----BEGIN [A-Z ]+-----)")
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_NAMES = re.compile(r"[A-Za-z_$][\w.$-]*")
+
+# Words of names that hold credentials, and last words that say the value is none.
+_HOLDS = frozenset("password passwd pass pwd passphrase secret token apikey credential credentials jwt auth authorization header bearer dsn conn".split())
+_KEYS = frozenset("api access secret private deploy pay license signing encryption master service auth account storage app client".split())
+_NOT = frozenset("hash digest sha checksum etag help field type url uri name id uuid public verify revision commit length size count path file label hint policy count2 thumb icon".split())
+_FORMATS = re.compile(
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{30,}$|xox[abeprs]-[\w-]{10,}$|AIza[\w-]{30,}$|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}$"
+    r"|eyJ[\w-]{8,}\.[\w-]+\.[\w-]+$|glpat-[\w-]{16,}$|npm_[A-Za-z0-9]{30,}$|SG\.[\w.-]{30,}$|[a-z]{2,6}[-_](?:[a-z]{2,5}_)?[A-Za-z0-9]{28,}$"
+)
+_PLACEHOLDER = re.compile(
+    r"(?i)^[<%{\[$(]|&lt;|\$\{|\{\{|%[a-z_]+%|x{4,}|\*{3,}|\.{3,}|change.?me|replace|insert|your[_-]|example$|redacted|dummy|placeholder|_here$|-here$|^todo|process\.env|os\.environ|getenv|^(?:none|null|true|false|undefined)$"
+)
+_URL_PASSWORD = re.compile(r"[a-z][\w+.-]*://[^\s:@/]*:([^\s@/]+)@")
+_QUERY = re.compile(r"[?&](?:api_?key|access_?token|token|sig(?:nature)?|secret|password|auth|key)=([^&\s\"'<>]{12,})", re.I)
+_SCHEME = re.compile(r"\b(?:Bearer|Basic)\s+([A-Za-z0-9+/=_.~-]{4,})")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+_PEM_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+_HEX = re.compile(r"[0-9a-f]+$|[0-9A-F]+$")
+_UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
+_PASSWORD = re.compile(r"[A-Z]?[a-z]{3,}[-_!#*%.$^~][A-Za-z]{3,}\d+[-_!#*%.$^~]?$")
+
+
+def gate(line: str) -> bool:
+    """Whether a line can hold a secret at all."""
+    low = line.lower()
+    return any(sign in low for sign in _SIGNS) or len(line) >= 10 and _RUN.search(line) is not None
+
+
+def name_words(name: str) -> list[str]:
+    """Words of an identifier, in lower case."""
+    return [w.lower() for w in _WORDS.findall(name)]
+
+
+def _mixed(value: str) -> int:
+    """Kinds of characters: lower, upper, digits, others."""
+    return (value != value.upper()) + (value != value.lower()) + any(map(str.isdigit, value)) + (not value.isalnum())
+
+
+def _names_secret(words: list[str]) -> bool:
+    while words and words[-1].isdigit():
+        words = words[:-1]
+    if not words or words[-1] in _NOT or "public" in words or "verify" in words:
+        return False
+    return any(w in _HOLDS for w in words[-2:]) or words[-1] == "key" and any(w in _KEYS for w in words) or words[-1] in ("apikey", "accesskey")
+
+
+def rule_spans(line: str) -> list[tuple[int, int]]:
+    """What the labelling rules take for secrets in a line; trains the field, never answers for it."""
+    found: list[tuple[int, int]] = [m.span() for m in _PEM.finditer(line)]
+    for pattern in (_URL_PASSWORD, _QUERY, _SCHEME):
+        found += [m.span(1) for m in pattern.finditer(line) if not _PLACEHOLDER.search(m.group(1))]
+    many = len(line) > 60 and line.count('",') + line.count("',") > 2
+    for m in _LITERAL.finditer(line):
+        at, end = m.span(m.lastindex)
+        value = line[at:end]
+        if _PLACEHOLDER.search(value) or len(value) < 4 or any(a < end and at < b for a, b in found):
+            continue
+        # a literal cut in two counts as a whole
+        whole = value
+        joined = re.match(r"[\"'`]\s*\+\s*[\"'`]([^\"'`]*)", line[end:])
+        if joined:
+            whole += joined.group(1)
+        elif len(value) < 8:
+            continue
+        if _FORMATS.match(whole):
+            found.append((at, end))
+            continue
+        before = _NAMES.findall(line[: at - (m.lastindex < 4)])
+        if " " in whole or "://" in whole or whole.startswith(("ssh-", "sha", "data:", "$2")) or _UUID.match(whole):
+            continue
+        named = bool(before) and _names_secret(name_words(before[-1] if before[-1] not in ("value", "is", "old") else (before[-2:] or [""])[0]))
+        kinds = _mixed(whole)
+        if named and (kinds >= 3 or kinds == 2 and any(map(str.isdigit, whole)) and len(whole) >= 12 or _HEX.match(whole) and len(whole) >= 20):
+            found.append((at, end))
+        elif re.search(r"(?:==|equals\(|!=)\s*[\"'`]?$", line[:at]) and not many:
+            if _PASSWORD.match(whole) or kinds >= 3 and len(whole) >= 24 and not _HEX.match(whole):
+                found.append((at, end))
+    return found
+
+
+def _shape(token: str) -> str:
+    size = len(token)
+    letters = sum(map(str.isalpha, token))
+    digits = sum(map(str.isdigit, token))
+    step = size if size < 8 or size in (16, 20, 32, 40, 64, 128) else 8 + size // 6 * 100
+    changes = sum(a.isdigit() != b.isdigit() or a.islower() != b.islower() for a, b in zip(token, token[1:], strict=False))
+    return f"{step}/{_mixed(token)}/{letters * 4 // size}{digits * 4 // size}/{min(9, changes * 10 // size)}/{'h' if _HEX.match(token) else ''}"
+
+
+_OUT = [zlib.crc32(b"outside") % FEATURES]
+
+
+def line_tokens(line: str) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """Spans of a line's tokens, white space left out, and the numbers of the features of each.
+
+    Tokens outside of literals have one feature only; a line without literals has no tokens.
+    """
+    # the literal that a token is in: its span, and the words of the name before it
+    literals = []
+    for m in _LITERAL.finditer(line):
+        at, end = m.span(m.lastindex)
+        names = _NAMES.findall(line[: max(0, at - (m.lastindex < 4))])
+        name = names[-1] if names else ""
+        if name in ("value", "is", "old", "H", "key") and len(names) > 1 and name != "key":
+            name = names[-2]
+        literals.append((at, end, name_words(name), line[at:end]))
+    if not literals:
+        return [], []
+    spans = [m.span() for m in _TOKEN.finditer(line) if not line[m.start()].isspace()]
+    texts = [line[a:b] for a, b in spans]
+    rows, k = [], 0
+    listed = min(4, line.count('",') + line.count("',"))
+    for i, ((a, b), text) in enumerate(zip(spans, texts, strict=True)):
+        while k < len(literals) and literals[k][1] <= a:
+            k += 1
+        inside = k < len(literals) and literals[k][0] <= a
+        if not inside:
+            rows.append(_OUT)
+            continue
+        shape = _shape(text)
+        one, two = (texts[i - 1] if i else "^"), (texts[i - 2] if i > 1 else "^")
+        after = texts[i + 1] if i + 1 < len(texts) else "$"
+        f = [f"s{shape}", f"n{len(text)}", f"p{one[:12]}", f"a{after[:12]}", f"pp{two[:12]}|{one[:12]}", f"pa{one[:3]}|{after[:3]}"]
+        f.append(f"t{text[:4]}{len(text) > 4}")
+        if _PLACEHOLDER.search(text):
+            f.append("hold")
+        if _FORMATS.match(text):
+            f.append("form")
+        if _PASSWORD.match(text):
+            f.append(f"pw{one in '\"`' or one == chr(39)}")
+        if len(text) == 1:
+            f.append(f"c{text}|{one[:3]}|{after[:3]}")
+        else:
+            f.append(f"ps{one[-1]}|{shape}")
+        at, end, words, value = literals[k]
+        if value:
+            head = a == at
+            last = [w for w in words if not w.isdigit()][-2:]
+            secret = _names_secret(words)
+            kinds, whole = _mixed(value), _shape(value)
+            url, spaced, hold = "://" in value, " " in value, bool(_PLACEHOLDER.search(value))
+            special = value[:4] if value[:4] in ("ssh-", "sha2", "sha5", "data", "$2b$", "http") else "uuid" if _UUID.match(value) else ""
+            f += [f"k{w}" for w in last] + [f"kl{(last or [''])[-1]}|{head}", f"ks{secret}|{kinds}|{head}|{len(text) > 1}", f"ls{whole}", f"lh{head}|{whole}"]
+            f += [f"lx{secret}|{hold}|{url}|{spaced}|{special}|{head}", f"lq{secret}|{kinds}|{min(24, len(value)) // 4}|{hold}|{special}", f"sp{special}", f"lf{bool(_FORMATS.match(value))}|{head}"]
+            if url:
+                place = value[: a - at]
+                f += [f"ur{'://' in place}|{place.count(':')}|{'@' in value[b - at :]}|{'?' in place}|{text in ':@/?&='}", f"uq{one}|{two[:14]}|{len(text) > 11}"]
+            if special == "" and not secret:
+                f.append(f"eq{line[max(0, at - 5) : at - 1].strip()[-2:]}|{kinds}|{whole}|{listed}")
+        f.append(f"pem{'PRIVATE' in line and '-----BEGIN' in line}|{text[:6]}")
+        rows.append([zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in f])
+    return spans, rows
+
+
+def _labels(spans: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> list[int]:
+    out = []
+    for a, b in spans:
+        hit = next((s for s in secrets if s[0] < b and a < s[1]), None)
+        out.append(OUTSIDE if hit is None else BEGIN if a <= hit[0] else INSIDE)
+    return out
+
+
+@dataclass
+class ChainField:
+    """weights: features x 3 labels; moves: 3 x 3 transitions, start: 3."""
+
+    weights: np.ndarray
+    moves: np.ndarray
+    start: np.ndarray
+
+    def scores(self, rows: list[list[int]]) -> np.ndarray:
+        sizes = [len(r) for r in rows]
+        flat = np.fromiter((x for r in rows for x in r), dtype=np.int64, count=sum(sizes))
+        return np.add.reduceat(self.weights[flat], np.cumsum([0, *sizes[:-1]]), axis=0)
+
+    def decode(self, rows: list[list[int]]) -> list[int]:
+        """The most probable labels of a line (Viterbi)."""
+        emit = self.scores(rows).tolist()
+        moves, start = self.moves.tolist(), self.start.tolist()
+        best = [start[y] + emit[0][y] for y in range(3)]
+        back = []
+        for e in emit[1:]:
+            prev = [max(range(3), key=lambda p, y=y: best[p] + moves[p][y]) for y in range(3)]
+            best = [best[prev[y]] + moves[prev[y]][y] + e[y] for y in range(3)]
+            back.append(prev)
+        path = [max(range(3), key=best.__getitem__)]
+        for prev in reversed(back):
+            path.append(prev[path[-1]])
+        return path[::-1]
+
+
+def fit_field(lines: list[tuple[list[list[int]], list[int]]], seed: int = 3) -> ChainField:
+    """Maximum likelihood with L2 decay, by Adagrad on mini-batches; forward and backward sums run over whole batches."""
+    weights, moves, start = np.zeros((FEATURES, 3)), np.zeros((3, 3)), np.zeros(3)
+    moves[OUTSIDE, INSIDE] = start[INSIDE] = -8.0
+    sum_w, sum_m, sum_s = np.full((FEATURES, 3), 1e-2), np.full((3, 3), 1e-2), np.full(3, 1e-2)
+    random = np.random.default_rng(seed)
+    lines = sorted(lines, key=lambda x: len(x[1]))
+    batches = [lines[k : k + BATCH] for k in range(0, len(lines), BATCH)]
+    packed = []
+    for batch in batches:
+        size, longest = len(batch), len(batch[-1][1])
+        feats = np.fromiter((x for rows, _ in batch for r in rows for x in r), dtype=np.int64)
+        cell = np.repeat([i * longest + j for i, (rows, _) in enumerate(batch) for j in range(len(rows))], [len(r) for rows, _ in batch for r in rows])
+        truth = np.full((size, longest), -1)
+        for i, (_, labels) in enumerate(batch):
+            truth[i, : len(labels)] = labels
+        packed.append((size, longest, feats, cell, truth))
+    log_sum = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
+    for _ in range(EPOCHS):
+        for k in random.permutation(len(packed)):
+            size, longest, feats, cell, truth = packed[k]
+            emit = np.stack([np.bincount(cell, weights=weights[feats, y], minlength=size * longest) for y in range(3)], axis=1).reshape(size, longest, 3)
+            there = truth >= 0
+            ahead, behind = np.zeros_like(emit), np.zeros_like(emit)
+            ahead[:, 0] = start + emit[:, 0]
+            for t in range(1, longest):
+                step = log_sum(ahead[:, t - 1, :, None] + moves, 1) + emit[:, t]
+                ahead[:, t] = np.where(there[:, t, None], step, ahead[:, t - 1])
+            for t in range(longest - 2, -1, -1):
+                step = log_sum(moves + (emit[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+                behind[:, t] = np.where(there[:, t + 1, None], step, behind[:, t + 1])
+            total = log_sum(ahead[:, -1], 1)
+            node = np.exp(ahead + behind - total[:, None, None]) * there[..., None]
+            pair = ahead[:, :-1, :, None] + moves + (emit + behind)[:, 1:, None, :] - total[:, None, None, None]
+            pair = (np.exp(np.minimum(pair, 0)) * there[:, 1:, None, None]).sum(axis=(0, 1))
+            gold = np.zeros_like(node)
+            i, j = np.nonzero(there)
+            gold[i, j, truth[i, j]] = 1
+            gold_pair = np.zeros((3, 3))
+            both = there[:, 1:]
+            np.add.at(gold_pair, (truth[:, :-1][both], truth[:, 1:][both]), 1)
+            wrong = (node - gold).reshape(-1, 3) / size
+            for y in range(3):
+                slope = np.bincount(feats, weights=wrong[cell, y], minlength=FEATURES) + DECAY * weights[:, y]
+                sum_w[:, y] += slope**2
+                weights[:, y] -= RATE * slope / np.sqrt(sum_w[:, y])
+            slope = (pair - gold_pair) / size
+            sum_m += slope**2
+            moves -= RATE * slope / np.sqrt(sum_m)
+            slope = (node[:, 0] - gold[:, 0]).sum(axis=0) / size
+            sum_s += slope**2
+            start -= RATE * slope / np.sqrt(sum_s)
+    return ChainField(weights.astype(np.float32), moves, start)
+
+
+def training_lines(texts: list[str]) -> list[tuple[list[list[int]], list[int]]]:
+    """Labelled lines of the sample: all with a secret and every line that passes the gate."""
+    out, seen = [], set()
+    for text in texts:
+        for line in (text or "").split("\n"):
+            if line not in seen and gate(line) and len(line) < 1000:
+                seen.add(line)
+                spans, rows = line_tokens(line)
+                if rows:
+                    out.append((rows, _labels(spans, rule_spans(line))))
+    return out
+
+
+def train_field(df: DataFrame, key: str, text: str) -> ChainField:
+    """A field for these chunks, from about SAMPLE_CHUNKS of them; a table without lines to learn from gives one that finds nothing."""
+    df = df.select(key, text)
+    number = df.count()
+    drawn = F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(min(1.0, SAMPLE_CHUNKS / max(1, number)) * 1_000_000))
+    rows = df.where(drawn).toPandas().sort_values(key)
+    lines = training_lines(list(dict.fromkeys(rows[text].dropna())))
+    return fit_field(lines) if lines else ChainField(np.zeros((FEATURES, 3), dtype=np.float32), np.zeros((3, 3)), np.array([1.0, 0.0, 0.0]))
+
+
+def secrets_of(field: ChainField, text: str) -> list[tuple[int, int, int]]:
+    """(line index, start, end) of each secret, in characters of the text; a private key goes on to its END line."""
+    out, offset, until = [], 0, -1
+    for index, line in enumerate(text.split("\n")):
+        if offset >= until and gate(line):
+            spans, rows = line_tokens(line)
+            labels = field.decode(rows) if rows else []
+            k = 0
+            while k < len(labels):
+                if labels[k] == OUTSIDE:
+                    k += 1
+                    continue
+                end = k + 1
+                while end < len(labels) and labels[end] == INSIDE:
+                    end += 1
+                first, last = offset + spans[k][0], offset + spans[end - 1][1]
+                if _PEM.search(line, max(0, spans[k][0] - 6)):
+                    closing = _PEM_END.search(text, first)
+                    last = until = closing.end() if closing else len(text)
+                    out.append((index, first, last))
+                    break
+                out.append((index, first, last))
+                k = end
+        offset += len(line) + 1
+    return out
+
+
+def found_secrets(df: DataFrame, key: str, text: str, first_line: str, field: ChainField) -> DataFrame:
+    """(key, line_no, start, length): each secret of each row; line_no counts from the row's first line.
+
+    Null and empty texts have none; a null first line counts as 1; repeated rows give repeated results.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, (name, start) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for index, a, b in secrets_of(shared.value, batch.column(1)[k].as_py() or ""):
+                    rows.append((name, (1 if start is None else start) + index, a, b - a))
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.record_batch([pa.array(columns[0], batch.schema.field(0).type), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["key", "line_no", "start", "length"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(first_line).alias("first"))
+    return rows.mapInArrow(run, f"key {kind}, line_no int, start int, length int").withColumnRenamed("key", key)
+
+
+def redacted(df: DataFrame, key: str, text: str, field: ChainField) -> DataFrame:
+    """(key, redacted, n_secrets): every secret replaced by MARK, everything else untouched; null stays null."""
+    shared = df.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = [], []
+            for value in batch.column(1).to_pylist():
+                spans = secrets_of(shared.value, value or "")
+                counts.append(len(spans))
+                for _, a, b in reversed(spans):
+                    value = value[:a] + MARK + value[b:]
+                texts.append(value)
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["key", "redacted", "n_secrets"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, redacted string, n_secrets int").withColumnRenamed("key", key)

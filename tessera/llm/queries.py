@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.llm.credentials import found_secrets, redacted, train_field
 from tessera.llm.encode import decode_corpus, encode_corpus
 from tessera.llm.files import file_texts
 from tessera.llm.handwritten import scored
@@ -111,6 +112,32 @@ SQL["p3_exact_small_groups"] = """
     WHERE n < 8192 AND rn = greatest(1, ceil(p * n))"""
 
 
+@query
+def p4_found(spark, root):
+    """Lines on which a usable secret starts."""
+    rows = table(spark, root, "code_chunks").select("chunk_id", "content", "line_start")
+    field = train_field(rows, "chunk_id", "content")
+    # repeats of a chunk give the same lines: only what is found is shuffled, not the texts
+    return found_secrets(rows, "chunk_id", "content", "line_start", field).select("chunk_id", "line_no").distinct()
+
+
+@query
+def p4_redacted(spark, root):
+    """Chunks with a secret, every secret replaced by a mark."""
+    rows = table(spark, root, "code_chunks").select("chunk_id", "content")
+    field = train_field(rows, "chunk_id", "content")
+    return redacted(rows, "chunk_id", "content", field).where("n_secrets > 0").dropDuplicates(["chunk_id"])
+
+
+@query
+def p4_repos(spark, root):
+    """Secrets and files with secrets per repo_id."""
+    chunks = table(spark, root, "code_chunks").select("chunk_id", "repo_id", "file_id").dropDuplicates(["chunk_id"])
+    return p4_found(spark, root).join(chunks, "chunk_id").groupBy("repo_id").agg(
+        F.count(F.lit(1)).alias("n_secrets"), F.count_distinct("file_id").alias("n_files")
+    )
+
+
 def _parsed(spark, root):
     # other extensions have no grammar here and are not read into files
     known = F.substring_index("file_path", ".", -1).isin(*EXTENSIONS)
