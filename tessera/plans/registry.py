@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.plans import skew_queries
+from tessera.plans import skew_queries, telemetry_queries
 
-FLAGSHIP = "p6_repo_volume"
+FLAGSHIP = "latency_series"
 
-_MODULES = [skew_queries]
+_MODULES = [telemetry_queries, skew_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
