@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.credentials import found_secrets, redacted, train_field
 from tessera.llm.encode import decode_corpus, encode_corpus
-from tessera.llm.files import file_texts
+from tessera.sources.files import file_texts
 from tessera.llm.handwritten import scored
 from tessera.llm.packing import pack
 from tessera.llm.pieces import cut_oversized
