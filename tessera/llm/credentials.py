@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ _QUERY = re.compile(r"[?&](?:api_?key|access_?token|token|sig(?:nature)?|secret|
 _SCHEME = re.compile(r"\b(?:Bearer|Basic)\s+([A-Za-z0-9+/=_.~-]{4,})")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+QUOTES = "\"'`"
 _HEX = re.compile(r"[0-9a-f]+$|[0-9A-F]+$")
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
 _PASSWORD = re.compile(r"[A-Z]?[a-z]{3,}[-_!#*%.$^~][A-Za-z]{3,}\d+[-_!#*%.$^~]?$")
@@ -65,9 +67,16 @@ def name_words(name: str) -> list[str]:
     return [w.lower() for w in _WORDS.findall(name)]
 
 
+_CLASS = {**{ord(c): "l" for c in "abcdefghijklmnopqrstuvwxyz"}, **{ord(c): "u" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{ord(c): "d" for c in "0123456789"}}
+_CLASS |= {k: "." for k in range(128) if k not in _CLASS}
+_CLASS_RUNS = re.compile(r"l+|u+|d+|\.+|[^lud.]+")
+
+
+@lru_cache(1 << 16)
 def _mixed(value: str) -> int:
     """Kinds of characters: lower, upper, digits, others."""
-    return (value != value.upper()) + (value != value.lower()) + any(map(str.isdigit, value)) + (not value.isalnum())
+    classes = value.translate(_CLASS)
+    return ("l" in classes) + ("u" in classes) + ("d" in classes) + (classes.strip("lud") != "" or "." in classes)
 
 
 def _names_secret(words: list[str]) -> bool:
@@ -112,16 +121,39 @@ def rule_spans(line: str) -> list[tuple[int, int]]:
     return found
 
 
+@lru_cache(1 << 16)
 def _shape(token: str) -> str:
-    size = len(token)
-    letters = sum(map(str.isalpha, token))
-    digits = sum(map(str.isdigit, token))
+    """Length, kinds, shares of letters and digits, and how often the kind changes."""
+    size, classes = len(token), token.translate(_CLASS)
+    letters, digits = classes.count("l") + classes.count("u"), classes.count("d")
     step = size if size < 8 or size in (16, 20, 32, 40, 64, 128) else 8 + size // 6 * 100
-    changes = sum(a.isdigit() != b.isdigit() or a.islower() != b.islower() for a, b in zip(token, token[1:], strict=False))
+    changes = len(_CLASS_RUNS.findall(classes)) - 1
     return f"{step}/{_mixed(token)}/{letters * 4 // size}{digits * 4 // size}/{min(9, changes * 10 // size)}/{'h' if _HEX.match(token) else ''}"
 
 
-_OUT = [zlib.crc32(b"outside") % FEATURES]
+@lru_cache(1 << 16)
+def _number(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % FEATURES
+
+
+_OUT = [_number("outside")]
+
+
+def _of_literal(line: str, at: int, name: str, value: str, listed: int) -> tuple[list[int], list[int], bool]:
+    """Features of a literal for its first token and for the others, and whether it is a URL."""
+    words = name_words(name)
+    last = [w for w in words if not w.isdigit()][-2:]
+    secret, kinds, whole = _names_secret(words), _mixed(value), _shape(value)
+    url, spaced, hold = "://" in value, " " in value, bool(_PLACEHOLDER.search(value))
+    special = value[:4] if value[:4] in ("ssh-", "sha2", "sha5", "data", "$2b$", "http") else "uuid" if _UUID.match(value) else ""
+    both = [f"k{w}" for w in last] + [f"ls{whole}", f"lq{secret}|{kinds}|{min(24, len(value)) // 4}|{hold}|{special}", f"sp{special}"]
+    if special == "" and not secret:
+        both.append(f"eq{line[max(0, at - 5) : at - 1].strip()[-2:]}|{kinds}|{whole}|{listed}")
+    parts = []
+    for head in (True, False):
+        f = [f"kl{(last or [''])[-1]}|{head}", f"ks{secret}|{kinds}|{head}", f"lh{head}|{whole}", f"lx{secret}|{hold}|{url}|{spaced}|{special}|{head}", f"lf{bool(_FORMATS.match(value))}|{head}"]
+        parts.append([_number(x) for x in both + f])
+    return parts[0], parts[1], url
 
 
 def line_tokens(line: str) -> tuple[list[tuple[int, int]], list[list[int]]]:
@@ -129,60 +161,50 @@ def line_tokens(line: str) -> tuple[list[tuple[int, int]], list[list[int]]]:
 
     Tokens outside of literals have one feature only; a line without literals has no tokens.
     """
-    # the literal that a token is in: its span, and the words of the name before it
+    # the literal that a token is in: its span, its features and the name before it
     literals = []
+    listed = min(4, line.count('",') + line.count("',"))
     for m in _LITERAL.finditer(line):
         at, end = m.span(m.lastindex)
-        names = _NAMES.findall(line[: max(0, at - (m.lastindex < 4))])
-        name = names[-1] if names else ""
-        if name in ("value", "is", "old", "H", "key") and len(names) > 1 and name != "key":
-            name = names[-2]
-        literals.append((at, end, name_words(name), line[at:end]))
+        if end > at:
+            names = _NAMES.findall(line[max(0, at - 80) : max(0, at - (m.lastindex < 4))])
+            name = names[-1] if names else ""
+            if name in ("value", "is", "old", "H") and len(names) > 1:
+                name = names[-2]
+            literals.append((at, end, *_of_literal(line, at, name, line[at:end], listed)))
     if not literals:
         return [], []
     spans = [m.span() for m in _TOKEN.finditer(line) if not line[m.start()].isspace()]
     texts = [line[a:b] for a, b in spans]
+    pem = "PRIVATE" in line and "-----BEGIN" in line
     rows, k = [], 0
-    listed = min(4, line.count('",') + line.count("',"))
     for i, ((a, b), text) in enumerate(zip(spans, texts, strict=True)):
         while k < len(literals) and literals[k][1] <= a:
             k += 1
-        inside = k < len(literals) and literals[k][0] <= a
-        if not inside:
+        if k == len(literals) or literals[k][0] > a:
             rows.append(_OUT)
             continue
+        at, end, first, others, url = literals[k]
         shape = _shape(text)
         one, two = (texts[i - 1] if i else "^"), (texts[i - 2] if i > 1 else "^")
         after = texts[i + 1] if i + 1 < len(texts) else "$"
-        f = [f"s{shape}", f"n{len(text)}", f"p{one[:12]}", f"a{after[:12]}", f"pp{two[:12]}|{one[:12]}", f"pa{one[:3]}|{after[:3]}"]
-        f.append(f"t{text[:4]}{len(text) > 4}")
-        if _PLACEHOLDER.search(text):
-            f.append("hold")
-        if _FORMATS.match(text):
-            f.append("form")
-        if _PASSWORD.match(text):
-            f.append(f"pw{one in '\"`' or one == chr(39)}")
+        f = [f"s{shape}", f"p{one[:12]}", f"a{after[:12]}", f"pp{two[:12]}|{one[:12]}", f"pa{one[:3]}|{after[:3]}", f"t{text[:4]}{len(text) > 4}"]
         if len(text) == 1:
             f.append(f"c{text}|{one[:3]}|{after[:3]}")
         else:
-            f.append(f"ps{one[-1]}|{shape}")
-        at, end, words, value = literals[k]
-        if value:
-            head = a == at
-            last = [w for w in words if not w.isdigit()][-2:]
-            secret = _names_secret(words)
-            kinds, whole = _mixed(value), _shape(value)
-            url, spaced, hold = "://" in value, " " in value, bool(_PLACEHOLDER.search(value))
-            special = value[:4] if value[:4] in ("ssh-", "sha2", "sha5", "data", "$2b$", "http") else "uuid" if _UUID.match(value) else ""
-            f += [f"k{w}" for w in last] + [f"kl{(last or [''])[-1]}|{head}", f"ks{secret}|{kinds}|{head}|{len(text) > 1}", f"ls{whole}", f"lh{head}|{whole}"]
-            f += [f"lx{secret}|{hold}|{url}|{spaced}|{special}|{head}", f"lq{secret}|{kinds}|{min(24, len(value)) // 4}|{hold}|{special}", f"sp{special}", f"lf{bool(_FORMATS.match(value))}|{head}"]
-            if url:
-                place = value[: a - at]
-                f += [f"ur{'://' in place}|{place.count(':')}|{'@' in value[b - at :]}|{'?' in place}|{text in ':@/?&='}", f"uq{one}|{two[:14]}|{len(text) > 11}"]
-            if special == "" and not secret:
-                f.append(f"eq{line[max(0, at - 5) : at - 1].strip()[-2:]}|{kinds}|{whole}|{listed}")
-        f.append(f"pem{'PRIVATE' in line and '-----BEGIN' in line}|{text[:6]}")
-        rows.append([zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in f])
+            f += [f"n{len(text)}", f"ps{one[-1]}|{shape}"]
+            if _PLACEHOLDER.search(text):
+                f.append("hold")
+            if _FORMATS.match(text):
+                f.append("form")
+            if _PASSWORD.match(text):
+                f.append(f"pw{one in QUOTES}")
+        if url:
+            place = line[at:a]
+            f += [f"ur{'://' in place}|{place.count(':')}|{'@' in line[b:end]}|{'?' in place}|{text in ':@/?&='}", f"uq{one}|{two[:14]}|{len(text) > 11}"]
+        if pem:
+            f.append(f"pem{text[:6]}")
+        rows.append([_number(x) for x in f] + (first if a == at else others))
     return spans, rows
 
 
