@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.plans import graph_queries, quality_queries, retrieval_queries, skew_queries, telemetry_queries
+from tessera.plans import extract_queries, graph_queries, quality_queries, retrieval_queries, skew_queries, telemetry_queries
 
 FLAGSHIP = "latency_series"
 
-_MODULES = [telemetry_queries, retrieval_queries, graph_queries, quality_queries, skew_queries]
+_MODULES = [telemetry_queries, retrieval_queries, extract_queries, graph_queries, quality_queries, skew_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
