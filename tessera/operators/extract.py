@@ -73,6 +73,9 @@ def line_windows(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
                 break
             last += 1
         end = blank if blank > first else last - 1
+        if out and end <= out[-1][1]:  # the overlap alone fills the window
+            first = out[-1][1] + 1
+            continue
         out.append((first, end))
         if end >= len(lines) - 1:
             break

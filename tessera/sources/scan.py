@@ -49,7 +49,7 @@ def source_tree(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) ->
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= most_bytes)
     relative = F.regexp_replace(F.col("path"), "^(?:file:)?/*" + "/*" + root.strip("/").replace(".", r"\.") + "/", "")
     rows = files.select(relative.alias("path"), "length", "content").where(should_index(F.col("path")))
-    return rows.select("path", "length", F.decode("content", F.lit("UTF-8")).alias("text"), language_of(F.col("path")).alias("language"), F.sha2("content", 256).alias("sha256"))
+    return rows.select("path", "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), language_of(F.col("path")).alias("language"), F.sha2("content", 256).alias("sha256"))
 
 
 def framework_of(files: DataFrame, repo: str) -> DataFrame:
