@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 FEATURES = 1 << 16
 #: Chunks of the training sample, about; drawn by a hash of the chunk's id.
 SAMPLE_CHUNKS = 12_000
-EPOCHS, BATCH, RATE, DECAY = 14, 128, 0.3, 1e-6
+#: Steps of training: at least STEPS of them, and EPOCHS passes.
+VARIANTS = 5
+STEPS, EPOCHS, BATCH, RATE, DECAY = 900, 14, 128, 0.3, 1e-6
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 MARK = "[REDACTED]"
 
@@ -263,7 +265,7 @@ def fit_field(lines: list[tuple[list[list[int]], list[int]]], seed: int = 3) ->
             truth[i, : len(labels)] = labels
         packed.append((size, longest, feats, cell, truth))
     log_sum = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS // max(1, len(packed)))):
         for k in random.permutation(len(packed)):
             size, longest, feats, cell, truth = packed[k]
             emit = np.stack([np.bincount(cell, weights=weights[feats, y], minlength=size * longest) for y in range(3)], axis=1).reshape(size, longest, 3)
@@ -300,16 +302,31 @@ def fit_field(lines: list[tuple[list[list[int]], list[int]]], seed: int = 3) ->
     return ChainField(weights.astype(np.float32), moves, start)
 
 
+def redrawn(line: str, secrets: list[tuple[int, int]], random: np.random.Generator) -> str:
+    """The line with other characters of the same kinds in its secrets; prefixes of known formats stay."""
+    out = list(line)
+    for a, b in secrets:
+        value = line[a:b]
+        if not value.startswith("-----"):
+            for k in range(a + (4 if _FORMATS.match(value) else 0), b):
+                for kind in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789") if not _HEX.match(value) else ("0123456789abcdef",):
+                    if out[k] in kind:
+                        out[k] = kind[random.integers(len(kind))]
+    return "".join(out)
+
+
 def training_lines(texts: list[str]) -> list[tuple[list[list[int]], list[int]]]:
-    """Labelled lines of the sample: all with a secret and every line that passes the gate."""
-    out, seen = [], set()
+    """Labelled lines of the sample that pass the gate; those with secrets, which are few, with VARIANTS redrawn copies each."""
+    out, seen, random = [], set(), np.random.default_rng(11)
     for text in texts:
         for line in (text or "").split("\n"):
             if line not in seen and gate(line) and len(line) < 1000:
                 seen.add(line)
-                spans, rows = line_tokens(line)
-                if rows:
-                    out.append((rows, _labels(spans, rule_spans(line))))
+                secrets = rule_spans(line)
+                for version in [line] + [redrawn(line, secrets, random) for _ in range(VARIANTS if secrets else 0)]:
+                    spans, rows = line_tokens(version)
+                    if rows:
+                        out.append((rows, _labels(spans, secrets)))
     return out
 
 
