@@ -109,4 +109,5 @@ def windows(files: DataFrame, target: int = 2000, overlap: int = 200) -> DataFra
 def stand_in_vector(text: Column, width: int = 64) -> Column:
     """A deterministic vector for tests without a model: bytes of SHA-256 over text and counter, scaled to -1..1; null for null."""
     blocks = F.concat(*[F.sha2(F.concat(text, F.lit(f":{k}")), 256) for k in range(-(-width // 32))])
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.conv(F.substring(blocks, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
+    digits = F.slice(F.regexp_extract_all(blocks, F.lit("(..)"), F.lit(1)), 1, width)
+    return F.transform(digits, lambda d: F.conv(d, 16, 10).cast("double") / 127.5 - 1)

@@ -46,7 +46,7 @@ def reachable(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
     Breadth first; each round joins the new nodes only and is written to the shared folder, so that lineage stays short. A start
     node appears only if an edge leads back to it. Ends when nothing new is found or after ``most`` rounds.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = cut(edges.select("src", "dst").distinct())
     frontier, seen = start.select("node").distinct(), None
     for depth in range(1, most + 1):
         new = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
@@ -66,7 +66,7 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
     Paths grow from their least node only, which keeps one rotation of each cycle and prunes the others early. For
     sparse graphs: the number of paths grows with the degree to the power of ``longest``.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = cut(edges.select("src", "dst").distinct())
     paths = steps.where("dst >= src").select(F.array("src").alias("path"), F.col("dst").alias("last"))
     found = None
     for length in range(1, longest + 1):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clamp01, cosine, distance, words
+from tessera.functions.text import clamp01, cosine, distance
 
 
 def usable_vector(v: Column, width: int = 64) -> Column:
@@ -21,17 +21,12 @@ def nearest(df: DataFrame, key: str, vector: str, asked: Column, k: int, least:
     return scored.where(F.col("similarity") >= least).drop("asked", vector).orderBy(F.desc("similarity"), F.asc(key)).limit(k)
 
 
-def _is(token: str):
-    return lambda word: word == token
-
-
 def lexical_score(text: Column, tokens: Sequence[str]) -> Column:
-    """Sum of tf / (tf + 1) over the tokens: grows with coverage first, with repetition little."""
-    have = words(F.coalesce(text, F.lit("")))
-    score = F.lit(0.0)
+    """Sum of tf / (tf + 1) over the tokens, which are words of letters and digits: grows with coverage first, with repetition little."""
+    low, score = F.lower(F.coalesce(text, F.lit(""))), F.lit(0.0)
     for t in tokens:
-        tf = F.size(F.filter(have, _is(t))).cast("double")
-        score = score + tf / (tf + 1)
+        tf = F.regexp_count(low, F.lit(rf"(?<![a-z0-9]){t}(?![a-z0-9])")).cast("double")
+        score = score + (1 - 1 / (tf + 1))
     return score
 
 
