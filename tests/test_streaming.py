@@ -59,5 +59,19 @@ def test_unchanged_content_is_skipped(spark, tmp_path):
     assert sorted(r["path"] for r in got) == ["b.ts", "c.ts"]
 
 
+
+def test_upserts_keep_the_latest_version(spark, tmp_path):
+    from tessera.streaming import sinks
+
+    schema = "k string, v int, t string"
+    for n, part in enumerate(([("a", 1, "x"), ("b", 2, "y")], [("a", 3, "z"), ("b", 1, "old"), (None, 1, "n")])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        sinks.upserts(stream, str(tmp_path / "out"), ["k"], "v", str(tmp_path / "cp")).awaitTermination()
+    assert sinks.current(spark, str(tmp_path / "none")) is None
+    got = {(r["k"], r["v"], r["t"]) for r in sinks.current(spark, str(tmp_path / "out")).collect()}
+    assert got == {("a", 3, "z"), ("b", 2, "y"), (None, 1, "n")}
+
+
 if __name__ == "__main__":
     pytest.main([__file__])
