@@ -104,7 +104,7 @@ def p3_exact_small_groups(spark, root):
 
 SQL["p3_exact_small_groups"] = """
     WITH r AS (SELECT DISTINCT ON (request_id) * FROM ai_request_metrics ORDER BY request_id),
-    l AS (SELECT d.dim, d.key, strftime(created_at, '%Y-%m-%d') AS period, m.metric, m.value::DOUBLE AS value FROM r,
+    l AS (SELECT d.dim, d.key, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS period, m.metric, m.value::DOUBLE AS value FROM r,
             LATERAL (VALUES ('source', source), ('model', model), ('repo_id', repo_id), ('all', 'all')) AS d(dim, key),
             LATERAL (VALUES ('duration_ms', duration_ms), ('total_tokens', total_tokens)) AS m(metric, value) WHERE m.value IS NOT NULL),
     o AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY dim, key, period, metric) AS n FROM l WINDOW w AS (PARTITION BY dim, key, period, metric ORDER BY value))
