@@ -174,7 +174,7 @@ def token_document_counts(spark, root):
     return chats.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT chunk_id, max(similarity) AS similarity FROM (" + " UNION ALL ".join(f"SELECT chunk_id, {1.0 - 0.1 * k} AS similarity FROM {_CHUNKS} WHERE contains(lower(content), '{t}')" for k, t in enumerate(TOKENS)) + ") GROUP BY chunk_id ORDER BY similarity DESC, chunk_id LIMIT 24")
+@query("SELECT chunk_id, max(similarity) AS similarity FROM (" + " UNION ALL ".join(f"SELECT chunk_id, ({1.0 - 0.1 * k})::DOUBLE AS similarity FROM {_CHUNKS} WHERE contains(lower(content), '{t}')" for k, t in enumerate(TOKENS)) + ") GROUP BY chunk_id ORDER BY similarity DESC, chunk_id LIMIT 24")
 def token_expand(spark, root):
     """Hits of all tokens merged, the best kept; one scan instead of one query a token."""
     best = F.greatest(*[F.when(F.contains(F.lower("content"), F.lit(t)), F.lit(round(1.0 - 0.1 * k, 1))) for k, t in enumerate(TOKENS)])
