@@ -176,8 +176,8 @@ def train(sample: pd.DataFrame) -> LinearModel:
             buckets, values = features(path, version)
             rows.append((np.append(buckets, _shared_part(int(shared))).astype(np.int32), np.append(values, SHARED_VALUE)))
             owner.append(k)
-    owner = np.array(owner)
-    held = np.array([zlib.crc32(str(r).encode()) % HELD_OUT == 0 for r in sample["repo_id"]])[owner]
+    owner = np.array(owner, dtype=np.int64)
+    held = np.array([zlib.crc32(str(r).encode()) % HELD_OUT == 0 for r in sample["repo_id"]], dtype=bool)[owner]
     truth, keep = label[owner], np.ones(len(rows), dtype=bool)
 
     def fitted_to(labels: np.ndarray, mask: np.ndarray, cost: float) -> LinearModel:
