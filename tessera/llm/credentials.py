@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = 1 << 16
@@ -52,6 +52,10 @@ _QUERY = re.compile(r"[?&](?:api_?key|access_?token|token|sig(?:nature)?|secret|
 _SCHEME = re.compile(r"\b(?:Bearer|Basic)\s+([A-Za-z0-9+/=_.~-]{4,})")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+#: Lines of a key, real or written as escapes; what such a line has besides its base64 text; headers of RFC 1421; text that no code has by chance.
+_KEY_LINE = re.compile(r"(?:(?!\\r|\\n)[^\n])*(?:\n|(?:\\r)?\\n|\\r|$)")
+_KEY_TEXT = re.compile(r"[\s\"'`#*|>,.+/-]*(?:[A-Za-z0-9+/]+={0,2}|(?:Proc-Type|DEK-Info|Content-Domain|Key-Info|Originator-ID)[^\"'`]*)?[\s\"'`,.+\\]*$")
+_MATERIAL = re.compile(r"[A-Za-z0-9+/]{40}")
 QUOTES = "\"'`"
 _HEX = re.compile(r"[0-9a-f]+$|[0-9A-F]+$")
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
@@ -340,9 +344,39 @@ def train_field(df: DataFrame, key: str, text: str) -> ChainField:
     return fit_field(lines) if lines else ChainField(np.zeros((FEATURES, 3), dtype=np.float32), np.zeros((3, 3)), np.array([1.0, 0.0, 0.0]))
 
 
-def secrets_of(field: ChainField, text: str) -> list[tuple[int, int, int]]:
-    """(line index, start, end) of each secret, in characters of the text; a private key goes on to its END line."""
-    out, offset, until = [], 0, -1
+def key_end(text: str, at: int) -> tuple[int, bool]:
+    """Where a private key that is open at ``at`` ends, and whether it is still open at the end of the text.
+
+    It ends behind its END line or, if that doesn't follow, before the first line that is no text of a key; a key without
+    text ends at ``at``.
+    """
+    opening, closing = _PEM.search(text, at), _PEM_END.search(text, at)
+    closed = closing is not None and not (opening and opening.start() < closing.start())
+    stop = closing.start() if closed else len(text)
+    if closed and _MATERIAL.search(text, at, stop):
+        return closing.end(), False
+    end = at
+    while at < stop:
+        line = _KEY_LINE.match(text, at, stop)
+        if not (_KEY_TEXT.match(line.group()[: -2 if line.group().endswith(("\\n", "\\r")) else None]) or _MATERIAL.search(line.group())):
+            return end, False
+        if line.group().strip():
+            end = at + len(line.group().rstrip())
+        at = line.end()
+    return (closing.end(), False) if closed else (end, True)
+
+
+def scan_text(field: ChainField, text: str, inside: bool = False) -> tuple[list[tuple[int, int, int]], bool]:
+    """(line index, start, end) of each secret, in characters of the text, and whether a private key is open at its end.
+
+    A private key goes on to its END line; ``inside`` says that one is open where the text begins.
+    """
+    out, offset, until, still = [], 0, -1, False
+    if inside:
+        until, still = key_end(text, 0)
+        first = len(text) - len(text.lstrip())
+        if first < until:
+            out.append((text.count("\n", 0, first), first, until))
     for index, line in enumerate(text.split("\n")):
         if offset >= until and gate(line):
             spans, rows = line_tokens(line)
@@ -356,53 +390,97 @@ def secrets_of(field: ChainField, text: str) -> list[tuple[int, int, int]]:
                 while end < len(labels) and labels[end] == INSIDE:
                     end += 1
                 first, last = offset + spans[k][0], offset + spans[end - 1][1]
-                if _PEM.search(line, max(0, spans[k][0] - 6)):
+                opening = _PEM.search(line, max(0, spans[k][0] - 6))
+                if opening:
                     closing = _PEM_END.search(text, first)
                     last = until = closing.end() if closing else len(text)
+                    still = key_end(text, offset + opening.end())[1]
                     out.append((index, first, last))
                     break
                 out.append((index, first, last))
                 k = end
         offset += len(line) + 1
-    return out
+    return out, still
 
 
-def found_secrets(df: DataFrame, key: str, text: str, first_line: str, field: ChainField) -> DataFrame:
-    """(key, line_no, start, length): each secret of each row; line_no counts from the row's first line.
+def secrets_of(field: ChainField, text: str) -> list[tuple[int, int, int]]:
+    """The secrets of a text that stands for itself."""
+    return scan_text(field, text)[0]
+
+
+def _scanned(df: DataFrame, key: str, text: str, file: str | None, first_line: str | None, field: ChainField, result: str, kind: pa.DataType, of) -> DataFrame:
+    """(key, found): ``of`` (text, first line, secrets, whether the first is the rest of a key) for each row; null where it gives None.
 
-    Null and empty texts have none; a null first line counts as 1; repeated rows give repeated results.
+    With ``file``, a private key that is open at the end of a chunk goes on in the next chunks of the file. A chunk that begins
+    with text of a key is read both ways; whether a key is open there is the last flag of the chunks before it, so
+    flags and what was found are shuffled, texts are not. Chunks of a file come in order of ``first_line`` and key; repeated
+    chunks count once. Rows without file stand for themselves.
     """
     shared = df.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, (name, start) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for index, a, b in secrets_of(shared.value, batch.column(1)[k].as_py() or ""):
-                    rows.append((name, (1 if start is None else start) + index, a, b - a))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.record_batch([pa.array(columns[0], batch.schema.field(0).type), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["key", "line_no", "start", "length"])
+            flags, plain, carried = [], [], []
+            for value, start in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                spans, still = scan_text(shared.value, value or "")
+                plain.append(of(value, start, spans, False))
+                end, goes_on = key_end(value or "", 0) if file else (0, False)
+                if end:
+                    rest, goes_on = scan_text(shared.value, value or "", True)
+                    carried.append(of(value, start, rest, True))
+                else:
+                    carried.append(plain[-1])
+                # true: a key is open behind the chunk, false: none is, null: as before it
+                flags.append(True if still else None if goes_on else False)
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(flags, pa.bool_()), pa.array(plain, kind), pa.array(carried, kind)]
+            yield pa.record_batch(columns, names=["key", "file", "first", "flag", "plain", "carried"])
+
+    kinds = df.schema[key].dataType.simpleString(), df.schema[file].dataType.simpleString() if file else "string"
+    rows = df.select(
+        F.col(key).alias("key"), F.col(text).alias("text"), (F.col(file) if file else F.lit(None).cast("string")).alias("file"), (F.col(first_line) if first_line else F.lit(None)).cast("int").alias("first")
+    )
+    read = rows.mapInArrow(run, f"key {kinds[0]}, file {kinds[1]}, first int, flag boolean, plain {result}, carried {result}")
+    if not file:
+        return read.select("key", F.col("plain").alias("found"))
+    # a row without file is a group by itself
+    alone = F.when(F.col("file").isNull(), F.col("key"))
+    dealt = read.withColumn("alone", alone).repartition("file", "alone").dropDuplicates(["file", "alone", "first", "key"])
+    before = F.last("flag", ignorenulls=True).over(Window.partitionBy("file", "alone").orderBy("first", "key").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("inside", before).select("key", F.when(F.col("inside"), F.col("carried")).otherwise(F.col("plain")).alias("found"))
+
+
+def found_secrets(df: DataFrame, key: str, text: str, first_line: str, field: ChainField, file: str | None = None) -> DataFrame:
+    """(key, line_no, start, length): each secret of each row; line_no counts from the row's first line.
 
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(first_line).alias("first"))
-    return rows.mapInArrow(run, f"key {kind}, line_no int, start int, length int").withColumnRenamed("key", key)
+    Null and empty texts have none; a null first line counts as 1; repeated rows give repeated results. With ``file``
+    the rest of a key that began in an earlier chunk of the file is no secret of its own, and repeated rows count once.
+    """
 
+    def of(value, start, spans, rest):
+        rows = [{"line_no": (1 if start is None else start) + index, "start": a, "length": b - a} for index, a, b in spans[rest:]]
+        return rows or None
 
-def redacted(df: DataFrame, key: str, text: str, field: ChainField) -> DataFrame:
-    """(key, redacted, n_secrets): every secret replaced by MARK, everything else untouched; null stays null."""
-    shared = df.sparkSession.sparkContext.broadcast(field)
+    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("start", pa.int32()), ("length", pa.int32())]))
+    rows = _scanned(df, key, text, file, first_line, field, "array<struct<line_no:int,start:int,length:int>>", kind, of)
+    return rows.select("key", F.explode("found").alias("s")).select("key", "s.*").withColumnRenamed("key", key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, counts = [], []
-            for value in batch.column(1).to_pylist():
-                spans = secrets_of(shared.value, value or "")
-                counts.append(len(spans))
-                for _, a, b in reversed(spans):
-                    value = value[:a] + MARK + value[b:]
-                texts.append(value)
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["key", "redacted", "n_secrets"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, redacted string, n_secrets int").withColumnRenamed("key", key)
+
+def redacted(df: DataFrame, key: str, text: str, field: ChainField, file: str | None = None, first_line: str | None = None) -> DataFrame:
+    """(key, redacted, n_secrets): every secret replaced by MARK, everything else untouched; null stays null.
+
+    With ``file`` and ``first_line`` keys are followed over the chunks of a file; the rest of a key counts as a secret of
+    the chunk it is in, repeated rows count once, and only rows with secrets come out.
+    """
+
+    def of(value, start, spans, rest):
+        if file and not spans:
+            return None
+        for _, a, b in reversed(spans):
+            value = value[:a] + MARK + value[b:]
+        return {"redacted": value, "n_secrets": len(spans)}
+
+    kind = pa.struct([("redacted", pa.string()), ("n_secrets", pa.int32())])
+    rows = _scanned(df, key, text, file, first_line, field, "struct<redacted:string,n_secrets:int>", kind, of)
+    if file:
+        rows = rows.where(F.col("found").isNotNull())
+    return rows.select("key", "found.redacted", "found.n_secrets").withColumnRenamed("key", key)

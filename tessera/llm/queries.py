@@ -115,18 +115,18 @@ SQL["p3_exact_small_groups"] = """
 @query
 def p4_found(spark, root):
     """Lines on which a usable secret starts."""
-    rows = table(spark, root, "code_chunks").select("chunk_id", "content", "line_start")
+    rows = table(spark, root, "code_chunks").select("chunk_id", "content", "line_start", "file_id")
     field = train_field(rows, "chunk_id", "content")
-    # repeats of a chunk give the same lines: only what is found is shuffled, not the texts
-    return found_secrets(rows, "chunk_id", "content", "line_start", field).select("chunk_id", "line_no").distinct()
+    # only flags and what is found are shuffled, not the texts
+    return found_secrets(rows, "chunk_id", "content", "line_start", field, "file_id").select("chunk_id", "line_no").distinct()
 
 
 @query
 def p4_redacted(spark, root):
-    """Chunks with a secret, every secret replaced by a mark."""
-    rows = table(spark, root, "code_chunks").select("chunk_id", "content")
+    """Chunks with a secret, every secret replaced by a mark; private keys are followed over the chunks of a file."""
+    rows = table(spark, root, "code_chunks").select("chunk_id", "content", "file_id", "line_start")
     field = train_field(rows, "chunk_id", "content")
-    return redacted(rows, "chunk_id", "content", field).where("n_secrets > 0").dropDuplicates(["chunk_id"])
+    return redacted(rows, "chunk_id", "content", field, "file_id", "line_start").where("n_secrets > 0").dropDuplicates(["chunk_id"])
 
 
 @query

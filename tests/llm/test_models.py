@@ -177,6 +177,21 @@ def test_private_keys_are_redacted_whole(corpus):
     assert len(spans) == 1 and text[spans[0][1] : spans[0][2]] == key
 
 
+def test_private_keys_go_on_in_the_next_chunks(spark, corpus):
+    field = C.fit_field(C.training_lines(list(corpus["text"])))
+    body = ["MIIabc" + "aB3d" * 14, "Q1+/" * 16, "x9Yz" * 15]
+    rows = [("a1", "A", 1, f"const tlsKey = `-----BEGIN PRIVATE KEY-----\n{body[0]}"), ("a2", "A", 3, f"{body[1]}\n"), ("a3", "A", 5, f"{body[2]}\nDE=\n-----END PRIVATE KEY-----`;\nnext()"), ("a4", "A", 9, body[0])]
+    rows += [("b1", "B", 1, rows[0][3].replace("\n", '\\n" +\n"')), ("b2", "B", 3, f'  "{body[1]}\\n"\n  + "-----END PRIVATE KEY-----";\nrun()')]
+    rows += [("c1", "C", 1, 'if (text.startsWith("-----BEGIN PRIVATE KEY-----")) {'), ("c2", "C", 2, "return"), ("n1", None, 1, rows[0][3]), ("n2", None, 3, body[1]), ("d1", "D", 1, None), ("d2", "D", 2, body[1])]
+    frame = spark.createDataFrame(rows + rows[:3], "id string, f string, line int, t string")
+    got = {r["id"]: r["redacted"] for r in C.redacted(frame, "id", "t", field, "f", "line").collect()}
+    assert got["a2"] == C.MARK + "\n" and got["a3"] == f"{C.MARK}`;\nnext()" and got["b2"].endswith('";\nrun()')
+    assert not any(part in (got[k] or "") for k in got if k < "c" and k != "a4" for part in body)
+    assert not {"a4", "c2", "n2", "d1", "d2"} & set(got)
+    lines = {(r["id"], r["line_no"]) for r in C.found_secrets(frame, "id", "t", "line", field, "f").collect()}
+    assert ("a1", 1) in lines and not {k for k, _ in lines} & {"a2", "a3", "a4", "b2", "c2", "n2"}
+
+
 def test_field_without_lines_finds_nothing(spark):
     frame = spark.createDataFrame([], "id string, t string")
     field = C.train_field(frame, "id", "t")
