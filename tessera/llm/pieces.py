@@ -71,6 +71,16 @@ def rolling_hash(counts: TokenCounts, words: np.ndarray) -> np.ndarray:
     return total >> np.uint64(32)
 
 
+def landmarks(counts: TokenCounts, words: np.ndarray, within: int) -> np.ndarray:
+    """The words before which a landmark lies, about LANDMARKS in ``within`` tokens.
+
+    The chance of a place grows with the tokens of the word before it, so landmarks are as dense in texts of long words and
+    of short ones, while each is decided by the words under the hash alone, whatever the rest of the text is.
+    """
+    chance = counts.tokens[words[:-1]].astype(np.uint64) * np.uint64((LANDMARKS << 32) // max(1, within))
+    return 1 + np.flatnonzero(rolling_hash(counts, words)[1:] < chance)
+
+
 def _inner_start(counts: TokenCounts, word: str, tokens: int) -> tuple[int, int]:
     """Characters of ``word`` before its last ``tokens`` tokens, at a character; and the tokens the rest has by itself."""
     encoding = counts.encoding
@@ -94,8 +104,7 @@ def cut_document(counts: TokenCounts, text: str, words: np.ndarray, size: int, o
     kind = boundaries(counts, words)
     body = max(1, size - overlap)
     least = max(1, int(body * LEAST_SHARE))
-    spread = max(1, (body - least) * len(words) // max(1, int(upto[-1])) // LANDMARKS)
-    marks = np.flatnonzero(rolling_hash(counts, words) % np.uint64(spread) == 0)
+    marks = landmarks(counts, words, body - least)
     pieces: list[tuple[int, int, int, int, int]] = []
     start_token, start_char, begin, room = 0, 0, 0, size
     while begin < len(words):

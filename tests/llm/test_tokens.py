@@ -106,6 +106,30 @@ def test_an_edit_moves_neighbouring_cuts_only(counts):
     assert len(late & ends[1]) >= 0.9 * len(late)
 
 
+@pytest.mark.parametrize("size", [256, 512, 2048, 8192])
+def test_edits_anywhere_leave_distant_cuts(counts, size):
+    random = np.random.default_rng(size)
+    stock = "the of a parser reads configuration internationalization x1 value tokenization queue responsibly and 42".split()
+    sentences = [" ".join(random.choice(stock, random.integers(4, 18))).capitalize() + "." for _ in range(size * 3)]
+    tokens = lambda t: (lambda n: (counts.learn(), int(counts.tokens[n].sum()))[1])(counts.numbers(t))
+    same = later = 0
+    for added in ("A " * 400 + "end.", "Antidisestablishmentarianism-pseudopseudohypoparathyroidism " * 40):
+        for at in range(len(sentences) // 10, len(sentences), len(sentences) // 5):
+            parts = sentences[:at], [added], sentences[at:]
+            ends = []
+            for chosen in (parts[0] + parts[2], parts[0] + parts[1] + parts[2]):
+                text = " ".join(chosen)
+                numbers = counts.numbers(text)
+                counts.learn()
+                ends.append((len(text), [(p[1], p[3]) for p in cut_document(counts, text, numbers, size, 0)]))
+            safe = tokens(" ".join(parts[0])) - size
+            assert [e for e in ends[0][1] if e[0] < safe] == [e for e in ends[1][1] if e[0] < safe]
+            behind = [{length - end for _, end in cuts} for length, cuts in ends]
+            late = [e for e in behind[0] if e < len(" ".join(parts[2])) * 0.5]
+            same, later = same + len(behind[1].intersection(late)), later + len(late)
+    assert same >= 0.9 * later
+
+
 def test_oversized_only_and_bad_parameters(spark):
     frame = spark.createDataFrame([(1, "short"), (2, None), (3, ""), (4, "word " * 200), (5, "y" * 4000)], "doc long, text string")
     got = cut_oversized(frame, "doc", "text", [("p", 50, 5)]).collect()
