@@ -40,26 +40,41 @@ def in_degrees(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, most: int | None = None, origin: str | None = None) -> DataFrame:
     """(node, depth): what is reached from ``start`` (column node) along edges (src, dst), with the least depth.
 
-    Breadth first; each round joins the new nodes only and is written to the shared folder, so that lineage stays short. A start
-    node appears only if an edge leads back to it. Ends when nothing new is found or after ``most`` rounds.
+    With ``origin``, a column of start, (origin, node, depth): what is reached from each of them by itself. Breadth first; each
+    round joins the new nodes only and is written to the shared folder, so that lineage stays short. A start node appears
+    only if an edge leads back to it. Ends when nothing new is found, or after ``most`` rounds if given.
     """
     steps = cut(edges.select("src", "dst").distinct())
-    frontier, seen = start.select("node").distinct(), None
-    for depth in range(1, most + 1):
-        new = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
+    keys = [origin, "node"] if origin else ["node"]
+    frontier, seen, depth = start.select(*keys).distinct(), None, 0
+    while most is None or depth < most:
+        depth += 1
+        new = frontier.join(steps, frontier["node"] == steps["src"]).select(*keys[:-1], F.col("dst").alias("node")).distinct()
         if seen is not None:
-            new = new.join(seen.select("node"), "node", "left_anti")
+            new = new.join(seen.select(*keys), keys, "left_anti")
         new = cut(new.withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         seen = new if seen is None else seen.unionByName(new)
-        frontier = new.select("node")
+        if depth % 16 == 0:
+            seen = cut(seen.coalesce(max(1, new.rdd.getNumPartitions())))
+        frontier = new.select(*keys)
     return seen if seen is not None else frontier.limit(0).withColumn("depth", F.lit(0))
 
 
+def components(closure: DataFrame, origin: str) -> DataFrame:
+    """(node, component, size): nodes on cycles of any length with the least node of their strongly connected component.
+
+    closure is what reachable gives for every node by itself.
+    """
+    there = closure.select(F.col(origin).alias("node"), F.col("node").alias("other"))
+    back = there.select(F.col("other").alias("node"), F.col("node").alias("other"))
+    return there.join(back, ["node", "other"]).groupBy("node").agg(F.min("other").alias("component"), F.count(F.lit(1)).alias("size"))
+
+
 def cycles(edges: DataFrame, longest: int) -> DataFrame:
     """(members, length): elementary cycles of up to ``longest`` edges, once per set of members.
 

@@ -45,6 +45,47 @@ def dependency_edges(spark, root):
     return G.resolve_imports(rows, files).select("edge_id", "src_file", "target_path", "resolved")
 
 
+def resolved_edges(spark, root):
+    """Resolved imports between files, each as repo:path: src is the importing file, dst the imported one."""
+    files = distinct_chunks(spark, root, "file_id", "file_path", F.coalesce("repo_id", F.lit("")).alias("repo"))
+    of_file = files.groupBy("file_id").agg(F.min("repo").alias("repo"))
+    rows = table(spark, root, "imports").dropDuplicates(["edge_id"]).join(of_file, "file_id").select("src_file", "target_path", "repo")
+    name = lambda path: F.concat("repo", F.lit(":"), path)
+    return G.resolve_imports(rows, files).where("resolved IS NOT NULL").select(name(F.col("src_file")).alias("src"), name(F.col("resolved")).alias("dst")).distinct()
+
+
+def impact_of_each(found):
+    """(file, node, depth): for every dst of the edges, whatever depends on it, at any distance."""
+    back = found.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return G.reachable(back, back.select(F.col("src").alias("node"), F.col("src").alias("file")), origin="file")
+
+
+@query()
+def import_impact(spark, root):
+    """For every file, the files that import it directly or through others, by resolved imports."""
+    return impact_of_each(resolved_edges(spark, root)).select("file", F.col("node").alias("impacted"), "depth")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT target_path AS file, src_file AS impacted FROM imports WHERE target_path IS NOT NULL AND src_file IS NOT NULL),
+ r(file, impacted) AS (SELECT file, impacted FROM e UNION SELECT r.file, e.impacted FROM r JOIN e ON e.file = r.impacted) SELECT file, impacted FROM r""")
+def import_impact_written(spark, root):
+    """The same by the names that imports are written with."""
+    found = edges(spark, root).where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    return impact_of_each(found).select("file", F.col("node").alias("impacted"))
+
+
+@query()
+def import_cycles(spark, root):
+    """Cycles of up to 5 resolved imports, once per set of members."""
+    return G.cycles(resolved_edges(spark, root), 5)
+
+
+@query()
+def import_components(spark, root):
+    """Files on import cycles of any length, by strongly connected component."""
+    return G.components(impact_of_each(resolved_edges(spark, root)), "file").withColumnRenamed("node", "file")
+
+
 @query(f"SELECT target_path AS dst, count(DISTINCT src_file) AS n FROM {_EDGES} GROUP BY 1 ORDER BY n DESC, dst LIMIT 20")
 def hotspots(spark, root):
     """The 20 most imported targets."""
@@ -61,7 +102,7 @@ def fan_in_summary(spark, root):
 
 @query(f"""WITH RECURSIVE {_TRADE}, r(node, depth) AS (SELECT dst, 1 FROM trade WHERE src = 0 UNION SELECT t.dst, r.depth + 1 FROM r JOIN trade t ON t.src = r.node WHERE r.depth < 25) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""")
 def impact(spark, root):
-    """Everything reached from a node, by breadth."""
+    """Everything reached from a node, by breadth."""
     graph = trade(spark, root)
     start = graph.where("src = 0").select(F.col("src").alias("node"))
     return G.reachable(graph, start)
@@ -70,7 +111,7 @@ def impact(spark, root):
 @query(f"""WITH RECURSIVE {_TRADE}, p(path, last, n) AS (SELECT [src], dst, 1 FROM trade WHERE dst >= src UNION ALL SELECT list_append(p.path, p.last), t.dst, p.n + 1 FROM p JOIN trade t ON t.src = p.last WHERE p.n < 5 AND p.last > p.path[1] AND NOT list_contains(p.path, p.last) AND t.dst >= p.path[1])
  SELECT array_to_string(list_sort(list_transform(path, lambda x: x::VARCHAR)), '>') AS members, min(n)::INT AS length FROM p WHERE last = path[1] GROUP BY 1""")
 def bounded_cycles(spark, root):
-    """Cycles of up to 5 edges, once per set of members."""
+    """Cycles of up to 5 edges, once per set of members."""
     return G.cycles(trade(spark, root), 5)
 
 

@@ -120,6 +120,28 @@ def test_reachability_and_cycles(spark):
     assert values(graph.in_degrees(edges), "dst", "n") == [("a", 2), ("b", 1), ("c", 1), ("d", 2)]
 
 
+def test_reachability_has_no_last_round(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(68)], "src int, dst int").coalesce(1)
+    got = {r["node"]: r["depth"] for r in graph.reachable(edges, spark.createDataFrame([(0,)], "node int").coalesce(1)).collect()}
+    assert got == {k: k for k in range(1, 69)}
+
+
+def test_import_graph_is_searched_for_impact_and_cycles(spark, tmp_path):
+    """A cycle of seven files, one of two, a file that imports into it, and the same names in another repository."""
+    wanted = [(f"c{k}.ts", f"./c{(k + 1) % 7}") for k in range(7)] + [("a.ts", "./b"), ("b.ts", "./a"), ("x.ts", "./a"), ("y.ts", "pkg:fs")]
+    chunks = [(f"r:{f}", f"{f}", "s/" + f, "r") for f, _ in wanted] + [("q:a", "qa", "s/a.ts", "q"), ("q:b", "qb", "s/b.ts", "q")]
+    imports = [(f"{k}", f, "s/" + f, t, "EXTRACTED") for k, (f, t) in enumerate(wanted)] + [("q", "qa", "s/a.ts", "./b", "EXTRACTED")]
+    spark.createDataFrame(chunks, "chunk_id string, file_id string, file_path string, repo_id string").write.parquet(f"{tmp_path}/code_chunks.parquet")
+    spark.createDataFrame(imports, "edge_id string, file_id string, src_file string, target_path string, confidence string").write.parquet(f"{tmp_path}/imports.parquet")
+    from tessera.plans.graph_queries import QUERIES
+
+    impact = {(r["file"], r["impacted"]): r["depth"] for r in QUERIES["import_impact"](spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in impact.items() if k[0] == "r:s/b.ts"} == {("r:s/b.ts", "r:s/a.ts"): 1, ("r:s/b.ts", "r:s/b.ts"): 2, ("r:s/b.ts", "r:s/x.ts"): 2}
+    assert impact["r:s/c0.ts", "r:s/c1.ts"] == 6 and [k for k in impact if k[0].startswith("q")] == [("q:s/b.ts", "q:s/a.ts")]
+    assert values(QUERIES["import_cycles"](spark, str(tmp_path)), "members", "length") == [("r:s/a.ts>r:s/b.ts", 2)]
+    assert values(QUERIES["import_components"](spark, str(tmp_path)), "component", "size") == [("r:s/a.ts", 2)] * 2 + [("r:s/c0.ts", 7)] * 7
+
+
 def test_import_resolution(spark):
     files = spark.createDataFrame([("r", p) for p in ("s/a.ts", "s/b.ts", "s/c/index.ts", "p/m.py", "p/q/n.py", "s/b.js")] + [("other", "s/z.ts")], "repo string, file_path string")
     wanted = [("s/a.ts", "./b", "s/b.ts"), ("s/a.ts", "./c", "s/c/index.ts"), ("s/c/index.ts", "../a", "s/a.ts"), ("s/a.ts", "./z", None), ("s/a.ts", "pkg:fs", None), ("p/q/n.py", "..m", "p/m.py"), ("p/m.py", ".q.n", "p/q/n.py"), ("s/a.ts", "./b.js", "s/b.ts")]
