@@ -91,9 +91,9 @@ def p3_percentiles(spark, root):
 
 @query
 def p3_weeks(spark, root):
-    """Percentiles per week, combined from the sketches of its days."""
+    """Percentiles per week by source, model and repo, and over all, combined from the sketches of its days."""
     week = F.date_format(F.date_trunc("week", F.col("period").cast("timestamp")), "yyyy-MM-dd")
-    return percentiles(_over(_daily(spark, root).where(F.col("dim") != "repo_id"), week), POINTS)
+    return percentiles(_over(_daily(spark, root), week), POINTS)
 
 
 @query

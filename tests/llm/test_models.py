@@ -82,6 +82,24 @@ def test_percentiles_of_dirty_groups(spark):
     assert Q.merged(Q.sketches(frame.limit(0), ["g"], ["v"], "day")).count() == 0
 
 
+def test_hot_groups_and_weeks_of_every_kind(spark, tmp_path):
+    random = np.random.default_rng(7)
+    values = random.integers(0, 10**6, 20_000)
+    frame = pd.DataFrame({"request_id": [f"q{k}" for k in range(20_000)], "source": "s", "model": "m", "repo_id": "r", "created_at": pd.to_datetime(["2024-05-06", "2024-05-06", "2024-05-08"] * 6666 + ["2024-05-06"] * 2, utc=True), "duration_ms": values, "total_tokens": 1})
+    frame.to_parquet(f"{tmp_path}/ai_request_metrics.parquet", coerce_timestamps="us")
+    days = frame["created_at"].dt.strftime("%Y-%m-%d")
+    from tessera.llm.queries import QUERIES
+
+    for name, keys in (("p3_days", days), ("p3_weeks", pd.Series(["2024-05-06"] * 20_000))):
+        got = [r for r in QUERIES[name](spark, str(tmp_path)).collect() if r["metric"] == "duration_ms"]
+        assert {(r["dim"], r["period"]) for r in got} == {(d, p) for d in ("source", "model", "repo_id", "all") for p in set(keys)}
+        for r in got:
+            ordered = np.sort(values[(keys == r["period"]).to_numpy()])
+            rank, off = max(1, int(np.ceil(r["p"] * len(ordered)))), r["rank_error"] * len(ordered) + 1
+            assert r["n"] == len(ordered)
+            assert np.searchsorted(ordered, r["value"], "left") + 1 - off <= rank <= np.searchsorted(ordered, r["value"], "right") + off
+
+
 CODE = {
     "a.py": ("def f(a):\n    return {'x': [1, (2)]}\n", "def f(a)\n    return a\n"),
     "b.json": ('{"a": [1, 2.5e3, "\\u00e9", null]}', '{"a": 1,}'),
