@@ -164,6 +164,11 @@ def corpus(spark):
     return file_texts(spark, "/root/testdata/sf0.01", "repo_id").toPandas().sort_values("file_id")
 
 
+@pytest.fixture(scope="module")
+def field(corpus):
+    return C.fit_field(C.training_lines(list(corpus["text"])))
+
+
 def test_field_finds_held_out_secrets(corpus):
     """Trained on two thirds of the files: recall and precision against the labelling rules on the rest."""
     texts = list(corpus["text"])
@@ -210,6 +215,47 @@ def test_private_keys_go_on_in_the_next_chunks(spark, corpus):
     assert ("a1", 1) in lines and not {k for k, _ in lines} & {"a2", "a3", "a4", "b2", "c2", "n2"}
 
 
+def test_field_finds_planted_secrets_of_unseen_places(field):
+    """Ways of writing that the training never saw, in real files: every planted secret is found, harmless values are not."""
+    places = ("{n} <- '{v}'|put(\"{n}\", \"{v}\");|  - {n}: '{v}'|setenv {n} {v}|$ {n}={v} make|{n}: {{ value: \"{v}\" }}|//   {n} = {v}", "assertEquals({w}, \"{v}\")|ftp {w} {w}:{v}", "{w}: amqp://{w}:{v}@{w}.example|GET https://{w}.example/?token={t}")
+    hits = missed = wrong = harmless = 0
+    lines = C.planted(600, seed=99, places=places)
+    for line, secrets in lines:
+        found = C.secrets_of(field, line)
+        if secrets:
+            hits, missed = hits + bool(found), missed + (not found)
+            assert not found or any(a < e and s < b for _, a, b in found for s, e in secrets)
+        else:
+            harmless, wrong = harmless + 1, wrong + bool(found)
+    assert hits / (hits + missed) >= 0.95 and wrong / harmless <= 0.05
+
+
+def test_no_character_of_a_key_stays_over_chunk_borders(spark, field):
+    """All private keys of the larger table that run on into another chunk."""
+    chunks = spark.read.parquet("/root/testdata/sf0.1/code_chunks.parquet").select("chunk_id", "file_id", "line_start", "content").dropDuplicates(["chunk_id"])
+    open_key = F.col("content").rlike("-----BEGIN [A-Z ]*PRIVATE KEY-----") & ~F.col("content").rlike("-----END [A-Z ]*PRIVATE KEY-----")
+    files = [r["file_id"] for r in chunks.where(open_key).select("file_id").distinct().collect()]
+    part = chunks.where(F.col("file_id").isin(files))
+    got = {r["chunk_id"]: r["redacted"] for r in C.redacted(part, "chunk_id", "content", field, "file_id", "line_start").collect()}
+    rows = part.orderBy("file_id", "line_start").collect()
+    crossing = 0
+    for before, after in zip(rows, rows[1:], strict=False):
+        if before["file_id"] == after["file_id"] and "PRIVATE KEY-----" in after["content"].split("-----END")[-1] and "-----BEGIN" not in after["content"].split("-----END")[0]:
+            crossing += 1
+            body = after["content"].split("-----END")[0]
+            left = got[after["chunk_id"]]
+            assert not any(run in left for run in C._MATERIAL.findall(body)) and "-----END" not in left.split("\n")[0]
+    assert crossing >= 5
+
+
+def test_what_no_word_list_gates_is_read(field):
+    for line in ("curl -u admin:Tr0ub4dor-Blue9 https://x.example", "mysql -u app -pS3cret-Blue77 db", "# login with hunter2Blue!", "if (given == 'Rose-Valley4711!') {"):
+        assert C.secrets_of(field, line), line
+    begin = "-----BEGIN PRIVATE KEY-----"
+    text = f"if (text.startsWith('{begin}')) {{\n  const password = 'Falcon.Copper9370!';\n}}"
+    assert any("Falcon" in text[a:b] for _, a, b in C.secrets_of(field, text)) and "}" in text[C.secrets_of(field, text)[-1][2] :]
+
+
 def test_field_without_lines_finds_nothing(spark):
     frame = spark.createDataFrame([], "id string, t string")
     field = C.train_field(frame, "id", "t")
