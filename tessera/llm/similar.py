@@ -1,10 +1,12 @@
 """The k most similar vectors of every vector (problem 1).
 
-Method: a permutation index. A bounded sample of the vectors serves as pivots; each vector is represented by its
-nearest pivots in order. It is posted in the inverted files of the first INDEXED of them and asks the files of the first
-ASKED. Inside a file, postings are ranked by the footrule distance of their pivot orders, and the best of them are
-reranked by cosine. Each file is one Spark group; long files are dealt over several groups that each query visits.
-Exact copies are one vector with many members, so a mass of copies is no hot file.
+Method: a permutation index. A sample of the vectors serves as pivots, one to VECTORS_PER_PIVOT vectors; each vector is
+represented by its ORDER nearest pivots in order of nearness. It is posted in the inverted files of its first pivots and
+asks the same files, as many as CANDIDATES has entries. Inside a file all postings, but those it meets in the file of a
+nearer pivot as well, are ranked by the footrule distance of their pivot orders to that of the asking vector; only the
+nearest by footrule are reranked by cosine, so that the cosines of a vector are bounded whatever the size of the
+collection. Each file is one Spark group; long files are dealt over several groups that each query visits and that share
+the candidates. Exact copies are one vector with many members, so a mass of copies is no hot file.
 """
 
 from __future__ import annotations
@@ -19,16 +21,21 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-#: Bound of the pivots, and the vectors to a pivot below that bound.
-MOST_PIVOTS, VECTORS_PER_PIVOT = 16_384, 64
-#: Pivots in a vector's order, of which so many post it and so many are asked.
-ORDER, INDEXED, ASKED = 16, 8, 4
-#: Vectors of a file that are reranked: the share nearest by footrule, at least so many.
-RERANKED_SHARE, RERANKED_LEAST = 0.5, 512
+#: Vectors to a pivot, and the bound of the pivots (128 bytes each). Beyond it files grow, and with them the footrule work, not the cosines.
+VECTORS_PER_PIVOT, MOST_PIVOTS = 32, 1 << 18
+#: Pivots in a vector's order; sums of places of 15 pivots fit a byte.
+ORDER = 15
+#: Vectors reranked by cosine in the file of the nearest pivot, of the second, and so on.
+CANDIDATES = (320, 192, 128, 96, 64, 48)
+INDEXED = len(CANDIDATES)
+#: Groups of pivots around other pivots in which a vector looks for its nearest.
+NEAR_GROUPS = 10
 #: Postings of a group; files expected to be longer are dealt over several groups.
 GROUP = 4096
 #: Vectors are normalised and kept as 16-bit fixed-point numbers.
 SCALE = 32_767.0
+#: A class with more than this share of all vectors is joined apart from the rest; there are at most as many such classes.
+HOT_CLASSES = 4096
 
 
 def _floats(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -83,29 +90,70 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return classes.select(F.col("heads")[0].alias("rep"), "vec", "size", "heads")
 
 
-def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The numbers of the ORDER nearest pivots of each vector, nearest first."""
-    depth = min(ORDER, len(pivots))
-    out = np.empty((len(vectors), depth), dtype=np.int16)
-    for a in range(0, len(vectors), 1024):
-        near = vectors[a : a + 1024] @ pivots.T
-        top = np.argpartition(-near, depth - 1, axis=1)[:, :depth]
-        rank = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-        out[a : a + 1024] = np.take_along_axis(top, rank, 1)
-    return out
-
-
-def _footrule(asking: np.ndarray, posted: np.ndarray) -> np.ndarray:
-    """Footrule distances of pivot orders; a pivot missing from the posting counts as behind its end."""
+class Pivots:
+    """Pivots in groups around a few of them, so that a vector is compared with the pivots of the nearest groups only."""
+
+    def __init__(self, vectors: np.ndarray):
+        """vectors: fixed-point rows, in random order."""
+        number = len(vectors)
+        self.centres = _unit(vectors[: math.isqrt(max(0, number - 1)) + 1])
+        owner = np.concatenate([(_unit(vectors[a : a + 4096]) @ self.centres.T).argmax(axis=1) for a in range(0, number, 4096)]) if number else np.zeros(0, dtype=np.int64)
+        self.names = np.argsort(owner, kind="stable").astype(np.int32)
+        self.members = vectors[self.names]
+        self.first = np.searchsorted(owner[self.names], np.arange(len(self.centres) + 1))
+        self.number = number
+
+    def nearest(self, vectors: np.ndarray) -> np.ndarray:
+        """The numbers of the ORDER nearest pivots of each vector, nearest first."""
+        depth, groups = min(ORDER, self.number), min(NEAR_GROUPS, len(self.centres))
+        near = vectors @ self.centres.T
+        of = np.argpartition(-near, groups - 1, axis=1)[:, :groups]
+        best = np.full((len(vectors), groups * depth), -9.0, dtype=np.float32)
+        name = np.zeros((len(vectors), groups * depth), dtype=np.int32)
+        place = np.argsort(of.ravel(), kind="stable")
+        ends = np.searchsorted(of.ravel()[place], np.arange(len(self.centres) + 1))
+        for g in np.flatnonzero(np.diff(ends)):
+            pairs = place[ends[g] : ends[g + 1]]
+            row, slot = pairs // groups, pairs % groups
+            score = vectors[row] @ _unit(self.members[self.first[g] : self.first[g + 1]]).T
+            names = self.names[self.first[g] : self.first[g + 1]]
+            top = np.argpartition(-score, depth - 1, axis=1)[:, :depth] if score.shape[1] > depth else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+            column = slot[:, None] * depth + np.arange(top.shape[1])
+            best[row[:, None], column] = np.take_along_axis(score, top, 1)
+            name[row[:, None], column] = names[top]
+        rank = np.argsort(-best, axis=1, kind="stable")[:, :depth]
+        # few pivots: groups that are not looked at can leave places open, which the first pivot fills
+        found = np.take_along_axis(name, rank, 1)
+        return np.where(np.take_along_axis(best, rank, 1) > -9, found, found[:, :1])
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows.astype(np.float32) / np.float32(SCALE)
+
+
+def footrule(asking: np.ndarray, posted: np.ndarray, file: int = 0) -> np.ndarray:
+    """Footrule distances of pivot orders, up to a constant: a pivot missing from an order counts as behind its end.
+
+    Over the pivots of both orders, the differences of places add up to a constant less twice the sum, over common pivots,
+    of the order's length less the greater place. So the sum of the greater places ranks as the footrule does. 255 marks
+    what the asking vectors meet in one of their first ``file`` files already.
+    """
     depth = posted.shape[1]
     known, local = np.unique(posted, return_inverse=True)
-    place = np.full((len(known) + 1, len(posted)), depth, dtype=np.int16)
-    place[local.reshape(posted.shape), np.arange(len(posted))[:, None]] = np.arange(depth, dtype=np.int16)
+    place = np.full((len(known) + 1, len(posted)), depth, dtype=np.uint8)
+    # backwards, so that the first of repeated pivots counts
+    for j in range(depth - 1, -1, -1):
+        place[local.reshape(posted.shape)[:, j], np.arange(len(posted))] = j
     found = np.searchsorted(known, asking)
     found = np.where((found < len(known)) & (known[np.minimum(found, len(known) - 1)] == asking), found, len(known))
-    total = np.zeros((len(asking), len(posted)), dtype=np.int16)
+    total = np.zeros((len(asking), len(posted)), dtype=np.uint8)
+    met = np.zeros(total.shape, dtype=bool)
     for j in range(depth):
-        total += np.abs(place[found[:, j]] - np.int16(j))
+        there = place[found[:, j]]
+        if j < file:
+            met |= there < INDEXED
+        total += np.maximum(there, np.uint8(j))
+    total[met] = 255
     return total
 
 
@@ -117,19 +165,21 @@ def similar(df: DataFrame, key: str, vector: str, k: int = 5, width: int = 64) -
     come out as strings. Recall is measured against brute force in the tests.
     """
     spark = df.sparkSession
-    members = usable(df, key, vector, width)
+    members = cut(usable(df, key, vector, width))
     classes = cut(distinct_vectors(members, k))
     number = classes.count()
-    pivots_wanted = min(MOST_PIVOTS, max(16, math.ceil(number / VECTORS_PER_PIVOT)))
-    # a bounded sample drawn by hash, without a shuffle: the pivots, and about three times as many vectors to foresee the lengths of the files
-    share = int(min(1.0, 4 * pivots_wanted / max(1, number)) * 1_000_000_000)
+    wanted = min(MOST_PIVOTS, max(16, math.ceil(number / VECTORS_PER_PIVOT)))
+    # a sample drawn by hash, without a shuffle: the pivots, and as many vectors again to foresee the lengths of the files
+    share = int(min(1.0, 2.2 * wanted / max(1, number)) * 1_000_000_000)
     order = F.xxhash64("rep")
     sample = classes.where(F.pmod(order, F.lit(1_000_000_000)) < share).select("vec", order.alias("order")).toArrow()
-    drawn = _floats(sample["vec"], width)[np.argsort(sample["order"].to_numpy(), kind="stable")] if sample.num_rows else np.zeros((0, width), dtype=np.float32)
-    pivots = drawn[: min(pivots_wanted, len(drawn))]
-    if len(pivots):
-        posted = np.bincount(nearest_pivots(drawn, pivots)[:, :INDEXED].ravel(), minlength=len(pivots))
-        parts = np.maximum(1, np.ceil(posted / len(drawn) * number / GROUP)).astype(np.int32)
+    fixed = np.frombuffer(b"".join(sample["vec"].to_pylist()), dtype=np.int16).reshape(-1, width)
+    fixed = fixed[np.argsort(sample["order"].to_numpy(), kind="stable")] if len(fixed) else fixed
+    pivots = Pivots(fixed[:wanted])
+    if pivots.number:
+        foreseen = np.concatenate([pivots.nearest(_unit(fixed[a : a + 4096]))[:, :INDEXED].ravel() for a in range(0, len(fixed), 4096)])
+        posted = np.bincount(foreseen, minlength=pivots.number)
+        parts = np.maximum(1, np.ceil(posted / len(fixed) * number / GROUP)).astype(np.int32)
     else:
         parts = np.zeros(0, dtype=np.int32)
     base = np.concatenate(([0], np.cumsum(parts)[:-1])) if len(parts) else parts
@@ -140,56 +190,57 @@ def similar(df: DataFrame, key: str, vector: str, k: int = 5, width: int = 64) -
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = nearest_pivots(_floats(batch.column(1), width), pivots)
-            row = np.repeat(np.arange(batch.num_rows), min(INDEXED, order.shape[1]))
-            place = np.tile(np.arange(min(INDEXED, order.shape[1])), batch.num_rows)
-            pivot = order[row, place].astype(np.int64)
+            order = pivots.nearest(_floats(batch.column(1), width))
+            files = min(INDEXED, order.shape[1])
+            row, file = np.repeat(np.arange(batch.num_rows), files), np.tile(np.arange(files), batch.num_rows)
+            pivot = order[row, file].astype(np.int64)
             # a posting lies in one part of its file, a query visits all of them
-            asks = place < ASKED
-            copies = np.where(asks, parts[pivot], 1)
-            own = (row * 2_654_435_761 + len(pivots) * 97) % parts[pivot]
+            copies = parts[pivot]
+            own = (row * 2_654_435_761 + pivot) % copies
             part = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-            row, pivot, asks, own = (np.repeat(x, copies) for x in (row, pivot, asks, own))
-            is_posting = np.where(asks, part == own, True)
-            cell = base[pivot] + np.where(asks, part, own)
+            row, file, pivot, own = (np.repeat(x, copies) for x in (row, file, pivot, own))
             take = pa.array(row)
             yield pa.record_batch(
                 [
-                    pa.array(cell.astype(np.int32)),
+                    pa.array((base[pivot] + part).astype(np.int32)),
+                    pa.array(parts[pivot].astype(np.int32)),
                     batch.column(0).take(take),
                     batch.column(1).take(take),
                     _binary(order).take(take),
                     batch.column(2).take(take),
-                    pa.array(is_posting),
-                    pa.array(asks),
+                    pa.array(part == own),
+                    pa.array(file.astype(np.int32)),
                 ],
-                names=["cell", "rep", "vec", "pivots", "copies", "posting", "asks"],
+                names=["cell", "parts", "rep", "vec", "pivots", "copies", "posting", "file"],
             )
 
     def search(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("rep")
         vectors = _floats(group["vec"], width)
-        order = np.frombuffer(b"".join(group["pivots"].to_pylist()), dtype=np.int16).reshape(len(vectors), -1)
+        order = np.frombuffer(b"".join(group["pivots"].to_pylist()), dtype=np.int32).reshape(len(vectors), -1)
         posting = np.flatnonzero(group["posting"].to_numpy())
-        asks = np.flatnonzero(group["asks"].to_numpy())
+        files = group["file"].to_numpy()
         ids, copies = group["rep"].combine_chunks(), group["copies"].to_numpy()
-        keep = max(RERANKED_LEAST, int(len(posting) * RERANKED_SHARE))
+        parts = group["parts"][0].as_py()
         found_row, found_other, found_cosine = [], [], []
-        for a in range(0, len(asks) if len(posting) else 0, 256):
-            part = asks[a : a + 256]
-            score = vectors[part] @ vectors[posting].T
-            score[posting[None, :] == part[:, None]] = -2
-            if len(posting) > keep:
-                distance = _footrule(order[part], order[posting])
-                score[distance > np.partition(distance, keep - 1, axis=1)[:, keep - 1 : keep]] = -2
-            top = min(k, len(posting))
+        asks = [(file, part[a : a + 128]) for file in range(INDEXED) if len(part := np.flatnonzero(files == file)) for a in range(0, len(part), 128)]
+        for file, part in asks if len(posting) else ():
+            # the parts of a long file share the candidates; a part may hold some more than its even share of the nearest
+            even = CANDIDATES[file] / parts
+            keep = min(len(posting), math.ceil(even + (2 * math.sqrt(even) if parts > 1 else 0)) + 1)
+            distance = footrule(order[part], order[posting], file)
+            near = np.argpartition(distance, keep - 1, axis=1)[:, :keep]
+            score = np.matmul(vectors[posting[near]], vectors[part][:, :, None])[:, :, 0]
+            score[(posting[near] == part[:, None]) | (np.take_along_axis(distance, near, 1) == 255)] = -2
+            top = min(k, keep)
             best = np.argpartition(-score, top - 1, axis=1)[:, :top]
             good = np.take_along_axis(score, best, 1) > -2
-            here, other = np.repeat(part, top)[good.ravel()], posting[best.ravel()[good.ravel()]]
+            here, other = np.repeat(part, top)[good.ravel()], posting[np.take_along_axis(near, best, 1).ravel()[good.ravel()]]
             found_row.append(here)
             found_other.append(other)
             # in double precision, so that a pair has one value wherever it is met
             found_cosine.append((vectors[here].astype(np.float64) * vectors[other].astype(np.float64)).sum(axis=1))
+        # a vector asks one file by one pivot, so all that it finds here is together
         here, other, cosine = (np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in ((found_row, np.int64), (found_other, np.int64), (found_cosine, np.float64)))
         starts = np.flatnonzero(np.diff(here, prepend=-1))
         near = pa.StructArray.from_arrays([pa.array(-cosine), ids.take(pa.array(other)), pa.array(copies[other] > 1)], names=["far", "rep", "many"])
@@ -197,7 +248,7 @@ def similar(df: DataFrame, key: str, vector: str, k: int = 5, width: int = 64) -
         return pa.table({"rep": ids.take(pa.array(here[starts])), "many": pa.array(copies[here[starts]] > 1), "near": lists})
 
     near_type = "array<struct<far: double, rep: string, many: boolean>>"
-    posts = classes.select("rep", "vec", "size").mapInArrow(post, "cell int, rep string, vec binary, pivots binary, copies long, posting boolean, asks boolean")
+    posts = classes.select("rep", "vec", "size").mapInArrow(post, "cell int, parts int, rep string, vec binary, pivots binary, copies long, posting boolean, file int")
     found = posts.groupBy("cell").applyInArrow(search, f"rep string, many boolean, near {near_type}")
     best = found.groupBy("rep", "many").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     # read three times below; the search runs once
@@ -205,18 +256,31 @@ def similar(df: DataFrame, key: str, vector: str, k: int = 5, width: int = 64) -
 
 
 def _members(best: DataFrame, classes: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """Neighbours of rows from neighbours of classes. Rows without copies near or of themselves go straight through."""
+    """Neighbours of rows from neighbours of classes. Rows without copies near or of themselves go straight through.
+
+    Rows with k copies or more have their neighbours among them.
+    """
     best = best.withColumn("mixed", F.col("many") | F.exists("near", lambda x: x["many"]))
     plain = best.where(~F.col("mixed")).select(F.col("rep").alias("id"), F.explode("near").alias("n")).select("id", F.col("n.rep").alias("neighbour"), (-F.col("n.far")).alias("cosine"))
     copied = classes.where(F.col("size") > 1)
-    # rows of classes with copies; a class that the index found no neighbour for is there as well
-    of_class = members.join(copied.select("vec", "rep", "heads"), "vec").select("id", "rep", "heads")
+    # rows of classes with copies; a class that the index found no neighbour for is there as well. Classes with a large share of all
+    # rows, at most HOT_CLASSES of them, are joined by broadcast, so that no key of the other join has more than that share
+    hot = F.col("size") > classes.agg((F.sum("size") / HOT_CLASSES).alias("least")).select("least").scalar()
+    of = copied.select("vec", "rep", "heads", "size", hot.alias("hot"))
+    hottest, rest = of.where("hot").drop("hot"), of.where("NOT hot").drop("hot")
+
+    def with_class(rows: DataFrame, on: str) -> DataFrame:
+        few = F.broadcast(hottest)
+        return rows.join(few, on).unionByName(rows.join(few.select(on), on, "left_anti").join(rest, on))
+
+    of_class = with_class(members, "vec").select("id", "rep", "heads", "size")
     mixed = best.where(F.col("mixed"))
-    seeker = mixed.where(~F.col("many")).select(F.col("rep").alias("id"), "rep").unionByName(of_class.select("id", "rep"))
+    seeker = mixed.where(~F.col("many")).select(F.col("rep").alias("id"), "rep").unionByName(of_class.where(F.col("size") <= k).select("id", "rep"))
     other = mixed.select("rep", F.explode("near").alias("n")).select("rep", "n.far", F.col("n.rep").alias("other"), F.col("n.many").alias("several"))
     # a neighbouring class stands for its least k + 1 members
     single = other.where(~F.col("several")).select("rep", "far", F.col("other").alias("neighbour"))
-    several = other.where("several").join(copied.select(F.col("rep").alias("other"), F.explode(F.slice("heads", 1, k)).alias("neighbour")), "other").select("rep", "far", "neighbour")
+    near = other.where("several").select(F.col("rep").alias("seeking"), "far", F.col("other").alias("rep"))
+    several = with_class(near, "rep").select(F.col("seeking").alias("rep"), "far", F.explode(F.slice("heads", 1, k)).alias("neighbour"))
     own = of_class.select("id", F.lit(-1.0).alias("far"), F.explode("heads").alias("neighbour")).where("id != neighbour")
     outside = seeker.join(_first(single.unionByName(several), "rep", k), "rep").select("id", "far", "neighbour")
     joined = _first(own.unionByName(outside), "id", k).select("id", "neighbour", (-F.col("far")).alias("cosine"))

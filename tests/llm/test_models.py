@@ -292,3 +292,27 @@ def test_features_are_finite():
         buckets, values = H.features(path, text)
         assert len(buckets) == len(values) and np.isfinite(values).all()
     assert isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+@settings(max_examples=30, deadline=None)
+@given(seed=st.integers(0, 10**6), n=st.integers(1, 40))
+def test_footrule_ranks_as_the_sum_of_differences(seed, n):
+    """Against the definition: places of both orders over all their pivots, missing ones behind the end."""
+    random = np.random.default_rng(seed)
+    depth = S.ORDER
+    orders = np.array([random.permutation(40)[:depth] for _ in range(n + 1)], dtype=np.int32)
+    got = S.footrule(orders[:1], orders[1:])[0].astype(int)
+    place = [{p: j for j, p in enumerate(o)} for o in orders.tolist()]
+    want = [sum(abs(place[0].get(p, depth) - other.get(p, depth)) for p in {*place[0], *other}) for other in place[1:]]
+    assert len({g * 2 - w for g, w in zip(got, want, strict=True)}) == 1
+
+
+def test_cosines_of_a_vector_are_bounded_and_recall_holds(spark):
+    """All vectors of a table in the index; candidates don't grow with the files."""
+    assert sum(S.CANDIDATES) < 1000
+    rows = spark.read.parquet("/root/testdata/sf0.01/code_chunks.parquet").select("chunk_id", "embedding").dropDuplicates(["chunk_id"])
+    got = {(r["id"], r["neighbour"]) for r in S.similar(rows, "chunk_id", "embedding").collect()}
+    kept = {r["chunk_id"]: r["embedding"] for r in rows.collect() if r["embedding"] and len(r["embedding"]) == 64 and np.isfinite(r["embedding"]).all() and any(r["embedding"])}
+    want = brute(kept, 5)
+    assert {a for a, _ in got} == set(kept)
+    assert len(got & want) / len(want) >= 0.95
