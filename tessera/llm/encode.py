@@ -1,10 +1,18 @@
 """Encoding of a corpus with a public byte-level tokenizer (problem 7).
 
-Method: DuckDB recursive queries inside each Spark partition. The distinct words of a block of documents become
-token-position rows; each step joins neighbouring positions with the merge table and contracts the leftmost pair of
-least rank of every word, until no word has a pair left. An ordered aggregation gives each word's ids, and documents
-are assembled from their words. Nothing is shuffled, no document leaves its partition, and memory is bounded by the
-block size and the worker's word book.
+Method: DuckDB recursive queries inside each Spark partition. All distinct words of a block of documents become
+token-position rows; each step joins neighbouring positions with the merge table and contracts pairs of every word, until
+no word has a pair left. The recursion is keyed by word and position: only the last state is held, only what a step
+changes is written, and a word without a pair leaves it. An ordered aggregation gives each word's ids, and documents are
+assembled from their words. Nothing is shuffled, no document leaves its partition, and memory is bounded by the block
+size and the worker's word book.
+
+A step contracts what repeated contraction of the leftmost pair of least rank would contract next, whatever else it did
+in between. A token comes from one merge, and merges that use it have greater ranks (checked when the table is read), so
+a contraction only makes pairs of at least the least rank that uses its token. Below the least such rank of a word's
+pairs, its sequence is that of the pairs that are there: of overlapping pairs the one of lesser rank goes first, of equal
+ones the left. Hence every such pair whose overlapping pairs come later is contracted at once, and in a run of equal pairs
+every second one from the left.
 """
 
 from __future__ import annotations
@@ -23,26 +31,37 @@ from tessera.llm.words import TOKENIZERS, WordBook
 BLOCK_CHARS = 24_000_000
 
 CONTRACT = """
-WITH RECURSIVE state(word, pos, token, step) AS (
-    SELECT word, pos, token, 0 FROM start
-    UNION ALL
-    SELECT word, pos, CASE WHEN pos = spot THEN merged ELSE token END, step + 1
+WITH RECURSIVE state(word, pos, token) USING KEY (word, pos) AS (
+    SELECT word, pos, token FROM start
+    UNION
+    SELECT word, unnest([pos, next_pos]) AS pos, unnest([merged, -1]) AS token
     FROM (
-        SELECT *, min(CASE WHEN rank IS NOT NULL THEN rank * 1048576 + pos END) OVER (PARTITION BY word) & 1048575 AS spot
+        SELECT *, max(CASE WHEN opens THEN place * 2 + free END) OVER (PARTITION BY word ORDER BY pos) AS run
         FROM (
-            SELECT s.word, s.pos, s.token, s.step, s.before, m.rank, m.merged
+            SELECT *, row_number() OVER w AS place, min(uses) OVER (PARTITION BY word) AS until,
+                NOT coalesce(lag(next_pos) OVER w = pos AND lag(rank) OVER w = rank, false) AS opens,
+                (NOT coalesce(lag(next_pos) OVER w = pos AND lag(rank) OVER w < rank, false))::INT AS free,
+                NOT coalesce(lead(pos) OVER w = next_pos AND lead(rank) OVER w < rank, false) AS last_free
             FROM (
-                SELECT *, lead(token) OVER w AS following, lag(pos) OVER w AS before FROM state
-                WINDOW w AS (PARTITION BY word ORDER BY pos)
-            ) s
-            LEFT JOIN merges m ON m.a = s.token AND m.b = s.following
+                SELECT s.word, s.pos, s.next_pos, m.rank, m.merged, m.uses
+                FROM (
+                    SELECT word, pos, token, lead(token) OVER o AS following, lead(pos) OVER o AS next_pos
+                    FROM recurring.state WHERE token >= 0 AND word IN (SELECT word FROM state)
+                    WINDOW o AS (PARTITION BY word ORDER BY pos)
+                ) s JOIN merges m ON m.a = s.token AND m.b = s.following
+            )
+            WINDOW w AS (PARTITION BY word ORDER BY pos)
         )
     )
-    WHERE spot IS NOT NULL AND before IS DISTINCT FROM spot
+    WHERE rank < until AND run & 1 = 1 AND (place - (run >> 1)) % 2 = 0 AND last_free
 )
-SELECT word, list(token ORDER BY pos) AS ids
-FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
-GROUP BY word ORDER BY word
+SELECT word, list(token ORDER BY pos) AS ids FROM state WHERE token >= 0 GROUP BY word ORDER BY word
+"""
+
+#: The merge table with the least rank of a merge that uses what each merge gives.
+MERGES = """
+CREATE TABLE merges AS SELECT m.*, coalesce(u.uses, 1000000000) AS uses FROM pairs m LEFT JOIN
+    (SELECT token, min(rank) AS uses FROM (SELECT a AS token, rank FROM pairs UNION ALL SELECT b, rank FROM pairs) GROUP BY token) u ON u.token = m.merged
 """
 
 
@@ -58,12 +77,8 @@ class ByteEncoder:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         letters = _byte_letters()
         self.byte_id = np.array([vocabulary[letters[b]] for b in range(256)], dtype=np.int32)
-        byte_of = {c: b for b, c in letters.items()}
-        self.whole = {
-            bytes(byte_of[c] for c in token): k for token, k in vocabulary.items() if all(c in byte_of for c in token)
-        }
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        merges = pa.table(  # noqa: F841 - DuckDB reads it by name
+        table = pa.table(
             {
                 "a": pa.array([vocabulary[a] for a, _ in pairs], pa.int32()),
                 "b": pa.array([vocabulary[b] for _, b in pairs], pa.int32()),
@@ -71,7 +86,10 @@ class ByteEncoder:
                 "merged": pa.array([vocabulary[a + b] for a, b in pairs], pa.int32()),
             }
         )
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
+        self.db.register("pairs", table)
+        self.db.execute(MERGES)
+        if self.db.sql("SELECT count(*) > count(DISTINCT merged) OR bool_or(uses <= rank) FROM merges").fetchall()[0][0]:
+            raise ValueError(f"{name}: a token of several merges, or used by an earlier one")
         self.book = WordBook()
         self._reset()
 
@@ -102,13 +120,7 @@ class ByteEncoder:
         new = [w.encode("utf-8", "surrogatepass") for w in self.book.words[len(self.length) :]]
         if not new:
             return
-        # a word that is a vocabulary entry is the fixpoint of its own contraction; tests hold this against the whole vocabulary
-        ids = [self.whole.get(w) for w in new]
-        open_words = [k for k, i in enumerate(ids) if i is None]
-        found = self._contract([new[k] for k in open_words]) if open_words else []
-        parts = [np.array([i], dtype=np.int32) if i is not None else None for i in ids]
-        for k, x in zip(open_words, found, strict=True):
-            parts[k] = x.astype(np.int32)
+        parts = [x.astype(np.int32) for x in self._contract(new)]
         added = np.array([len(p) for p in parts], dtype=np.int64)
         first = len(self.pool) + np.concatenate(([0], np.cumsum(added)[:-1]))
         self.pool = np.concatenate([self.pool, *parts])

@@ -1,6 +1,7 @@
 """Words, encoding, pieces and packing against public tokenizers and plain checks."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import words as W
-from tessera.llm.encode import ByteEncoder, decode_corpus, encode_corpus
+from tessera.llm.encode import ByteEncoder, _byte_letters, decode_corpus, encode_corpus
 from tessera.llm.packing import pack, pack_shard
 from tessera.llm.pieces import cut_document, cut_oversized
 
@@ -50,13 +51,41 @@ def test_special_long_and_blank_texts(encoder, public):
 
 
 def test_vocabulary_entries_are_their_own_fixpoint(encoder, public):
-    """The shortcut for words that are entries: contraction gives the entry itself."""
+    """Contraction of the bytes of an entry gives the entry itself."""
     with open(f"{W.TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as file:
-        size = len(json.load(file)["model"]["vocab"])
-    whole = [w for w in encoder.whole if w != b"<|endoftext|>"]
-    assert size - len(whole) <= 1
+        vocabulary = json.load(file)["model"]["vocab"]
+    byte_of = {c: b for b, c in _byte_letters().items()}
+    number = {bytes(byte_of[c] for c in token): k for token, k in vocabulary.items() if all(c in byte_of for c in token)}
+    whole = [w for w in number if w != b"<|endoftext|>"]
+    assert len(vocabulary) - len(whole) <= 1
     got = encoder._contract(whole)
-    assert all(x.tolist() == [encoder.whole[w]] for w, x in zip(whole, got, strict=True))
+    assert all(x.tolist() == [number[w]] for w, x in zip(whole, got, strict=True))
+
+
+def test_one_contraction_at_a_time_gives_the_same(encoder):
+    """Steps of many contractions against the definition: the leftmost pair of least rank, again and again."""
+    with open(f"{W.TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    rank = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): k for k, m in enumerate(model["merges"])}
+    letters, random = _byte_letters(), np.random.default_rng(8)
+    alphabets = ("etaoin shrdlu", "aab", "--==", "the and ing", "éßü日")
+    words = [bytes(alphabet[k] for k in random.integers(len(alphabet), size=random.integers(1, 60))) for alphabet in (a.encode() for a in alphabets) for _ in range(60)]
+    for word, got in zip(words, encoder._contract(words), strict=True):
+        parts = [letters[b] for b in word]
+        while pairs := [(rank[p], k) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rank]:
+            k = min(pairs)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        assert got.tolist() == [model["vocab"][p] for p in parts]
+
+
+def test_very_long_words(encoder, public):
+    random = np.random.default_rng(4)
+    long = "".join("abcdefghijklmnopqrstuvwxyz"[k] for k in random.integers(26, size=2_000_000))
+    for text in (long[:100_000], "a" * 100_000, long):
+        began = time.perf_counter()
+        ids, _ = encoder.encode([text])
+        assert len(text) > 100_000 or time.perf_counter() - began < 10
+        assert ids.tolist() == public.encode(text, add_special_tokens=False).ids
 
 
 def test_corpus_round_trip(spark):
