@@ -36,31 +36,30 @@ def read_ranks(folder: str, name: str) -> dict[bytes, int]:
 
 
 class WordBook:
-    """Distinct words seen by one worker, numbered in order of appearance; forgets everything beyond ``limit`` words."""
+    """Distinct words seen by one worker, numbered in order of appearance; full beyond ``limit`` words or ``most`` characters."""
 
-    def __init__(self, limit: int = 400_000, long_word: int = 0, piece: int = 0):
-        self.limit, self.long_word, self.piece = limit, long_word, piece
+    def __init__(self, limit: int = 400_000, most: int = 40_000_000):
+        self.limit, self.most = limit, most
         self.clear()
 
     def clear(self) -> None:
         self.words: list[str] = []
         self.number: dict[str, int] = {}
         self.runs: dict[str, tuple[int, ...]] = {}
+        self.chars = 0
 
     def full(self) -> bool:
-        return len(self.words) > self.limit or len(self.runs) > 2 * self.limit
+        return len(self.words) > self.limit or len(self.runs) > 2 * self.limit or self.chars > self.most
 
     def _cut(self, run: str) -> tuple[int, ...]:
         number, words = self.number, self.words
         found = []
-        cut = _WORD.findall(run)
-        if self.long_word and len(run) > self.long_word:
-            cut = [p for w in cut for p in ([w] if len(w) <= self.long_word else [w[k : k + self.piece] for k in range(0, len(w), self.piece)])]
-        for word in cut:
+        for word in _WORD.findall(run):
             k = number.get(word)
             if k is None:
                 k = number[word] = len(words)
                 words.append(word)
+                self.chars += len(word)
             found.append(k)
         return tuple(found)
 
@@ -81,14 +80,11 @@ class WordBook:
 class TokenCounts:
     """Word numbers with the number of tokens, and what problems 8 and 9 ask of a word; one per Python worker."""
 
-    #: Longer words are taken in slices of SLICE characters, whose tokens are counted one by one.
-    LONG_WORD, SLICE = 256, 64
-
     def __init__(self, folder: str, name: str):
         import tiktoken
 
         self.encoding = tiktoken.Encoding(name, pat_str=WORD_PATTERN, mergeable_ranks=read_ranks(folder, name), special_tokens={})
-        self.book = WordBook(long_word=self.LONG_WORD, piece=self.SLICE)
+        self.book = WordBook()
         self.forget()
 
     def forget(self) -> None:

@@ -159,6 +159,58 @@ def test_edits_anywhere_leave_distant_cuts(counts, size):
     assert same >= 0.9 * later
 
 
+@settings(max_examples=30, deadline=None)
+@given(seed=st.integers(0, 10**6), size=st.integers(12, 60), overlap=st.integers(0, 5))
+def test_no_piece_has_more_tokens_by_its_own_text(counts, seed, size, overlap):
+    """Long words, words of several signs a token and ordinary text, each piece counted by the tokenizer."""
+    random = np.random.default_rng(seed)
+    stock = ["x" * 300, "日本語" * 40, "".join(chr(97 + k) for k in random.integers(26, size=400)), "🙂🙃" * 30, " and ", "\n\n", "a short sentence. ", "é" * 90]
+    text = "".join(stock[k] for k in random.integers(len(stock), size=12))
+    numbers = counts.numbers(text)
+    counts.learn()
+    total = int(counts.tokens[numbers].sum())
+    assert total == len(counts.encoding.encode_ordinary(text))
+    if total > size:
+        pieces = cut_document(counts, text, numbers, size, overlap)
+        assert pieces[-1][3] == len(text) and all(a[3] >= b[2] for a, b in zip(pieces, pieces[1:], strict=False))
+        assert all(len(counts.encoding.encode_ordinary(text[a:b])) <= size for _, _, a, b, _ in pieces)
+
+
+def test_pieces_of_real_documents_keep_to_edits(counts):
+    """Appended, inserted and deleted text of another density in 40 long documents: pieces that don't touch the edit stay."""
+    import pyarrow.parquet as pq
+
+    texts = sorted((t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t), key=len)[-40:]
+    random = np.random.default_rng(2)
+    dense = " ".join("".join(chr(97 + k) for k in random.integers(26, size=14)) for _ in range(60))
+    kept = far = 0
+    for text in texts:
+        at = int(random.integers(len(text)))
+        for changed, low, high in ((text + "\n\n" + dense, len(text), 0), (text[:at] + dense + text[at:], at, len(text) - at), (text[:at] + text[at + 300 :], at, max(0, len(text) - at - 300))):
+            cuts = []
+            for t in (text, changed):
+                numbers = counts.numbers(t)
+                counts.learn()
+                cuts.append([(p[2], p[3], len(t) - p[2], len(t) - p[3]) for p in cut_document(counts, t, numbers, 256, 32)])
+            before, behind = {c[:2] for c in cuts[1]}, {c[2:] for c in cuts[1]}
+            # neighbours: the piece with the edit, and the two after it, until a landmark brings the cuts together again
+            edge = [k for k, c in enumerate(cuts[0]) if c[1] > low]
+            late = edge[0] + 3 if edge else len(cuts[0])
+            for k, c in enumerate(cuts[0]):
+                if c[1] < low - 256 * 5 or k > late and c[2] < high:
+                    far, kept = far + 1, kept + (c[:2] in before or c[2:] in behind)
+    assert far > 500 and kept >= 0.95 * far
+
+
+def test_a_text_of_exactly_the_capacity_is_not_split(spark, counts):
+    word = "".join(chr(97 + k) for k in np.random.default_rng(1).integers(26, size=3000))
+    text = f"see {word} end"
+    size = len(counts.encoding.encode_ordinary(text))
+    got = pack(spark.createDataFrame([(1, text), (2, "small")], "doc long, text string"), "doc", "text", [("p", size)]).collect()
+    assert [r["n_tokens"] for r in got if r["doc"] == 1] == [size]
+    assert cut_oversized(spark.createDataFrame([(1, text)], "doc long, text string"), "doc", "text", [("p", size, 8)]).count() == 0
+
+
 def test_oversized_only_and_bad_parameters(spark):
     frame = spark.createDataFrame([(1, "short"), (2, None), (3, ""), (4, "word " * 200), (5, "y" * 4000)], "doc long, text string")
     got = cut_oversized(frame, "doc", "text", [("p", 50, 5)]).collect()
