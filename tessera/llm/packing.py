@@ -1,9 +1,11 @@
 """Filling fixed-capacity containers with whole texts (problem 8).
 
-Method: lexical retrieval packing. Documents are spread evenly over shards; each shard is an inverted index scored by
-BM25 with document frequencies of the whole corpus. The largest unused document of a shard is the seed of a container,
-the unused documents that its words retrieve fill the window in order of score, and what room is left takes the
-largest unused documents that still fit. Shards hold a bounded number of tokens, so tasks stay equal at any size.
+Method: lexical retrieval packing. Documents are dealt to shards by their weightiest word, so that those which retrieve
+each other meet however many shards there are; each shard is an inverted index scored by BM25 with document frequencies of
+the whole corpus. The largest unused document of a shard is the seed of a container, the unused documents that its words
+retrieve fill the window in order of score, and what room is left takes the largest unused documents that still fit.
+Words share a shard until it is full, and the documents of a word that fill several are spread over them, so shards hold a
+bounded number of tokens and tasks stay equal at any size.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ BUCKETS = 1 << 18
 SHARD_TOKENS = 2_000_000
 #: BM25 parameters, and how many of the seed's words of greatest weight make the query.
 K1, B, QUERY_TERMS = 1.2, 0.75, 16
+#: How a text came into its container.
+HOW = ("seed", "retrieved", "size", "split")
 
 
 def _terms_of(word: str) -> tuple[int, ...]:
@@ -105,13 +109,13 @@ class _Unused:
         return int(self.order[k - 1]) if k else -1
 
 
-def pack_shard(sizes: np.ndarray, terms: np.ndarray, often: np.ndarray, owner: np.ndarray, idf: np.ndarray, average: float, capacity: int) -> np.ndarray:
-    """The container number of every item; terms, often and owner are the postings, in any order.
+def pack_shard(sizes: np.ndarray, terms: np.ndarray, often: np.ndarray, owner: np.ndarray, idf: np.ndarray, average: float, capacity: int, how: np.ndarray | None = None) -> np.ndarray:
+    """The container number of every item; terms, often and owner are the postings, in any order. ``how`` is filled with places in HOW.
 
     Every item has at most ``capacity`` tokens. Deterministic: equal scores go by item number.
     """
-    length = np.maximum(sizes, 1)
-    weight = idf[terms] * often * (K1 + 1) / (often + K1 * (1 - B + B * length[owner] / average))
+    weight = _weights(sizes, terms, often, owner, idf, average)
+    how = np.zeros(len(sizes), dtype=np.int8) if how is None else how
     by_term = np.lexsort((owner, terms))
     term, post_owner, post_weight = terms[by_term], owner[by_term], weight[by_term]
     by_owner = np.lexsort((-weight, owner))
@@ -134,28 +138,44 @@ def pack_shard(sizes: np.ndarray, terms: np.ndarray, often: np.ndarray, owner: n
                 for item in items[np.lexsort((items, -score))]:
                     if sizes[item] <= room:
                         unused.take(int(item))
-                        container[item] = number
+                        container[item], how[item] = number, 1
                         room -= int(sizes[item])
                         if not room:
                             break
         while room and (item := unused.largest(room)) >= 0:
             unused.take(item)
-            container[item] = number
+            container[item], how[item] = number, 2
             room -= int(sizes[item])
         number += 1
         if room == 0 and sizes[unused.order[0]] == 0 and not unused.used[unused.order[0]]:
             # texts without tokens go wherever a container is, full or not
             while (item := unused.largest(0)) >= 0:
                 unused.take(item)
-                container[item] = number - 1
+                container[item], how[item] = number - 1, 2
     return container
 
 
-SCHEMA = "profile string, container string, doc {}, part int, token_start long, n_tokens long"
+def _weights(sizes: np.ndarray, terms: np.ndarray, often: np.ndarray, owner: np.ndarray, idf: np.ndarray, average: float) -> np.ndarray:
+    """BM25 weights of postings."""
+    return idf[terms] * often * (K1 + 1) / (often + K1 * (1 - B + B * np.maximum(sizes, 1)[owner] / average))
+
+
+def weightiest(sizes: np.ndarray, terms: np.ndarray, often: np.ndarray, owner: np.ndarray, idf: np.ndarray, common: np.ndarray, average: float) -> np.ndarray:
+    """The term of greatest weight of each text, of those that other texts have as well if there are any; BUCKETS for texts without terms."""
+    weight = _weights(sizes, terms, often, owner, idf, average)
+    order = np.lexsort((terms, -weight, ~common[terms], owner))
+    first = np.searchsorted(owner[order], np.arange(len(sizes)))
+    has = np.bincount(owner, minlength=len(sizes)) > 0
+    out = np.full(len(sizes), BUCKETS, dtype=np.int32)
+    out[has] = terms[order[first[has]]]
+    return out
+
+
+SCHEMA = "profile string, container string, doc {}, part int, token_start long, n_tokens long, how string"
 
 
 def pack(df: DataFrame, key: str, text: str, profiles: Sequence[tuple[str, int]], name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(profile, container, key, part, token_start, n_tokens): every text in a container, for each (profile, capacity).
+    """(profile, container, key, part, token_start, n_tokens, how): every text in a container, for each (profile, capacity).
 
     A text over the capacity is split into parts of exactly the capacity, each a container of its own, and a
     remainder that is packed like a text; no other text is split. Null and empty texts have no tokens and go into any
@@ -163,14 +183,31 @@ def pack(df: DataFrame, key: str, text: str, profiles: Sequence[tuple[str, int]]
     """
     docs = cut(sized(df, key, text, name, folder))
     total, number = docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
-    shards = max(1, -(-int(total) // SHARD_TOKENS))
     average = max(1.0, total / max(1, number))
     # at most BUCKETS rows, however large the corpus
     frequency = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).toPandas()
     n = np.zeros(BUCKETS)
     n[frequency["term"].to_numpy(dtype=np.int64)] = frequency["n"].to_numpy(dtype=np.float64)
     idf = np.log1p((number - n + 0.5) / (n + 0.5)).astype(np.float32)
-    shared = df.sparkSession.sparkContext.broadcast(idf)
+    spark = df.sparkSession
+    shared, common = spark.sparkContext.broadcast(idf), spark.sparkContext.broadcast(n > 1)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            often = batch.column(3).flatten().to_numpy().astype(np.float32)
+            key = weightiest(batch.column(1).to_numpy(), lists.flatten().to_numpy(), often, owner, shared.value, common.value, average)
+            yield pa.record_batch([*batch.columns, pa.array(key)], names=["doc", "n_tokens", "terms", "often", "key"])
+
+    kind = df.schema[key].dataType.simpleString()
+    with_key = docs.mapInArrow(keyed, f"doc {kind}, n_tokens long, terms array<int>, often array<int>, key int")
+    # at most BUCKETS + 1 rows: which shards the texts of a word go to, in order of the words
+    loads = with_key.groupBy("key").agg(F.sum(F.col("n_tokens") + 1).alias("load")).toPandas().sort_values("key")
+    load = loads["load"].to_numpy(dtype=np.int64)
+    loads["first"] = (np.cumsum(load) - load) // SHARD_TOKENS
+    loads["span"] = np.maximum(1, -(-load // SHARD_TOKENS))
+    places = spark.createDataFrame(loads[["key", "first", "span"]].astype(np.int64), "key long, first long, span long")
 
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
@@ -192,7 +229,8 @@ def pack(df: DataFrame, key: str, text: str, profiles: Sequence[tuple[str, int]]
             of_doc = np.full(len(whole), -1)
             of_doc[item] = np.arange(len(item))
             ours = of_doc[owner] >= 0
-            container = pack_shard(rest[item], terms[ours], often[ours], of_doc[owner[ours]], shared.value, average, capacity)
+            how = np.zeros(len(item), dtype=np.int8)
+            container = pack_shard(rest[item], terms[ours], often[ours], of_doc[owner[ours]], shared.value, average, capacity, how)
             split = np.repeat(np.arange(len(whole)), full)
             part = np.arange(len(split)) - np.repeat(np.cumsum(full) - full, full)
             rows = np.concatenate([item, split])
@@ -207,11 +245,12 @@ def pack(df: DataFrame, key: str, text: str, profiles: Sequence[tuple[str, int]]
                         "part": pa.array(parts, pa.int32()),
                         "token_start": pa.array(parts * capacity, pa.int64()),
                         "n_tokens": pa.array(np.concatenate([rest[item], np.full(len(split), capacity)]), pa.int64()),
+                        "how": pa.array([HOW[h] for h in how] + ["split"] * len(split), pa.string()),
                     }
                 )
             )
         return pa.concat_tables(out)
 
-    kind = df.schema[key].dataType.simpleString()
-    rows = docs.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int"))
+    shard = (F.col("first") + F.pmod(F.xxhash64("doc"), F.col("span"))).cast("int")
+    rows = with_key.join(F.broadcast(places), "key").select("doc", "n_tokens", "terms", "often", shard.alias("shard"))
     return rows.groupBy("shard").applyInArrow(run, SCHEMA.format(kind)).withColumnRenamed("doc", key)

@@ -206,9 +206,10 @@ def p8_containers(spark, root):
 
 @query
 def p8_fill(spark, root):
-    """Containers, tokens and share of the capacity used, per size profile."""
+    """Containers, tokens, share of the capacity used, and how many texts were retrieved by a seed, per size profile."""
     packed = p8_containers(spark, root).groupBy("profile").agg(
-        F.count_distinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.count_distinct("doc_id").alias("n_docs")
-    )
+        F.count_distinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.count_distinct("doc_id").alias("n_docs"),
+        F.count_if(F.col("how") == "retrieved").alias("n_retrieved"), F.count_if(F.col("how") == "size").alias("n_by_size"),
+    )
     sizes = table(spark, root, "size_profiles").select("profile", "capacity_tokens")
     return packed.join(sizes, "profile").withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))

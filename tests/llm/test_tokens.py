@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tessera.llm import packing
 from tessera.llm import words as W
 from tessera.llm.encode import ByteEncoder, _byte_letters, decode_corpus, encode_corpus
 from tessera.llm.packing import pack, pack_shard
@@ -248,3 +249,19 @@ def test_packing_splits_only_what_exceeds(spark):
         assert max(used.values()) <= capacity
         assert len([r for r in mine if r["doc"] == 1]) == (3 if capacity == 50 else 1)
     assert pack(frame.limit(0), "doc", "text", [("small", 50)]).count() == 0
+
+
+def test_shards_hold_what_retrieves_each_other(spark, monkeypatch):
+    """Many small shards: texts of one subject meet, a subject larger than a shard is spread, nothing is lost."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 400)
+    rows = [(f"d{k:04d}", f"the subject{k % 40} of report and {'more ' * (k % 7)}") for k in range(400)] + [(f"h{k:04d}", "hot hot words everywhere") for k in range(300)] + [("n", None)]
+    frame = spark.createDataFrame(rows, "doc string, text string")
+    got = pack(frame, "doc", "text", [("p", 64)]).collect()
+    assert sorted(r["doc"] for r in got) == sorted(r[0] for r in rows)
+    used, subjects = {}, {}
+    for r in got:
+        used[r["container"]] = used.get(r["container"], 0) + r["n_tokens"]
+        subjects.setdefault(r["container"], set()).add(r["doc"][0] + str(int(r["doc"][1:] or 0) % 40 if r["doc"][0] == "d" else ""))
+    assert max(used.values()) <= 64
+    assert len({r["container"].split("-")[1] for r in got}) > 8
+    assert sum(r["how"] == "retrieved" for r in got) > sum(r["how"] == "size" for r in got)
