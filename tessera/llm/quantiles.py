@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 K, FAN = 1024, 8
 #: Values a task holds before it passes its sketches on and begins new ones.
 HELD = 4_000_000
-#: Sketches that one merging task reads at most, for partitions numbered evenly.
+#: Values that a group weighs besides its own.
+SMALL = 64
+#: Partitions whose sketches one task merges first; a second step merges what they give.
 MERGE_WIDTH = 64
 
 GROUP = ["dim", "key", "period", "metric"]
@@ -32,6 +34,7 @@ class Sketch:
 
     def __init__(self) -> None:
         self.n, self.bound, self.low, self.high = 0, 0.0, np.inf, -np.inf
+        self.buffered = 0
         self.open: list[np.ndarray] = []
         self.waiting = 0
         self.levels: list[list[np.ndarray]] = []
@@ -57,10 +60,12 @@ class Sketch:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(buffer)
+        self.buffered += len(buffer)
         if len(self.levels[level]) == FAN:
             # all of one weight: position j of the K selected is the middle of the j-th stretch of FAN values
             together = np.sort(np.concatenate(self.levels[level]))
             self.levels[level] = []
+            self.buffered -= len(together)
             middle = FAN // 2 - (len(self.levels) > level + 1 and len(self.levels[level + 1]) % 2)
             self.bound += FAN ** (level + 1) / 2
             self._put(level + 1, together[middle::FAN])
@@ -141,9 +146,12 @@ def sketches(df: DataFrame, dims: Sequence[str], metrics: Sequence[str], period:
                         name = (dim, keys[kind // len(periods)], periods[kind % len(periods)], metric)
                         if name not in groups:
                             groups[name] = Sketch()
-                        groups[name].add(values[good[order[a:b]]])
-                    held += len(good)
-            if held > HELD and sum(s.waiting + K * sum(map(len, s.levels)) for s in groups.values()) > HELD:
+                        sketch = groups[name]
+                        held -= sketch.waiting + sketch.buffered
+                        sketch.add(values[good[order[a:b]]])
+                        # a group counts as some values more, so that many small groups are passed on as well
+                        held += sketch.waiting + sketch.buffered + (SMALL if sketch.n == b - a else 0)
+            if held > HELD:
                 yield from out()
                 held = 0
         yield from out()
@@ -180,7 +188,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Sketch]]:
 
 
 def merged(parts: DataFrame, width: int = MERGE_WIDTH) -> DataFrame:
-    """One sketch per group from any number of sketches of each, about ``width`` at a time where there are many.
+    """One sketch per group from any number of sketches of each: those of ``width`` partitions together first, then the rest.
 
     Rows of a group come one after another and in a fixed order, so that a task holds one sketch at a time and a rerun
     gives the same result.
@@ -202,12 +210,28 @@ def merged(parts: DataFrame, width: int = MERGE_WIDTH) -> DataFrame:
             yield _batch(done)
 
     fixed = ["n", "low", "high", "bound", "levels", "buffers"]
-    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while tasks > width:
-        tasks = -(-tasks // width)
-        salted = parts.withColumn("salt", F.spark_partition_id() % tasks)
-        parts = salted.repartition(*GROUP, "salt").sortWithinPartitions("salt", *GROUP, *fixed).drop("salt").mapInArrow(run, SKETCH)
-    return parts.repartition(*GROUP).sortWithinPartitions(*GROUP, *fixed).mapInArrow(run, SKETCH)
+    salted = parts.withColumn("salt", F.floor(F.spark_partition_id() / width))
+    first = salted.repartition(*GROUP, "salt").sortWithinPartitions("salt", *GROUP, *fixed).drop("salt").mapInArrow(run, SKETCH)
+    return first.repartition(*GROUP).sortWithinPartitions(*GROUP, *fixed).mapInArrow(run, SKETCH)
+
+
+def ranks_within(df: DataFrame, dims: Sequence[str], metrics: Sequence[str], found: DataFrame) -> DataFrame:
+    """(dim, key, metric, p, n, within): whether the rank of each percentile of ``found`` is within its proven error, counted over all rows.
+
+    ``found`` is what ``percentiles`` gives over one period of all rows. Values are counted per group and value first, so no
+    task holds all rows of a group.
+    """
+    pairs = [F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("key"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for d in dims for m in metrics]
+    rows = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = rows.groupBy("dim", "key", "metric", "value").agg(F.count(F.lit(1)).alias("often"))
+    points = found.select("dim", F.col("key").alias("of"), "metric", "p", "n", F.col("value").alias("at"), "rank_error")
+    both = counts.join(points, (counts["dim"] == points["dim"]) & (counts["metric"] == points["metric"]) & counts["key"].eqNullSafe(points["of"]))
+    sums = both.groupBy(points["dim"], points["metric"], "of", "p", "n", "rank_error").agg(
+        F.sum(F.when(F.col("value") < F.col("at"), F.col("often")).otherwise(0)).alias("below"), F.sum(F.when(F.col("value") <= F.col("at"), F.col("often")).otherwise(0)).alias("upto"), F.sum("often").alias("counted")
+    )
+    rank, off = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n"))), F.col("rank_error") * F.col("n")
+    within = (F.col("below") + 1 - off <= rank) & (rank <= F.col("upto") + off) & (F.col("counted") == F.col("n"))
+    return sums.select("dim", F.col("of").alias("key"), "metric", "p", "n", within.alias("within"))
 
 
 def percentiles(sketched: DataFrame, points: Sequence[float]) -> DataFrame:

@@ -10,7 +10,7 @@ from tessera.sources.files import file_texts
 from tessera.llm.handwritten import scored
 from tessera.llm.packing import pack
 from tessera.llm.pieces import cut_oversized
-from tessera.llm.quantiles import merged, percentiles, sketches
+from tessera.llm.quantiles import merged, percentiles, ranks_within, sketches
 from tessera.llm.similar import pairs, similar
 from tessera.llm.syntax import EXTENSIONS, fault_rates, parse_faults
 from tessera.sources.tables import table
@@ -98,18 +98,31 @@ def p3_weeks(spark, root):
 
 @query
 def p3_exact_small_groups(spark, root):
-    """Days with few values, for which the sketch is exact."""
-    return p3_days(spark, root).where(F.col("n") < 8192).select("dim", "key", "period", "metric", "n", "p", "value")
+    """All groups of all days; values where the sketch is exact, null where it is an approximation."""
+    return p3_days(spark, root).select("dim", "key", "period", "metric", "n", "p", F.when(F.col("rank_error") == 0, F.col("value")).alias("value"))
 
 
-SQL["p3_exact_small_groups"] = """
-    WITH r AS (SELECT DISTINCT ON (request_id) * FROM ai_request_metrics ORDER BY request_id),
+_LONG = """r AS (SELECT DISTINCT ON (request_id) * FROM ai_request_metrics ORDER BY request_id),
     l AS (SELECT d.dim, d.key, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS period, m.metric, m.value::DOUBLE AS value FROM r,
             LATERAL (VALUES ('source', source), ('model', model), ('repo_id', repo_id), ('all', 'all')) AS d(dim, key),
-            LATERAL (VALUES ('duration_ms', duration_ms), ('total_tokens', total_tokens)) AS m(metric, value) WHERE m.value IS NOT NULL),
+            LATERAL (VALUES ('duration_ms', duration_ms), ('total_tokens', total_tokens)) AS m(metric, value) WHERE m.value IS NOT NULL)"""
+
+SQL["p3_exact_small_groups"] = f"""
+    WITH {_LONG},
     o AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY dim, key, period, metric) AS n FROM l WINDOW w AS (PARTITION BY dim, key, period, metric ORDER BY value))
-    SELECT dim, key, period, metric, n, p, value FROM o, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) AS q(p)
-    WHERE n < 8192 AND rn = greatest(1, ceil(p * n))"""
+    SELECT dim, key, period, metric, n, p, CASE WHEN n < 8192 THEN value END AS value FROM o, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) AS q(p)
+    WHERE rn = greatest(1, ceil(p * n))"""
+
+
+@query
+def p3_within_bound(spark, root):
+    """Every percentile over all days, held against the ranks counted over all requests: is it within its proven error?"""
+    rows = requests(spark, root).withColumn("all", F.lit("all"))
+    return ranks_within(rows, ["source", "model", "repo_id", "all"], ["duration_ms", "total_tokens"], p3_percentiles(spark, root))
+
+
+SQL["p3_within_bound"] = f"""
+    WITH {_LONG} SELECT dim, key, metric, p, count(*) AS n, true AS within FROM l, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) AS q(p) GROUP BY ALL"""
 
 
 @query

@@ -3,13 +3,13 @@
 Method: a lexer per language feeds a pushdown stack. The lexer finds unterminated literals, illegal characters and
 merge-conflict markers (outside strings and comments); the stack finds unbalanced delimiters and premature ends, and
 remembers in each frame what a colon may mean there. Rules on neighbouring tokens find text of another language and
-cuts in the middle. Python and JSON files that pass are held against the parsers Python brings along.
+cuts in the middle. JSON needs no more. Python files that pass are
+held against the parser Python brings along, which alone knows its statements.
 """
 
 from __future__ import annotations
 
 import ast
-import json
 import re
 import warnings
 from collections.abc import Iterator
