@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.models import kept
+
 #: Hash buckets of the features.
 FEATURES = 1 << 17
 #: Chunks of the training sample, about; drawn by a hash of the chunk's id. Of their lines without a secret so many are learned, half of them such as have a name or a value like those of secrets.
@@ -625,7 +627,11 @@ def training_lines(texts: list[str]) -> list[tuple[str, list[tuple[int, int]]]]:
 
 
 def train_field(df: DataFrame, key: str, text: str) -> ChainField:
-    """A field for these chunks, from about SAMPLE_CHUNKS of them; a table without lines to learn from gives one that finds nothing."""
+    """A field for these chunks, from about SAMPLE_CHUNKS of them, or from the folder for models; a table without lines to learn from gives one that finds nothing."""
+    return kept(df.sparkSession, "credentials", lambda: _fitted(df, key, text))
+
+
+def _fitted(df: DataFrame, key: str, text: str) -> ChainField:
     df = df.select(key, text)
     number = df.count()
     drawn = F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(min(1.0, SAMPLE_CHUNKS / max(1, number)) * 1_000_000))

@@ -21,14 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.models import kept
 from tessera.session import cut
 
 #: Buckets of n-grams and of components; lengths of the n-grams in bytes.
 GRAM_BUCKETS, PART_BUCKETS, GRAMS = 1 << 16, 1 << 13, (4, 6)
 #: Files of the training sample, about; drawn by a hash of file_id from all files.
 SAMPLE_FILES = 6000
-#: Runs of this many code lines are compared between repositories; so many least hashes stand for a file.
-LINES, HASHES = 3, 8
+#: Runs of this many code lines are compared between repositories; what part of a file's runs others have counts in so many steps.
+LINES, STEPS = 3, 8
 ROUNDS, EPOCHS, COSTS, HELD_OUT = 4, 10, (1.0, 4.0), 5
 #: In each round, unlabelled files above the first score are left out, those above the second count as unwritten.
 DOUBTFUL, SURE = -0.7, 0.2
@@ -59,7 +60,7 @@ def gives_away(path: str, text: str) -> bool:
     head = "\n".join(line for line in text.split("\n")[:12] if _COMMENT.match(line))
     if _HEAD.search(head):
         return True
-    if len(text) > 4000 and sum(len(m) for m in _LITERAL.findall(text[:60_000])) > 0.75 * min(len(text), 60_000):
+    if len(text) > 4000 and sum(m.end() - m.start() for m in _LITERAL.finditer(text)) > 0.75 * len(text):
         return True
     return len(text) > 800 and parts[-1].endswith((".js", ".mjs")) and len(text) > 300 * (text.count("\n") + 1)
 
@@ -88,6 +89,10 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return buckets, values / np.linalg.norm(values)
 
 
+#: Letters among the first 128 characters; the last entry stands for all others.
+_IS_LETTER = np.array([chr(k).isalpha() for k in range(128)] + [True])
+
+
 def _bucket(part: str) -> int:
     return GRAM_BUCKETS + zlib.crc32(part.encode("utf-8", "surrogatepass")) % PART_BUCKETS
 
@@ -96,7 +101,8 @@ def components(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values) of directories, parts of the name and the shape of the text."""
     *dirs, name = path.split("/")
     lines = text.count("\n") + 1
-    letters = sum(map(str.isalpha, text[:: max(1, len(text) // 2000)])) / max(1, len(text[:: max(1, len(text) // 2000)]))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letters = float((_IS_LETTER[np.minimum(codes, 128)]).mean()) if len(codes) else 0.0
     parts = [f"dir:{re.sub(r'[0-9]+', '0', d)}" for d in dirs]
     parts += [f"name:{re.sub(r'[0-9]+', '0', p)}" for p in re.split(r"[._-]", name)[1:]] + [f"end:{name[name.find('.') :]}" if "." in name else "end:"]
     parts += [f"long:{min(12, int(np.log2(len(text) / lines + 1)))}", f"size:{int(np.log2(len(text) + 1))}", f"letters:{int(letters * 10)}"]
@@ -206,38 +212,44 @@ def train(sample: pd.DataFrame) -> LinearModel:
 
 
 def with_hashes(files: DataFrame) -> DataFrame:
-    """Adds hashes: the HASHES least hashes of runs of LINES code lines; comments, imports and short lines don't count."""
+    """Adds hashes: those of the distinct runs of LINES code lines; comments, imports and short lines don't count."""
     line = "transform(split(text, '\\n'), x -> trim(BOTH ' \\t\\r{}();,' FROM x))"
     code = F.expr(f"filter({line}, x -> length(x) >= 12 AND NOT x RLIKE '^(//|#|[*]|/[*]|import |from |use strict|package )' AND NOT contains(x, 'require('))")
     with_code = files.withColumn("code", code)
     runs = F.expr(f"CASE WHEN size(code) >= {LINES} THEN transform(sequence(0, size(code) - {LINES}), i -> xxhash64({', '.join(f'code[i + {k}]' for k in range(LINES))})) ELSE array() END")
-    return with_code.withColumn("hashes", F.slice(F.array_sort(F.array_distinct(runs)), 1, HASHES)).drop("code")
+    return with_code.withColumn("hashes", F.array_distinct(runs)).drop("code")
 
 
 def shared_hashes(files: DataFrame) -> DataFrame:
-    """(file_id, shared): how many of a file's hashes, in eighths, occur in another repository as well; absent where none."""
-    each = files.select("file_id", F.coalesce("repo_id", F.lit("")).alias("repo"), F.size("hashes").alias("of"), F.explode("hashes").alias("hash"))
+    """(file_id, shared): what part of a file's hashes, all of them counted, occurs in another repository as well, in STEPS steps; absent where none."""
+    each = files.select("file_id", F.xxhash64(F.coalesce("repo_id", F.lit(""))).alias("repo"), F.size("hashes").alias("of"), F.explode("hashes").alias("hash"))
     common = each.groupBy("hash").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a != b").select("hash")
+    # a run that a large part of all files has is dealt over several tasks by AQE; what is joined are two numbers a run
     hits = each.join(common, "hash").groupBy("file_id", "of").agg(F.count(F.lit(1)).alias("n"))
-    return hits.select("file_id", F.round(F.col("n") * HASHES / F.col("of")).cast("int").alias("shared"))
+    return hits.select("file_id", F.round(F.col("n") * STEPS / F.col("of")).cast("int").alias("shared"))
+
+
+def _fitted(files: DataFrame, shared: DataFrame) -> LinearModel:
+    """The classifier from about SAMPLE_FILES of the files."""
+    number = files.count()
+    drawn = F.pmod(F.xxhash64("file_id"), F.lit(1_000_000)) < F.lit(int(min(1.0, SAMPLE_FILES / max(1, number)) * 1_000_000))
+    body = F.array_join(F.slice(F.array_sort("hashes").cast("array<string>"), 1, 4), " ").alias("body")
+    sample = files.where(drawn).select("file_id", "file_path", "repo_id", "text", body).toPandas().sort_values("file_id")
+    known = shared.where(drawn).toPandas()
+    sample = sample.merge(known, on="file_id", how="left").fillna({"shared": 0})
+    return train(sample)
 
 
 def scored(files: DataFrame) -> tuple[DataFrame, LinearModel]:
     """(file_id, file_path, score), unwritten where score > 0; from file_id, file_path, repo_id and text.
 
     Null texts and paths count as empty; an empty file gets the score of its path and shape. Every file is scored by
-    its whole text.
+    its whole text. The classifier is fitted on about SAMPLE_FILES of the files, or taken from the folder for models.
     """
     files = files.select("file_id", F.coalesce("file_path", F.lit("")).alias("file_path"), "repo_id", F.coalesce("text", F.lit("")).alias("text"))
     files = cut(with_hashes(files))
     shared = cut(shared_hashes(files))
-    number = files.count()
-    drawn = F.pmod(F.xxhash64("file_id"), F.lit(1_000_000)) < F.lit(int(min(1.0, SAMPLE_FILES / max(1, number)) * 1_000_000))
-    body = F.array_join(F.slice(F.col("hashes").cast("array<string>"), 1, 4), " ").alias("body")
-    sample = files.where(drawn).select("file_id", "file_path", "repo_id", "text", body).toPandas().sort_values("file_id")
-    known = shared.where(drawn).toPandas()
-    sample = sample.merge(known, on="file_id", how="left").fillna({"shared": 0})
-    model = train(sample)
+    model = kept(files.sparkSession, "handwritten", lambda: _fitted(files, shared))
     weights = files.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +262,6 @@ def scored(files: DataFrame) -> tuple[DataFrame, LinearModel]:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["file_id", "file_path", "score"])
 
     own = files.select("file_id", "file_path", "text").mapInArrow(run, "file_id string, file_path string, score double")
-    part = [float(model.weights[_shared_part(k)] * SHARED_VALUE) for k in range(HASHES + 1)]
+    part = [float(model.weights[_shared_part(k)] * SHARED_VALUE) for k in range(STEPS + 1)]
     extra = F.element_at(F.array(*[F.lit(p) for p in part]), F.coalesce("shared", F.lit(0)) + 1)
     return own.join(shared, "file_id", "left").select("file_id", "file_path", (F.col("score") + extra).alias("score")), model

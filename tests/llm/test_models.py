@@ -316,3 +316,18 @@ def test_cosines_of_a_vector_are_bounded_and_recall_holds(spark):
     want = brute(kept, 5)
     assert {a for a, _ in got} == set(kept)
     assert len(got & want) / len(want) >= 0.95
+
+
+def test_models_are_fitted_once(spark, tmp_path):
+    from tessera.llm import models
+
+    fitted = []
+    fit = lambda: fitted.append(1) or {"weights": np.arange(3)}
+    assert models.kept(spark, "m", fit)["weights"].tolist() == [0, 1, 2] and len(fitted) == 1
+    spark.conf.set(models.SETTING, str(tmp_path))
+    try:
+        for _ in range(3):
+            assert models.kept(spark, "m", fit)["weights"].tolist() == [0, 1, 2]
+        assert len(fitted) == 2
+    finally:
+        spark.conf.unset(models.SETTING)
