@@ -8,31 +8,40 @@ from pyspark.sql import functions as F
 from tessera.functions.text import normal_path
 from tessera.session import cut
 
-#: Endings tried for an import without extension, in this order (fixed values).
-SUFFIXES = ("", ".ts", ".js", ".mjs", ".py", ".go", ".java", "/index.ts", "/index.js", "/__init__.py")
+# Endings that an import may leave out, endings tried for a relative import in this order, and for others.
+KNOWN_ENDINGS = ("ts", "tsx", "js", "jsx", "py", "go", "java", "kt", "php", "rs")
+RELATIVE = ("", ".ts", ".tsx", "/index.ts", "/index.tsx", ".js", ".vue", ".py", "/__init__.py", ".go", ".java", ".kt", ".php", ".rs")
+ABSOLUTE = (".ts", ".tsx", "/index.ts", ".py", "/__init__.py", ".go", ".java", ".kt", ".php", ".rs", "")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Adds resolved: the file an import names, null if it names none of ``files``.
 
-    imports has src_file, target_path and repo; files has file_path and repo. A relative target is joined to the
-    importing file's directory (python's leading dots go up) and tried with each ending; the first that is a file of
-    the same repository wins. Targets beginning with ``pkg:`` name packages. An equi-join on (repo, candidate), so
-    a repository with many files is no scan for each import.
+    imports has src_file, target_path and repo; files has file_path and repo. A known ending of the target is left out. A
+    relative target is joined to the importing file's directory (python's leading dots go up) and tried with each ending
+    of RELATIVE; the first that is a file of the same repository wins. Others lose a leading ``@/`` or ``~/``, dots become
+    slashes where there is no slash, and the least file whose path ends with one of the ABSOLUTE forms wins. Targets
+    beginning with ``pkg:`` name packages. Files are indexed by path and by every suffix of it, one file a key, so this is
+    one equi-join on (repo, key), and a repository with many files is no scan for each import.
     """
     directory = F.regexp_replace("src_file", "[^/]*$", "")
     target = F.col("target_path")
+    base = F.regexp_replace(target, rf"\.({'|'.join(KNOWN_ENDINGS)})$", "")
     dots = F.length(F.regexp_extract(target, r"^(\.+)[^./]*", 1))
-    python = target.rlike(r"^\.+[A-Za-z_]") & ~target.startswith("./") & ~target.startswith("../")
-    up = F.when(python, F.concat(F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), F.translate(F.regexp_replace(target, r"^\.+", ""), ".", "/"))).otherwise(target)
+    python = target.rlike(r"^\.+[A-Za-z_]")
+    up = F.when(python, F.concat(F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), F.translate(F.regexp_replace(target, r"^\.+", ""), ".", "/"))).otherwise(base)
     path = normal_path(F.concat(directory, up))
-    bare = F.regexp_replace(path, r"\.(ts|js|mjs|py|go|java)$", "")
-    known = imports.withColumn("path", F.when(~target.startswith("pkg:"), path)).withColumn("bare", bare)
-    pairs = [F.struct(F.lit(k).alias("rank"), F.concat(F.when(F.lit(s == ""), F.col("path")).otherwise(F.col("bare")), F.lit(s)).alias("candidate")) for k, s in enumerate(SUFFIXES)]
-    wanted = known.where(F.col("path").isNotNull()).select("repo", "src_file", "target_path", F.explode(F.array(*pairs)).alias("c")).select("repo", "src_file", "target_path", "c.*").distinct()
-    there = files.select("repo", F.col("file_path").alias("candidate")).distinct()
-    hits = wanted.join(there, ["repo", "candidate"]).groupBy("repo", "src_file", "target_path").agg(F.min_by("candidate", "rank").alias("resolved"))
-    return imports.join(hits, ["repo", "src_file", "target_path"], "left")
+    clean = F.when(~F.contains(base, F.lit("/")) & F.contains(base, F.lit(".")), F.translate(base, ".", "/")).otherwise(F.regexp_replace(base, "^[@~]/", ""))
+    near = F.array(*[F.struct(F.lit(k).alias("rank"), F.concat(F.lit("="), path, F.lit(s)).alias("key")) for k, s in enumerate(RELATIVE)])
+    far = F.array(*[F.struct(F.lit(0).alias("rank"), F.concat(F.lit("/"), clean, F.lit(s)).alias("key")) for s in ABSOLUTE])
+    known = imports.where(~target.startswith("pkg:")).select("repo", "src_file", "target_path").distinct()
+    wanted = known.select("repo", "src_file", "target_path", F.explode(F.when(target.startswith("."), near).otherwise(far)).alias("c")).select("repo", "src_file", "target_path", "c.*")
+    parts = F.split("file_path", "/")
+    suffixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, k, F.size(parts)), "/"))))
+    keys = files.select("repo", "file_path", F.explode(F.concat(F.array(F.concat(F.lit("="), "file_path")), F.coalesce(suffixes, F.array().cast("array<string>")))).alias("key"))
+    index = keys.groupBy("repo", "key").agg(F.min("file_path").alias("file_path"))
+    hits = wanted.join(index, ["repo", "key"]).groupBy("repo", "src_file", "target_path").agg(F.min(F.struct("rank", "file_path")).alias("best"))
+    return imports.join(hits.select("repo", "src_file", "target_path", F.col("best.file_path").alias("resolved")), ["repo", "src_file", "target_path"], "left")
 
 
 def in_degrees(edges: DataFrame) -> DataFrame:
@@ -78,10 +87,13 @@ def components(closure: DataFrame, origin: str) -> DataFrame:
 def cycles(edges: DataFrame, longest: int) -> DataFrame:
     """(members, length): elementary cycles of up to ``longest`` edges, once per set of members.
 
-    Paths grow from their least node only, which keeps one rotation of each cycle and prunes the others early. For
-    sparse graphs: the number of paths grows with the degree to the power of ``longest``.
+    Nodes without an edge in or out are on no cycle and are taken off first, ``longest`` times over. Paths grow from their
+    least node only, which keeps one rotation of each cycle and prunes the others early. The number of paths grows with
+    the degree, inside the parts that have cycles, to the power of ``longest``.
     """
-    steps = cut(edges.select("src", "dst").distinct())
+    steps = edges.select("src", "dst").distinct()
+    for _ in range(longest):
+        steps = cut(steps.join(steps.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(steps.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
     paths = steps.where("dst >= src").select(F.array("src").alias("path"), F.col("dst").alias("last"))
     found = None
     for length in range(1, longest + 1):

@@ -17,22 +17,25 @@ QUERIES, SQL, query = book()
 
 _CHUNKS = "(SELECT DISTINCT ON (chunk_id) * FROM code_chunks ORDER BY chunk_id, created_at)"
 _SPANS = f"(SELECT DISTINCT file_id, s.name AS name, s.kind AS kind, s.lineStart AS first, s.lineEnd AS last FROM (SELECT file_id, unnest(symbols) AS s FROM {_CHUNKS}))"
-_SMELLS = f"""s AS {_SPANS}, f AS (SELECT file_id, max(line_end) AS lines, max(len(list_distinct(list_transform(imports, lambda i: i.source)))) AS imports FROM {_CHUNKS} GROUP BY file_id),
- smells AS (SELECT 'long_function' AS rule, 'medium' AS severity, file_id || ':' || name AS subject, (last - first)::BIGINT AS measure FROM s WHERE kind IN ('function', 'method') AND last - first > 80
- UNION ALL SELECT 'god_class', 'high', file_id || ':' || name, last - first FROM s WHERE kind = 'class' AND last - first > 150
- UNION ALL SELECT 'many_methods', 'high', file_id, count(*) FROM s WHERE kind = 'method' GROUP BY file_id HAVING count(*) > 15
- UNION ALL SELECT 'large_file', 'medium', file_id, lines FROM f WHERE lines > 200 UNION ALL SELECT 'fan_out', 'low', file_id, imports FROM f WHERE imports > 8)"""
+_SMELLS = f"""s AS {_SPANS}, f AS (SELECT file_id, max(line_end) AS lines, max(len(list_distinct(list_transform(imports, lambda i: i.source)))) AS imports, count(*) FILTER (WHERE regexp_matches(content, '(^|\\n)[ \\t]{{16,}}[^\\s]')) AS deep FROM {_CHUNKS} GROUP BY file_id),
+ m AS (SELECT c.file_id, split_part(s.qualified, '.', 1) AS owner, count(*) AS n FROM symbols s JOIN {_CHUNKS} c USING (chunk_id) WHERE s.kind = 'method' AND contains(s.qualified, '.') GROUP BY 1, 2),
+ smells AS (SELECT 'long_function' AS rule, 'high' AS severity, file_id || ':' || name AS subject, (last - first)::BIGINT AS measure FROM s WHERE kind IN ('function', 'method') AND last - first > 80
+ UNION ALL SELECT 'god_class', 'critical', file_id || ':' || name, last - first FROM s WHERE kind = 'class' AND last - first > 500
+ UNION ALL SELECT 'many_methods', 'critical', file_id || ':' || owner, n FROM m WHERE n > 15
+ UNION ALL SELECT 'large_file', 'medium', file_id, lines FROM f WHERE lines > 400 UNION ALL SELECT 'fan_out', 'medium', file_id, imports FROM f WHERE imports > 10
+ UNION ALL SELECT 'deep_nesting', 'medium', file_id, deep FROM f WHERE deep > 0)"""
 
 
 def _smells(spark, root):
-    chunks = distinct_chunks(spark, root, "file_id", "line_end", "imports", "symbols")
+    chunks = distinct_chunks(spark, root, "file_id", "line_end", "imports", "symbols", F.coalesce(F.col("content").rlike(Q.DEEP), F.lit(False)).alias("deep"))
     spans = chunks.select("file_id", F.explode("symbols").alias("s")).select("file_id", "s.name", "s.kind", F.col("s.lineStart").alias("first"), F.col("s.lineEnd").alias("last")).distinct()
-    return Q.smells(chunks, spans)
+    methods = table(spark, root, "symbols").where("kind = 'method'").join(chunks.select("chunk_id", "file_id"), "chunk_id").select("file_id", "qualified")
+    return Q.smells(chunks, spans, methods)
 
 
 @query(f"WITH {_SMELLS} SELECT * FROM smells")
 def smell_union(spark, root):
-    """All smells."""
+    """All smells of files and symbols; those of cycles are in health_snapshot."""
     return _smells(spark, root)
 
 
@@ -149,22 +152,26 @@ def evidence_batch(spark, root):
     return cited.join(names, "name", "left").select("doc_id", "path", state.alias("state"), F.coalesce("files", F.lit(0)).alias("files"), "file_id")
 
 
-@query("""SELECT DISTINCT file_path, CASE WHEN regexp_matches(file_path, '(?i)\\.(ts|tsx)$') THEN 'typescript' WHEN regexp_matches(file_path, '(?i)\\.(js|mjs|cjs|jsx)$') THEN 'javascript' WHEN regexp_matches(file_path, '(?i)\\.py$') THEN 'python' WHEN regexp_matches(file_path, '(?i)\\.go$') THEN 'go'
- WHEN regexp_matches(file_path, '(?i)\\.java$') THEN 'java' WHEN regexp_matches(file_path, '(?i)\\.json$') THEN 'json' WHEN regexp_matches(file_path, '(?i)\\.ya?ml$') THEN 'yaml' ELSE 'unknown' END AS detected FROM code_chunks""")
+_LANGUAGES = "ts:typescript tsx:typescript mts:typescript cts:typescript js:javascript jsx:javascript mjs:javascript cjs:javascript py:python go:go java:java kt:kotlin kts:kotlin rs:rust swift:swift php:php vue:vue css:css scss:css less:css html:html htm:html md:markdown mdx:markdown yml:yaml yaml:yaml json:json tf:terraform tfvars:terraform sql:sql"
+
+
+@query("SELECT file_path, coalesce(max(l.lang), 'unknown') AS detected FROM (SELECT DISTINCT file_path FROM code_chunks) c LEFT JOIN (VALUES " + ", ".join("('.{}', '{}')".format(*x.split(":")) for x in _LANGUAGES.split()) + ") AS l(ending, lang) ON ends_with(lower(c.file_path), l.ending) GROUP BY file_path")
 def languages(spark, root):
     """SC3, SC4: language by extension."""
     return table(spark, root, "code_chunks").select("file_path").distinct().select("file_path", X.language_of(F.col("file_path")).alias("detected"))
 
 
-@query(r"""SELECT count(*) AS n_files, count(*) FILTER (WHERE NOT regexp_matches(file_path, '(^|/)(node_modules|dist|build|coverage|vendor|__pycache__|target|\.[^/]+)(/|$)') AND regexp_matches(lower(file_path), '\.(ts|tsx|js|jsx|mjs|py|go|java|kt|rs|php|vue|json|yaml|yml|md)$')) AS n_indexed FROM (SELECT DISTINCT file_path FROM code_chunks)""")
+@query(r"""SELECT count(*) AS n_files, count(*) FILTER (WHERE NOT regexp_matches(p, '(^|/)\.[^/]') AND NOT regexp_matches(p, 'node_modules/|dist/|\.git/|/migrations/') AND NOT regexp_matches(p, '\.(spec\.ts|test\.ts|e2e-spec\.ts|json|lock|env|png|jpg|jpeg|gif|pdf|zip|ico|svg|woff|woff2|ttf|eot)$')
+ AND regexp_matches(p, '\.(ts|tsx|mts|cts|js|jsx|mjs|cjs|py|go|java|kt|kts|rs|swift|php|vue|svelte|md|mdx|yml|yaml|sql|prisma|graphql|gql|proto|tf|tfvars)$')) AS n_indexed FROM (SELECT DISTINCT file_path, lower(file_path) AS p FROM code_chunks)""")
 def indexable(spark, root):
     """SC2, SC8: how many files the index takes."""
     files = table(spark, root, "code_chunks").select("file_path").distinct()
     return files.agg(F.count(F.lit(1)).alias("n_files"), F.count_if(scan.should_index(F.col("file_path"))).alias("n_indexed"))
 
 
-@query(r"""SELECT kind, count(*) AS n FROM (SELECT DISTINCT file_path, CASE WHEN regexp_matches(b, '\.sql$|schema\.prisma$') THEN 'schema' WHEN regexp_matches(b, 'openapi.*\.(ya?ml|json)$|swagger') THEN 'openapi' WHEN regexp_matches(b, '\.tf$') THEN 'terraform' WHEN regexp_matches(b, '\.graphql$') THEN 'graphql' WHEN regexp_matches(b, '\.proto$') THEN 'proto'
- WHEN regexp_matches(b, '\.(md|mdx)$') THEN 'markdown' WHEN regexp_matches(b, '^dockerfile|\.(ya?ml|toml|properties|xml)$') THEN 'config' END AS kind FROM (SELECT file_path, lower(regexp_extract(file_path, '[^/]+$')) AS b FROM code_chunks)) WHERE kind IS NOT NULL GROUP BY kind""")
+@query(r"""SELECT kind, count(*) AS n FROM (SELECT DISTINCT file_path, CASE WHEN regexp_matches(p, 'node_modules/|dist/|\.git/|coverage/|test/|__tests__/') THEN NULL WHEN regexp_matches(b, '\.sql$|schema\.(ts|js|prisma)$|\.prisma$') THEN 'schema' WHEN regexp_matches(b, '\.ya?ml$|openapi\.json$|swagger\.json$') THEN 'openapi'
+ WHEN regexp_matches(b, '\.(tf|tfvars)$') THEN 'terraform' WHEN regexp_matches(b, '\.(graphql|gql)$') THEN 'graphql' WHEN regexp_matches(b, '\.proto$') THEN 'proto' WHEN regexp_matches(b, '^(architecture|adr|design|api|database|schema|readme)\.mdx?$') OR regexp_matches(p, '/(docs?|documentation|architecture|adr)/') THEN 'markdown' END AS kind
+ FROM (SELECT file_path, lower(file_path) AS p, lower(regexp_extract(file_path, '[^/]+$')) AS b FROM code_chunks)) WHERE kind IS NOT NULL GROUP BY kind""")
 def artifacts(spark, root):
     """SC9, A25: context artifacts per kind."""
     files = table(spark, root, "code_chunks").select("file_path").distinct().select(scan.artifact_kind(F.col("file_path")).alias("kind"))
@@ -177,12 +184,21 @@ def frameworks(spark, root):
     return scan.framework_of(table(spark, root, "code_chunks").where("repo_id IS NOT NULL").select("repo_id", "file_path"), "repo_id")
 
 
-@query(r"""SELECT coalesce(role, 'none') AS role, coalesce(nest_role, 'none') AS given, count(*) AS n FROM (SELECT nest_role, CASE WHEN regexp_matches(file_path, '\.controller\.ts$') THEN 'controller' WHEN regexp_matches(file_path, '\.service\.ts$') THEN 'service' WHEN regexp_matches(file_path, '\.module\.ts$') THEN 'module'
- WHEN regexp_matches(file_path, '\.guard\.ts$') THEN 'guard' WHEN regexp_matches(file_path, '\.resolver\.ts$') THEN 'resolver' WHEN regexp_matches(file_path, '\.entity\.ts$') THEN 'entity' WHEN regexp_matches(file_path, '\.dto\.ts$') THEN 'dto' END AS role FROM """ + _CHUNKS + """) GROUP BY 1, 2""")
+@query(r"""SELECT role, coalesce(nest_role, 'none') AS given, count(*) AS n FROM (SELECT nest_role, CASE WHEN regexp_matches(file_path, '\.(entity|dto|guard|interceptor|filter|pipe|middleware|strategy|decorator)\.ts$') THEN regexp_extract(file_path, '\.(\w+)\.ts$', 1) WHEN list_contains(d, 'Controller') THEN 'controller'
+ WHEN list_contains(d, 'Injectable') AND contains(file_path, 'service') THEN 'service' WHEN list_contains(d, 'Module') THEN 'module' WHEN list_contains(d, 'Injectable') THEN 'service' ELSE 'unknown' END AS role
+ FROM (SELECT *, flatten(list_transform(symbols, lambda s: s.decorators)) AS d FROM """ + _CHUNKS + """)) GROUP BY 1, 2""")
 def roles(spark, root):
-    """SC11, SC12: roles by name against the given ones."""
-    rows = distinct_chunks(spark, root, "nest_role", scan.role_by_name(F.col("file_path")).alias("role"))
-    return rows.groupBy(F.coalesce("role", F.lit("none")).alias("role"), F.coalesce("nest_role", F.lit("none")).alias("given")).agg(F.count(F.lit(1)).alias("n"))
+    """SC12: roles by path and decorators against the given ones."""
+    rows = distinct_chunks(spark, root, "nest_role", scan.nest_role(F.col("file_path"), F.flatten("symbols.decorators")).alias("role"))
+    return rows.groupBy("role", F.coalesce("nest_role", F.lit("none")).alias("given")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def framework_roles(spark, root):
+    """SC11: roles that each framework would give to the files."""
+    files = table(spark, root, "code_chunks").select("file_path").distinct()
+    each = F.array(*[F.struct(F.lit(f).alias("framework"), scan.framework_role(F.col("file_path"), f).alias("role")) for f in (*scan.FRAMEWORK_ROLES, "svelte", "django", "nestjs")])
+    return files.select(F.explode(each).alias("x")).select("x.*").groupBy("framework", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""SELECT s.node_id, arg_min(c.chunk_id, (c.line_end - c.line_start) * 100000 + c.line_start) AS chunk_id FROM (SELECT s.node_id, k.file_id, z.lineStart AS first FROM symbols s JOIN {_CHUNKS} k USING (chunk_id), LATERAL (SELECT unnest(k.symbols) AS z) WHERE z.name = s.name AND z.kind = s.kind) s

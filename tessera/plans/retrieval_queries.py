@@ -164,7 +164,8 @@ def local_search(spark, root):
     return R.reranked(rows, "chunk_id", "content", "embedding", _asked(spark, root), TOKENS)
 
 
-_TOKENS = "list_filter(string_split_regex(lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "], t))"
+_STOP = "the a an and or to for of in on with how what where when why which show find list get give all from into that this these those does do is are be about please".split()
+_TOKENS = "list_filter(string_split(lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9_./-]+', ' ', 'g')), ' '), lambda t: length(t) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in _STOP) + "], t))"
 
 
 @query(f"SELECT token, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents WHERE doc_kind = 'chat') GROUP BY token")

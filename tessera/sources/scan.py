@@ -7,36 +7,78 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import language_of
 
-#: Directories never indexed, and endings that are indexed (fixed values).
-EXCLUDED = ("node_modules", "dist", "build", "coverage", "vendor", "__pycache__", "target", ".git")
-INDEXED = ("ts", "tsx", "js", "jsx", "mjs", "py", "go", "java", "kt", "rs", "php", "vue", "json", "yaml", "yml", "md")
+# Parts of paths never indexed, endings never indexed, endings that are.
+EXCLUDED_PARTS = ("node_modules/", "dist/", ".git/", "/migrations/")
+EXCLUDED_ENDINGS = (".spec.ts", ".test.ts", ".e2e-spec.ts", ".json", ".lock", ".env", ".png", ".jpg", ".jpeg", ".gif", ".pdf", ".zip", ".ico", ".svg", ".woff", ".woff2", ".ttf", ".eot")
+INDEXED_ENDINGS = (
+    ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".java", ".kt", ".kts", ".rs", ".swift", ".php", ".vue", ".svelte", ".md", ".mdx", ".yml", ".yaml", ".sql", ".prisma",
+    ".graphql", ".gql", ".proto", ".tf", ".tfvars",
+)
+#: Kinds of context artifacts by patterns on the file name or the path, in this order; paths that are none.
+ARTIFACTS = (
+    (r"\.(sql)$", "schema"), (r"schema\.(ts|js|prisma)$", "schema"), (r"\.(prisma)$", "schema"), (r"\.(yaml|yml)$", "openapi"), (r"openapi\.(json)$", "openapi"), (r"swagger\.(json|yaml|yml)$", "openapi"),
+    (r"\.(tf|tfvars)$", "terraform"), (r"\.(graphql|gql)$", "graphql"), (r"\.(proto)$", "proto"), (r"^(architecture|adr|design|api|database|schema|readme)\.(md|mdx)$", "markdown"),
+    (r"/(docs?|documentation|architecture|adr)/", "markdown"),
+)
+NO_ARTIFACT = ("node_modules/", "dist/", ".git/", "coverage/", "test/", "__tests__/")
+#: Roles by the ending of a path, before those by decorators.
+ROLE_ENDINGS = ("entity", "dto", "guard", "interceptor", "filter", "pipe", "middleware", "strategy", "decorator")
 MOST_BYTES = 1 << 20
 
 
 def should_index(path: Column) -> Column:
-    """Whether a path is indexed: no hidden or excluded directory, a known ending. Null paths are not."""
-    parts = F.split(path, "/")
-    inside = F.exists(parts, lambda p: p.isin(*EXCLUDED) | (p.startswith(".") & (p != ".") & (p != "..")))
-    known = F.lower(F.substring_index(path, ".", -1)).isin(*INDEXED) & F.contains(path, F.lit("."))
-    return F.coalesce(~inside & known, F.lit(False))
+    """Whether a path is indexed: no hidden part, no excluded part or ending, a known ending; case doesn't count. Null paths are not."""
+    low = F.lower(path)
+    hidden = F.exists(F.split(low, "/"), lambda p: p.startswith(".") & (F.length(p) > 1))
+    inside, ends, known = F.lit(False), F.lit(False), F.lit(False)
+    for part in EXCLUDED_PARTS:
+        inside = inside | F.contains(low, F.lit(part))
+    for ending in EXCLUDED_ENDINGS:
+        ends = ends | low.endswith(ending)
+    for ending in INDEXED_ENDINGS:
+        known = known | low.endswith(ending)
+    return F.coalesce(~hidden & ~inside & ~ends & known, F.lit(False))
 
 
 def artifact_kind(path: Column) -> Column:
-    """Kind of a context artifact by an ordered list of patterns; null for ordinary files."""
-    name = F.lower(F.substring_index(path, "/", -1))
-    rules = ((r"\.sql$|schema\.prisma$", "schema"), (r"openapi.*\.(ya?ml|json)$|swagger", "openapi"), (r"\.tf$", "terraform"), (r"\.graphql$", "graphql"), (r"\.proto$", "proto"), (r"\.(md|mdx)$", "markdown"), (r"^dockerfile|\.(ya?ml|toml|properties|xml)$", "config"))
-    out = None
-    for pattern, kind in rules:
-        out = F.when(name.rlike(pattern), kind) if out is None else out.when(name.rlike(pattern), kind)
+    """Kind of a context artifact by the first of an ordered list of patterns; null for ordinary files and excluded paths."""
+    low = F.lower(path)
+    name = F.substring_index(low, "/", -1)
+    out = F.when(low.isNull(), F.lit(None).cast("string"))
+    for part in NO_ARTIFACT:
+        out = out.when(F.contains(low, F.lit(part)), F.lit(None).cast("string"))
+    for pattern, kind in ARTIFACTS:
+        out = out.when(name.rlike(pattern) | low.rlike(pattern), kind)
     return out
 
 
-def role_by_name(path: Column) -> Column:
-    """Role of a file by its suffix; null for others."""
-    out = None
-    for role in ("controller", "service", "module", "guard", "resolver", "entity", "dto"):
-        hit = path.rlike(rf"\.{role}\.ts$")
-        out = F.when(hit, role) if out is None else out.when(hit, role)
+def nest_role(path: Column, decorators: Column) -> Column:
+    """Role of a file by the ending of its path, else by the decorators of its symbols, else ``unknown``."""
+    out = F.when(path.isNull(), "unknown")
+    for role in ROLE_ENDINGS:
+        out = out.when(path.endswith(f".{role}.ts"), role)
+    has = lambda name: F.coalesce(F.array_contains(decorators, name), F.lit(False))
+    out = out.when(has("Controller"), "controller").when(has("Injectable") & F.contains(path, F.lit("service")), "service").when(has("Module"), "module")
+    return out.when(has("Injectable"), "service").otherwise("unknown")
+
+
+#: Roles by framework, patterns on the lower-case path in this order; ``*`` stands for any other file of the framework.
+FRAMEWORK_ROLES = {
+    "nextjs": ((r"(^|/)page\.(tsx|ts|jsx)$", "page"), (r"(^|/)layout\.tsx?$", "layout"), (r"(^|/)loading\.tsx$", "loading"), (r"(^|/)error\.tsx$", "error"), (r"/api/(.*/)?route\.(ts|js)$", "api-route"), (r"middleware", "middleware"),
+               (r"/components?/", "component"), (r"/hooks/|(^|/)use[^/]*$", "hook"), (r"/(lib|utils)/", "utility"), (r"/(types|interfaces)/", "type"), ("", "component")),
+    "vite-react": ((r"/hooks/|(^|/)use[^/]*$", "hook"), (r"/(store|redux|zustand)/", "store"), (r"/(services|api)/", "service"), (r"/(utils|helpers)/", "utility"), (r"/(types|interfaces)/", "type"), (r"/(pages|views)/.*\.[tj]sx$", "page"), (r"\.[tj]sx$", "component")),
+    "vite-vue": ((r"/(stores|pinia|store)/", "store"), (r"/composables/|(^|/)use[^/]*$", "composable"), (r"/(services|api)/", "service"), (r"/(utils|helpers)/", "utility"), (r"/(types|interfaces)/", "type"), (r"/(views|pages)/.*\.vue$", "view"), (r"/layouts/.*\.vue$", "layout"), (r"\.vue$", "component")),
+    "angular": tuple((rf"\.{r}\.[^/]*$", r) for r in ("component", "service", "module", "guard", "interceptor", "pipe", "directive", "resolver")) + ((r"\.(model|interface)\.[^/]*$", "model"),),
+    "sveltekit": ((r"(^|/)\+server\.(ts|js)$", "api-route"), (r"/stores/|/store\.", "store"), (r"(^|/)\+page\.svelte$", "page"), (r"(^|/)\+layout\.svelte$|/layouts/", "layout"), (r"(^|/)\+error\.svelte$", "error"), (r"/routes/.*\.svelte$", "route"), (r"\.svelte$", "component"), (r"/lib/", "utility")),
+    "fastapi": ((r"model[^/]*$", "model"), (r"view[^/]*$", "view"), (r"(^|/)serializers\.py$", "serializer"), (r"(^|/)urls\.py$|router[^/]*$|/routers/", "router"), (r"schema[^/]*$", "schema"), (r"middleware[^/]*$", "middleware"), (r"(^|/)(settings|config)\.py$", "config")),
+}
+
+
+def framework_role(path: Column, framework: str) -> Column:
+    """Role of a file in a framework; null where it has none or the framework has no roles."""
+    out = F.when(path.isNull(), F.lit(None).cast("string"))
+    for pattern, role in FRAMEWORK_ROLES.get({"svelte": "sveltekit", "django": "fastapi"}.get(framework, framework), ()):
+        out = out.when(F.lower(path).rlike(pattern), role)
     return out
 
 

@@ -148,10 +148,18 @@ def test_import_resolution(spark):
     imports = spark.createDataFrame([("r", a, t) for a, t, _ in wanted], "repo string, src_file string, target_path string")
     got = {(r["src_file"], r["target_path"]): r["resolved"] for r in graph.resolve_imports(imports, files).collect()}
     expected = {(a, t): x for a, t, x in wanted}
-    expected[("s/a.ts", "./b.js")] = "s/b.js"
+    # a known ending is left out first, and .ts is tried before .js
     assert got == expected
 
 
+def test_imports_by_suffix(spark):
+    """Aliased and dotted imports: the least file whose path ends with one of the forms; no suffix inside a name."""
+    files = spark.createDataFrame([("r", p) for p in ("src/app/user.ts", "lib/app/user.ts", "src/app/index.ts", "py/app/models/user.py", "src/main/java/dev/a/Shop.java", "user.ts", "x/my-user.ts")], "repo string, file_path string")
+    wanted = [("@/app/user", "lib/app/user.ts"), ("~/app/user.ts", "lib/app/user.ts"), ("app", "src/app/index.ts"), ("app.models.user", "py/app/models/user.py"), ("dev.a.Shop", "src/main/java/dev/a/Shop.java"), ("user", "lib/app/user.ts"), ("nothing", None), ("pkg:app", None)]
+    imports = spark.createDataFrame([("r", "src/z.ts", t) for t, _ in wanted], "repo string, src_file string, target_path string")
+    assert {r["target_path"]: r["resolved"] for r in graph.resolve_imports(imports, files).collect()} == dict(wanted)
+
+
 def test_confidence_policy(spark):
     rows = spark.createDataFrame([("ast", None), ("llm", 1.7), ("llm", None), ("llm", float("nan")), ("hybrid", 0.4), ("hybrid", 0.5), ("x", 0.9)], "k string, s double")
     c, s = graph.tagged(F.col("k"), F.col("s"))
