@@ -16,9 +16,12 @@ def usable_vector(v: Column, width: int = 64) -> Column:
 
 
 def nearest(df: DataFrame, key: str, vector: str, asked: Column, k: int, least: float) -> DataFrame:
-    """The k rows most similar to a vector with cosine of at least ``least``; ties by key. One pass, no shuffle but the top k."""
+    """The k rows most similar to a vector with cosine of at least ``least``, repeated keys once; ties by key.
+
+    Rows are scored where they lie; only keys, scores and the columns besides vector are shuffled.
+    """
     scored = df.where(usable_vector(F.col(vector))).withColumn("asked", asked).withColumn("similarity", F.round(cosine(F.col(vector), F.col("asked")), 6))
-    return scored.where(F.col("similarity") >= least).drop("asked", vector).orderBy(F.desc("similarity"), F.asc(key)).limit(k)
+    return scored.where(F.col("similarity") >= least).drop("asked", vector).dropDuplicates([key]).orderBy(F.desc("similarity"), F.asc(key)).limit(k)
 
 
 def lexical_score(text: Column, tokens: Sequence[str]) -> Column:
@@ -31,12 +34,12 @@ def lexical_score(text: Column, tokens: Sequence[str]) -> Column:
 
 
 def keyword(df: DataFrame, key: str, text: str, tokens: Sequence[str], k: int) -> DataFrame:
-    """The k rows with the best lexical score above zero; null texts never match."""
+    """The k rows with the best lexical score above zero, repeated keys once; null texts never match."""
     first = F.lit(False)
     for t in tokens:
         first = first | F.contains(F.lower(F.col(text)), F.lit(t))
     scored = df.where(first).withColumn("score", F.round(lexical_score(F.col(text), tokens), 6)).where("score > 0")
-    return scored.drop(text).orderBy(F.desc("score"), F.asc(key)).limit(k)
+    return scored.drop(text).dropDuplicates([key]).orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
 def hybrid(df: DataFrame, key: str, text: str, vector: str, asked: Column, tokens: Sequence[str], k: int, weight: float = 0.7) -> DataFrame:
@@ -44,13 +47,15 @@ def hybrid(df: DataFrame, key: str, text: str, vector: str, asked: Column, token
     scored = df.where(usable_vector(F.col(vector)) & F.col(text).isNotNull()).withColumn("asked", asked)
     lexical = lexical_score(F.col(text), tokens) / max(1, len(tokens))
     score = F.round(weight * cosine(F.col(vector), F.col("asked")) + (1 - weight) * lexical, 6)
-    return scored.withColumn("score", score).drop("asked", text, vector).orderBy(F.desc("score"), F.asc(key)).limit(k)
+    return scored.withColumn("score", score).drop("asked", text, vector).dropDuplicates([key]).orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
 def reranked(df: DataFrame, key: str, text: str, vector: str, asked: Column, tokens: Sequence[str], wide: int = 20, k: int = 5) -> DataFrame:
     """``wide`` nearest by Euclidean distance, rescored by 0.9 * closeness + 0.1 * share of tokens found, then k."""
-    near = df.where(usable_vector(F.col(vector))).withColumn("asked", asked).withColumn("d", distance(F.col(vector), F.col("asked"))).drop("asked", vector)
-    near = near.orderBy(F.asc("d"), F.asc(key)).limit(wide)
+    near = df.where(usable_vector(F.col(vector))).withColumn("asked", asked).select(key, distance(F.col(vector), F.col("asked")).alias("d"))
+    near = near.dropDuplicates([key]).orderBy(F.asc("d"), F.asc(key)).limit(wide)
+    # texts are fetched for the few that are left
+    near = df.drop(vector).join(F.broadcast(near), key).dropDuplicates([key])
     matched = F.lit(0.0)
     for t in tokens:
         matched = matched + F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(t)).cast("double")

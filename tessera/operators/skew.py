@@ -22,12 +22,13 @@ def value_frequencies(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def _bucket(value: Column) -> Column:
-    """A monotone bucket number: exact below 2 * SUB_BUCKETS, then SUB_BUCKETS buckets per octave; mirrored for negatives."""
+    """A monotone bucket number: SUB_BUCKETS buckets per power of two, of small values too; zero is 0, negatives are mirrored."""
     size = F.abs(value.cast("double"))
-    octave = F.floor(F.log2(F.greatest(size, F.lit(1.0)))).cast("long")
+    octave = F.floor(F.log2(F.when(size > 0, size))).cast("long")
     base = F.pow(F.lit(2.0), octave.cast("double"))
     fine = F.floor((size - base) / base * SUB_BUCKETS).cast("long")
-    magnitude = F.when(size < 1, F.lit(0).cast("long")).otherwise(octave * SUB_BUCKETS + fine + 1)
+    # octaves of doubles begin at -1074; a quotient that rounding takes to the next power stays monotone within a bucket
+    magnitude = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(1 << 40)).otherwise((octave + 1100) * SUB_BUCKETS + fine + 1)
     return F.when(value < 0, -magnitude).otherwise(magnitude)
 
 
@@ -54,6 +55,25 @@ def key_percentiles(df: DataFrame, key: str, value: str, at: Sequence[float]) ->
     distinct values of the buckets that hold a rank are then ordered. Nulls and NaN in ``value`` are left out; keys
     without a value give no rows; the null key is a key like others; ties need no rule since equal values are one.
     """
+    points = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("n"))).cast("long").alias("rank"), F.lit(0.0).alias("share")) for p in at])
+    return _at_ranks(df, key, value, points).select("key", "p", "value")
+
+
+def key_interpolated(df: DataFrame, key: str, value: str, at: Sequence[float]) -> DataFrame:
+    """(key, p, value): exact percentiles interpolated between the two nearest ranks, as doubles; else like ``key_percentiles``."""
+    pairs = []
+    for p in at:
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        low = F.floor(place)
+        share = place - low
+        pairs.append(F.struct(F.lit(float(p)).alias("p"), (low + 1).cast("long").alias("rank"), (1 - share).alias("share")))
+        pairs.append(F.struct(F.lit(float(p)).alias("p"), F.least(low + 2, F.col("n")).cast("long").alias("rank"), share.alias("share")))
+    found = _at_ranks(df, key, value, F.array(*pairs))
+    return found.groupBy("key", "p").agg(F.sum(F.col("value").cast("double") * F.col("share")).alias("value"))
+
+
+def _at_ranks(df: DataFrame, key: str, value: str, points: Column) -> DataFrame:
+    """(key, p, share, value): the values at the ranks of ``points``, an array of (p, rank, share) over n, the number of a key's values."""
     usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     pairs = value_frequencies(df.where(usable), key, value).withColumn("bucket", _bucket(F.col("value")))
     by_key = Window.partitionBy("key")
@@ -63,13 +83,11 @@ def key_percentiles(df: DataFrame, key: str, value: str, at: Sequence[float]) ->
         .withColumn("n", F.sum("bucket_freq").over(by_key))
         .withColumn("below", F.col("upto") - F.col("bucket_freq"))
     )
-    points = F.array(*[F.lit(float(p)) for p in at])
     wanted = (
-        buckets.withColumn("p", F.explode(points))
-        .withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n"))).cast("long"))
-        .where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("upto")))
+        buckets.withColumn("point", F.explode(points))
+        .where((F.col("point.rank") > F.col("below")) & (F.col("point.rank") <= F.col("upto")))
         .groupBy("key", "bucket", "below")
-        .agg(F.collect_list(F.struct("p", "rank")).alias("points"))
+        .agg(F.collect_list("point").alias("points"))
     )
     inside = pairs.alias("v").join(
         wanted.alias("w"), F.col("v.key").eqNullSafe(F.col("w.key")) & (F.col("v.bucket") == F.col("w.bucket"))
@@ -85,7 +103,7 @@ def key_percentiles(df: DataFrame, key: str, value: str, at: Sequence[float]) ->
     return (
         ranked.withColumn("point", F.explode("points"))
         .where((F.col("point.rank") <= F.col("last")) & (F.col("point.rank") > F.col("last") - F.col("freq")))
-        .select("key", F.col("point.p").alias("p"), "value")
+        .select("key", F.col("point.p").alias("p"), F.col("point.share").alias("share"), "value")
     )
 
 

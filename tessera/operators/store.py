@@ -31,17 +31,20 @@ def append_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def evict(df: DataFrame, size: str, used: str, key: str, keep: int) -> DataFrame:
     """The rows to evict so that at most ``keep`` of the total size stay: the longest unused ones, as few as suffice.
 
-    Days are ordered first (few rows), rows only within their day: no window over the whole table. Null sizes count as
-    zero, null times as oldest.
+    Hours are ordered first (few rows); those before the one in which the limit falls go whole, and only the rows of that hour
+    are ordered. Null sizes count as zero, null times as oldest.
     """
-    rows = df.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0))).withColumn("_day", F.coalesce(F.to_date(used), F.lit("0001-01-01").cast("date")))
-    days = rows.groupBy("_day").agg(F.sum("_size").alias("_of_day"))
-    total = days.agg(F.sum("_of_day").alias("t")).select("t").scalar()
-    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_before", F.coalesce(F.sum("_of_day").over(before), F.lit(0))).where(F.col("_before") < total - keep)
-    within = Window.partitionBy("_day").orderBy(F.asc_nulls_first(used), key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(days, "_day").withColumn("_upto", F.col("_before") + F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    return rows.where(F.col("_upto") < total - keep).select(*df.columns)
+    hour = F.coalesce(F.date_trunc("hour", F.col(used).cast("timestamp")), F.lit("0001-01-01").cast("timestamp"))
+    rows = df.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0))).withColumn("_hour", hour)
+    hours = rows.groupBy("_hour").agg(F.sum("_size").alias("_of_hour"))
+    total = hours.agg(F.sum("_of_hour").alias("t")).select("t").scalar()
+    before = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.withColumn("_before", F.coalesce(F.sum("_of_hour").over(before), F.lit(0))).where(F.col("_before") < total - keep)
+    dealt = rows.join(hours, "_hour")
+    whole = F.col("_before") + F.col("_of_hour") < total - keep
+    within = Window.partitionBy("_hour").orderBy(F.asc_nulls_first(used), key).rowsBetween(Window.unboundedPreceding, -1)
+    last = dealt.where(~whole).withColumn("_upto", F.col("_before") + F.coalesce(F.sum("_size").over(within), F.lit(0)))
+    return dealt.where(whole).select(*df.columns).unionByName(last.where(F.col("_upto") < total - keep).select(*df.columns))
 
 
 def content_key(text: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.skew import key_interpolated
+
 
 def percent(part: Column, whole: Column, digits: int, empty: float = 0.0) -> Column:
     """100 * part / whole, rounded; ``empty`` where whole is zero."""
@@ -22,9 +24,14 @@ def since(df: DataFrame, time: str, days: int) -> DataFrame:
     return df.where(F.col(time) > latest.scalar())
 
 
-def interpolated(column: str, points: Sequence[float], digits: int = 4) -> list[Column]:
-    """Exact, interpolated percentiles p50, p90, ... of a column in one aggregate each; nulls are left out."""
-    return [F.round(F.expr(f"percentile({column}, {p})"), digits).alias(f"p{round(p * 100)}") for p in points]
+def with_percentiles(stats: DataFrame, rows: DataFrame, key: str, value: str, points: Sequence[float], digits: int = 4) -> DataFrame:
+    """``stats``, one row per ``key``, with exact, interpolated percentiles p50, p90, ... of ``value`` over ``rows``.
+
+    Percentiles come from values with their frequencies, so no task holds the values of a key; null where a key has none.
+    """
+    found = key_interpolated(rows, key, value, points)
+    wide = found.groupBy(F.col("key").alias("_key")).agg(*[F.round(F.max(F.when(F.col("p") == float(p), F.col("value"))), digits).alias(f"p{round(p * 100)}") for p in points])
+    return stats.join(wide, stats[key].eqNullSafe(wide["_key"]), "left").drop("_key")
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -62,6 +69,12 @@ def busy_keys(df: DataFrame, key: str, time: str, limit: int, seconds: int) -> D
     """Rows at which a key has had ``limit`` rows or more in the ``seconds`` before; 0 means no limit."""
     if limit == 0:
         return df.limit(0).withColumn("recent", F.lit(0).cast("long"))
-    # a window over a key's rows streams in order of time; hot keys are sorted with spilling, never gathered
-    window = Window.partitionBy(key).orderBy(F.unix_micros(time)).rangeBetween(-seconds * 1_000_000, -1)
-    return df.withColumn("recent", F.count(F.lit(1)).over(window)).where(F.col("recent") >= limit)
+    # a key's rows are dealt by stretches of the look-back's length, each with the rows of the stretch before it as context, so
+    # that no task orders all rows of a key
+    at = F.unix_micros(time)
+    stretch = F.floor(at / (seconds * 1_000_000))
+    own = df.select("*", at.alias("_at"), stretch.alias("_stretch"), F.lit(True).alias("_own"))
+    both = own.unionByName(own.withColumn("_stretch", F.col("_stretch") + 1).withColumn("_own", F.lit(False)))
+    window = Window.partitionBy(key, "_stretch").orderBy("_at").rangeBetween(-seconds * 1_000_000, -1)
+    counted = both.withColumn("recent", F.count(F.lit(1)).over(window)).where("_own")
+    return counted.where(F.col("recent") >= limit).drop("_at", "_stretch", "_own")

@@ -44,8 +44,9 @@ def enriched_headers(spark, root):
  SELECT c.chunk_id AS caller, d.home AS callee, c.name FROM c JOIN d ON d.file_id = c.file_id AND d.name = c.name WHERE d.home <> c.chunk_id""")
 def call_edges(spark, root):
     """Calls from a chunk to functions that other chunks of its file define; an equi-join on file and name."""
-    chunks = distinct_chunks(spark, root, "file_id", "content")
-    called = chunks.select(F.col("chunk_id").alias("caller"), "file_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(\w+)\("), F.lit(1)))).alias("name"))
+    # names leave the scan, texts don't
+    chunks = distinct_chunks(spark, root, "file_id", F.array_distinct(F.regexp_extract_all("content", F.lit(r"(\w+)\("), F.lit(1))).alias("names"))
+    called = chunks.select(F.col("chunk_id").alias("caller"), "file_id", F.explode("names").alias("name"))
     symbols = table(spark, root, "symbols").where(F.col("kind").isin("function", "method")).select(F.col("chunk_id").alias("callee"), "name")
     defined = symbols.join(chunks.select(F.col("chunk_id").alias("callee"), "file_id"), "callee").distinct()
     return called.join(defined, ["file_id", "name"]).where("caller != callee").select("caller", "callee", "name")

@@ -238,7 +238,10 @@ def cooldown(spark, root):
     return sequence.cooled_down(rows, "user_id", "t", "event_id", 86_400_000_000)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, value AS cost, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+ b AS (SELECT user_id, event_id, t, rn, 100.0::DOUBLE AS had, cost FROM o WHERE rn = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.t, o.rn, least(100.0, CASE WHEN b.cost <= b.had THEN b.had - b.cost ELSE b.had END + greatest(0, o.t - b.t) / 1e6 * 0.001), o.cost FROM b JOIN o ON o.user_id = b.user_id AND o.rn = b.rn + 1)
+ SELECT user_id, event_id, cost <= had AS ok, CASE WHEN cost <= had THEN 0 ELSE ceil((cost - had) * 1000 / 0.001) END::BIGINT AS retry_ms FROM b""")
 def rate_control(spark, root):
     """A token bucket per key over the event log."""
     rows = table(spark, root, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("cost"))

@@ -136,7 +136,7 @@ SQL["find_symbol"] = f"SELECT s.name, c.file_path, s.kind FROM symbols s JOIN {_
 @query(f"SELECT chunk_id, repo_id, round(list_cosine_similarity(e, q), 6) AS similarity FROM {_GOOD}, {_ASKED} WHERE list_cosine_similarity(e, q) >= 0.3 ORDER BY similarity DESC, chunk_id LIMIT 8")
 def semantic_topk(spark, root):
     """The 8 chunks most similar to a vector."""
-    rows = distinct_chunks(spark, root, "repo_id", "embedding")
+    rows = table(spark, root, "code_chunks").select("chunk_id", "repo_id", "embedding")
     return R.nearest(rows, "chunk_id", "embedding", _asked(spark, root), 8, 0.3)
 
 
@@ -149,7 +149,7 @@ def keyword_search(spark, root):
 @query(f"SELECT chunk_id, round(0.7 * list_cosine_similarity(e, q) + 0.3 * (({_lexical('content')}) / {len(TOKENS)}), 6) AS score FROM {_GOOD}, {_ASKED} ORDER BY score DESC, chunk_id LIMIT 8")
 def hybrid_search(spark, root):
     """Vector and lexical score blended."""
-    rows = distinct_chunks(spark, root, "content", "embedding")
+    rows = table(spark, root, "code_chunks").select("chunk_id", "content", "embedding")
     return R.hybrid(rows, "chunk_id", "content", "embedding", _asked(spark, root), TOKENS, 8)
 
 
@@ -160,7 +160,7 @@ _MATCHED = " + ".join(f"(contains(lower(content), '{t}'))::INT::DOUBLE" for t in
  SELECT chunk_id, round(least(1, 0.9 * greatest(0, least(1, 1 - d / 2)) + 0.1 * ({_MATCHED}) / {len(TOKENS)}), 6) AS score, left(content, 120) AS preview FROM n ORDER BY score DESC, chunk_id LIMIT 5""")
 def local_search(spark, root):
     """Nested top-k with a rerank."""
-    rows = distinct_chunks(spark, root, "content", "embedding")
+    rows = table(spark, root, "code_chunks").select("chunk_id", "content", "embedding")
     return R.reranked(rows, "chunk_id", "content", "embedding", _asked(spark, root), TOKENS)
 
 

@@ -92,7 +92,9 @@ def latency_percentiles(spark, root):
     """Average, exact percentiles and token sums of the last 7 days."""
     tokens = ("prompt_tokens", "completion_tokens", "total_tokens")
     week = T.since(requests(spark, root, "duration_ms", "created_at", *tokens), "created_at", 7)
-    return week.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration_ms"), 4).alias("average"), *T.interpolated("duration_ms", (0.5, 0.9, 0.95, 0.99)), *[F.sum(t).alias(t) for t in tokens])
+    week = week.withColumn("all", F.lit(1))
+    stats = week.agg(F.max(F.lit(1)).alias("all"), F.count(F.lit(1)).alias("n"), F.round(F.avg("duration_ms"), 4).alias("average"), *[F.sum(t).alias(t) for t in tokens])
+    return T.with_percentiles(stats, week, "all", "duration_ms", (0.5, 0.9, 0.95, 0.99)).drop("all")
 
 
 @query(f"""WITH m AS (SELECT max(created_at AT TIME ZONE 'UTC') AS t FROM ai_request_metrics),
@@ -117,7 +119,8 @@ def trend_delta(spark, root):
 def latency_series(spark, root):
     """Daily latency and tokens on a gapless calendar."""
     rows = requests(spark, root, _day(), "duration_ms", "total_tokens")
-    return T.series(rows, "day", F.count(F.lit(1)).alias("n"), F.round(F.avg("duration_ms"), 4).alias("average"), *T.interpolated("duration_ms", (0.5, 0.9, 0.99)), F.sum("total_tokens").alias("tokens"))
+    stats = T.series(rows, "day", F.count(F.lit(1)).alias("n"), F.round(F.avg("duration_ms"), 4).alias("average"), F.sum("total_tokens").alias("tokens"))
+    return T.with_percentiles(stats, rows, "day", "duration_ms", (0.5, 0.9, 0.99))
 
 
 @query(f"""SELECT coalesce(p.full_name, 'unassigned') AS repo, count(*) AS n, round(avg(duration_ms), 4) AS average, round(quantile_cont(duration_ms, 0.5), 4) AS p50, round(quantile_cont(duration_ms, 0.9), 4) AS p90
@@ -125,9 +128,9 @@ def latency_series(spark, root):
 def latency_by_group(spark, root):
     """The 12 slowest repositories by p90."""
     rows = requests(spark, root, "repo_id", "duration_ms").join(table(spark, root, "repos").select("repo_id", "full_name"), "repo_id", "left")
-    by = rows.groupBy(F.coalesce("full_name", F.lit("unassigned")).alias("repo"))
-    stats = by.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration_ms"), 4).alias("average"), *T.interpolated("duration_ms", (0.5, 0.9)))
-    return T.top(stats, 12, F.desc_nulls_last("p90"), F.desc("n"), F.asc("repo"))
+    named = rows.select(F.coalesce("full_name", F.lit("unassigned")).alias("repo"), "duration_ms")
+    stats = named.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration_ms"), 4).alias("average"))
+    return T.top(T.with_percentiles(stats, named, "repo", "duration_ms", (0.5, 0.9)), 12, F.desc_nulls_last("p90"), F.desc("n"), F.asc("repo"))
 
 
 @query(f"""WITH r AS {_REQ}, d AS (SELECT unnest(generate_series((SELECT min(day) FROM r), (SELECT max(day) FROM r), INTERVAL 1 DAY))::DATE AS day)
