@@ -27,9 +27,9 @@ FEATURES = 1 << 17
 #: Chunks of the training sample, about; drawn by a hash of the chunk's id. Of their lines without a secret so many are learned, half of them such as have a name or a value like those of secrets.
 SAMPLE_CHUNKS, SAMPLE_LINES = 8_000, 20_000
 #: Lines with a secret are learned with so many redrawn copies; so many lines of each kind are planted.
-VARIANTS, PLANTED = 3, 4_000
+VARIANTS, PLANTED = 3, 7_000
 #: Passes over the sample (at least STEPS steps), lines of a step, Adagrad's rate, decay of the weights.
-EPOCHS, STEPS, BATCH, RATE, DECAY = 7, 250, 512, 0.3, 2e-6
+EPOCHS, STEPS, BATCH, RATE, DECAY = 8, 250, 512, 0.3, 2e-6
 #: Characters that are read together.
 BLOCK = 1_000_000
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
@@ -161,15 +161,16 @@ _LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
 def _secret(random: np.random.Generator) -> str:
     """A made-up secret: a token of a known format, a key, a password."""
     both = _LOW + _UP + _DIGITS
-    kind = random.integers(14)
+    kind = random.integers(15)
     word = lambda: _PLAIN[random.integers(len(_PLAIN))]
     if kind < 5:
         prefix, least, most = [("AKIA", 16, 16), ("ASIA", 16, 16), ("ghp_", 36, 36), ("gho_", 36, 36), ("xoxb-", 40, 50), ("AIza", 35, 35), ("sk_live_", 24, 24), ("rk_live_", 24, 24), ("glpat-", 20, 20), ("npm_", 36, 36), ("SG.", 40, 60), ("nvx-", 28, 40), ("tql_pat_", 30, 48)][random.integers(13)]
         return prefix + _drawn(_UP + _DIGITS if prefix in ("AKIA", "ASIA") else both, least, most, random)
     if kind == 5:
         return ".".join("eyJ" * (k < 2) + _drawn(both + "-_", 20, 60, random) for k in range(3))
-    if kind == 6:
-        return _drawn("0123456789abcdef", 32, 64, random)
+    if kind in (6, 14):
+        size = (32, 40, 48, 64)[random.integers(4)]
+        return _drawn("0123456789abcdef", size, size, random)
     if kind == 7:
         return _drawn(both + "+/", 38, 44, random)
     if kind == 8:
@@ -185,9 +186,10 @@ def _secret(random: np.random.Generator) -> str:
 def _harmless(random: np.random.Generator) -> str:
     """A made-up value that is no secret: a digest, an identifier, a placeholder, a word, a number, data."""
     hexes, both = "0123456789abcdef", _LOW + _UP + _DIGITS
-    kind = random.integers(9)
-    if kind == 0:
-        return _drawn(hexes, 40, 64, random)
+    kind = random.integers(12)
+    if kind in (0, 9, 10, 11):
+        size = (32, 40, 40, 64)[random.integers(4)]
+        return _drawn(hexes, size, size, random)
     if kind == 1:
         return "-".join(_drawn(hexes, n, n, random) for n in (8, 4, 4, 4, 12))
     if kind == 2:
@@ -239,7 +241,7 @@ def planted(number: int, seed: int = 5, places: tuple[str, str, str] = (_PLACES,
         elif draw < 0.78:
             fill(pick(named), pick(_HARMLESS_NAMES), _harmless(random), False)
         elif draw < 0.9:
-            fill(pick(named), _style([pick(_PLAIN), pick(_PLAIN)], random), _harmless(random), False)
+            fill(pick(named), _style([pick(_PLAIN), pick(_PLAIN)], random) + str(random.integers(10)) * int(random.integers(2)), _harmless(random), False)
         elif draw < 0.97:
             fill(pick(bare), name, pick(_PLAIN), False)
         else:
@@ -441,7 +443,7 @@ def tokens_of(text: str) -> Tokens:
         token_fine, whole, lead * k + token_coarse, before, after, mix(before, second), mix(before, after), mix(fine[v], begins), mix(word1[v], begins), mix(word1[v], word1b[v]),
         mix(word2[v], begins), mix(word1[v], coarse[v], begins), mix(coarse[v], ahead[v], behind[v]), mix(sized, begins), mix(literal_lead, begins), mix(address, begins, token_coarse),
         mix(line_lead, coarse[v]), mix(ahead[v], further[v], coarse[v]), mix(word1[v], before, begins), mix(leading[v], coarse[v]), mix(word1[v], literal, token_coarse), mix(word2[v], word1[v], coarse[v]),
-        mix(word1[v], word1b[v], coarse[v], begins), mix(address, before, after), mix(literal, token_fine), mix(word2[v], word2b[v], coarse[v]),
+        mix(word1[v], word1b[v], coarse[v], begins), mix(address, before, after), mix(literal, token_fine), mix(word2[v], word2b[v], coarse[v]), mix(word2[v], coarse[v], begins),
     ]
     buckets = []
     for number, code in enumerate(codes_of):

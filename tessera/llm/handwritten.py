@@ -105,6 +105,10 @@ def components(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     letters = float((_IS_LETTER[np.minimum(codes, 128)]).mean()) if len(codes) else 0.0
     parts = [f"dir:{re.sub(r'[0-9]+', '0', d)}" for d in dirs]
     parts += [f"name:{re.sub(r'[0-9]+', '0', p)}" for p in re.split(r"[._-]", name)[1:]] + [f"end:{name[name.find('.') :]}" if "." in name else "end:"]
+    digits = float(((codes >= 48) & (codes <= 57)).mean()) if len(codes) else 0.0
+    alike = [line for line in re.sub(r"[0-9]+", "0", text).split("\n") if len(line) > 8]
+    repeats = 1 - len(set(alike)) / len(alike) if len(alike) > 4 else 0.0
+    parts += [f"digits:{int(digits * 20)}", f"repeats:{int(repeats * 8)}"]
     parts += [f"long:{min(12, int(np.log2(len(text) / lines + 1)))}", f"size:{int(np.log2(len(text) + 1))}", f"letters:{int(letters * 10)}"]
     # masked texts have no giveaway
     parts += ["head"] * any(_COMMENT.match(line) and _HEAD.search(line) for line in text.split("\n", 12)[:12])
