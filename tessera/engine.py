@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,30 @@ class InvalidArgument(ValueError):
     """A tool was called with an argument that it doesn't take."""
 
 
+@dataclass(frozen=True)
+class Parameter:
+    """A tool's parameter: its type, whether it must be given, and its values if they are few."""
+
+    kind: type
+    required: bool = False
+    values: tuple[str, ...] = ()
+
+
+#: Parameters of each tool.
+PARAMETERS: dict[str, dict[str, Parameter]] = {
+    "search_codebase": {"query": Parameter(str, True), "top_k": Parameter(int)},
+    "search_code": {"query": Parameter(str, True), "top_k": Parameter(int)},
+    "find_symbol": {"name": Parameter(str, True), "limit": Parameter(int)},
+    "find_dependencies": {"target": Parameter(str, True), "direction": Parameter(str, values=("upstream", "downstream", "both"))},
+    "get_module_summary": {"module": Parameter(str, True)},
+    "get_api_endpoints": {"module": Parameter(str)},
+    "graph_analysis": {"kind": Parameter(str, True, ("hotspots", "cycles", "impact", "tree")), "target": Parameter(str)},
+    "query_code_graph": {"file": Parameter(str, True)},
+}
+#: Calls that the history keeps.
+HISTORY = 100
+
+
 class Engine:
     """Tools over the Parquet tables under ``root``; every tool returns a lazy DataFrame."""
 
@@ -29,7 +55,11 @@ class Engine:
             "find_dependencies": self.find_dependencies,
             "get_module_summary": self.get_module_summary,
             "graph_analysis": self.graph_analysis,
+            "search_code": self.search_codebase,
+            "get_api_endpoints": self.get_api_endpoints,
+            "query_code_graph": self.query_code_graph,
         }
+        self.history: deque[tuple[str, dict]] = deque(maxlen=HISTORY)
 
     def register_views(self) -> None:
         """Make the tables available to ``spark.sql`` under their names."""
@@ -37,12 +67,23 @@ class Engine:
             table(self.spark, self.root, name).createOrReplaceTempView(name)
 
     def call(self, tool: str, **arguments) -> DataFrame:
-        """Run a tool by name; blank strings and unknown tools are refused."""
+        """Run a tool by name; unknown tools and parameters, missing or blank ones, wrong types and values are refused."""
         if tool not in self.tools:
             raise InvalidArgument(f"unknown tool {tool}")
+        known = PARAMETERS[tool]
         for name, value in arguments.items():
+            if name not in known:
+                raise InvalidArgument(f"{tool} takes no {name}")
+            if value is not None and (not isinstance(value, known[name].kind) or isinstance(value, bool)):
+                raise InvalidArgument(f"{name} is no {known[name].kind.__name__}")
             if isinstance(value, str) and not value.strip():
                 raise InvalidArgument(f"{name} is blank")
+            if known[name].values and value is not None and value not in known[name].values:
+                raise InvalidArgument(f"{name} is none of {', '.join(known[name].values)}")
+        missing = [name for name, p in known.items() if p.required and arguments.get(name) is None]
+        if missing:
+            raise InvalidArgument(f"{tool} needs {', '.join(missing)}")
+        self.history.append((tool, arguments))
         return self.tools[tool](**arguments)
 
     def search_codebase(self, query: str, top_k: int = 8) -> DataFrame:
@@ -72,11 +113,32 @@ class Engine:
         rows = distinct_chunks(self.spark, self.root, "module_name", "file_path", "line_start", "line_end").where(F.col("module_name") == module)
         return rows.groupBy("file_path").agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end")).orderBy("file_path")
 
+    def get_api_endpoints(self, module: str | None = None) -> DataFrame:
+        """Verb, path and handler of the decorated routes, of one module or all."""
+        from tessera.plans.structure_queries import endpoints
+
+        found = endpoints(self.spark, self.root)
+        if module is None:
+            return found
+        own = distinct_chunks(self.spark, self.root, "module_name").where(F.col("module_name") == module).select("chunk_id")
+        return found.join(own, "chunk_id", "left_semi")
+
+    def query_code_graph(self, file: str) -> DataFrame:
+        """Files that import the best match of ``file``: the path itself or the shortest that ends with it."""
+        from tessera.plans.graph_queries import resolved_edges
+
+        found = resolved_edges(self.spark, self.root).withColumn("path", F.regexp_replace("dst", "^[^:]*:", ""))
+        matching = found.where((F.col("path") == file) | F.col("path").endswith(f"/{file}"))
+        best = matching.groupBy("dst").agg(F.min(F.length("path")).alias("n")).orderBy("n", "dst").limit(1).select("dst")
+        return found.join(F.broadcast(best), "dst", "left_semi").select(F.col("src").alias("dependent"), F.col("dst").alias("file")).distinct()
+
     def graph_analysis(self, kind: str, target: str | None = None) -> DataFrame:
-        """``hotspots``, ``cycles`` (up to 5 edges) or ``impact`` of a target (everything that depends on it)."""
+        """``hotspots``, ``cycles`` (up to 5 edges), ``tree`` (what each file imports) or ``impact`` of a target (everything that depends on it)."""
         edges = table(self.spark, self.root, "imports").select(F.col("src_file").alias("src"), F.col("target_path").alias("dst"))
         if kind == "hotspots":
             return graph.in_degrees(edges).orderBy(F.desc("n"), "dst").limit(20)
+        if kind == "tree":
+            return edges.where(F.col("src") == target).distinct() if target else edges.distinct()
         if kind == "cycles":
             return graph.cycles(edges, 5)
         if kind == "impact" and target:

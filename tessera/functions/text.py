@@ -93,7 +93,7 @@ def language_of(path: Column) -> Column:
 def human_size(n: Column) -> Column:
     """Bytes as B, KB, MB or GB; null for null."""
     part = lambda power, digits, unit: F.concat(F.format_string(f"%.{digits}f", n / float(1 << power)), F.lit(f" {unit}"))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, part(10, 1, "KB")).when(n < 1 << 30, part(20, 1, "MB")).otherwise(part(30, 2, "GB"))
+    return F.when(n.isNull(), F.lit(None).cast("string")).when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, part(10, 1, "KB")).when(n < 1 << 30, part(20, 1, "MB")).otherwise(part(30, 2, "GB"))
 
 
 def human_age(seconds: Column) -> Column:
@@ -108,7 +108,7 @@ def human_age(seconds: Column) -> Column:
 
 def ellipsis(text: Column, most: int = 140) -> Column:
     """A text of at most ``most`` characters, the last of them a sign of omission where it was longer."""
-    return F.when(F.length(text) > most, F.concat(F.rtrim(F.left(text, F.lit(most - 1))), F.lit("…"))).otherwise(text)
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)
 
 
 def truncated(text: Column, most: int, marker: str) -> Column:

@@ -43,7 +43,7 @@ def enriched_headers(spark, root):
 @query(f"""WITH c AS (SELECT chunk_id, file_id, unnest(list_distinct(regexp_extract_all(content, '(\\w+)\\(', 1))) AS name FROM {_CHUNKS}), d AS (SELECT DISTINCT k.file_id, s.name, s.chunk_id AS home FROM symbols s JOIN {_CHUNKS} k USING (chunk_id) WHERE s.kind IN ('function', 'method'))
  SELECT c.chunk_id AS caller, d.home AS callee, c.name FROM c JOIN d ON d.file_id = c.file_id AND d.name = c.name WHERE d.home <> c.chunk_id""")
 def call_edges(spark, root):
-    """Calls from a chunk to functions that other chunks of its file define; an equi-join on file and name."""
+    """Calls from a chunk to functions that other chunks of its file define; an equi-join on file and name."""
     # names leave the scan, texts don't
     chunks = distinct_chunks(spark, root, "file_id", F.array_distinct(F.regexp_extract_all("content", F.lit(r"(\w+)\("), F.lit(1))).alias("names"))
     called = chunks.select(F.col("chunk_id").alias("caller"), "file_id", F.explode("names").alias("name"))
@@ -67,7 +67,7 @@ def graph_tables(spark, root):
 
 @query("""SELECT q.request_id, q.status, r.full_name FROM (SELECT DISTINCT ON (request_id) * FROM ai_request_metrics ORDER BY request_id) q LEFT JOIN repos r USING (repo_id) WHERE q.source = 'agent' AND q.status <> 'completed'""")
 def open_runs(spark, root):
-    """Runs that did not complete, with their repository if it is known."""
+    """Runs that did not complete, with their repository if it is known."""
     rows = table(spark, root, "ai_request_metrics").where("source = 'agent' AND status != 'completed'").select("request_id", "status", "repo_id").dropDuplicates(["request_id"])
     return rows.join(table(spark, root, "repos").select("repo_id", "full_name"), "repo_id", "left").select("request_id", "status", "full_name")
 
@@ -90,7 +90,7 @@ def context_union(spark, root):
 
 @query("""SELECT repo_id, arg_max(commit_sha, (created_at AT TIME ZONE 'UTC')::VARCHAR || chunk_id) AS commit_sha, max(created_at AT TIME ZONE 'UTC') AS made FROM code_chunks WHERE repo_id IS NOT NULL AND commit_sha IS NOT NULL GROUP BY repo_id""")
 def last_sync(spark, root):
-    """The latest version of a setting by key: here each repository's commit."""
+    """The latest version of a setting by key: here each repository's commit."""
     rows = table(spark, root, "code_chunks").where("repo_id IS NOT NULL AND commit_sha IS NOT NULL").select("repo_id", "commit_sha", "chunk_id", F.col("created_at").cast("timestamp_ntz").alias("made"))
     return rows.groupBy("repo_id").agg(F.max_by("commit_sha", F.struct("made", "chunk_id")).alias("commit_sha"), F.max("made").alias("made"))
 

@@ -25,20 +25,20 @@ _SYMBOLS = " UNION ".join(f"SELECT file_id, '{kind}' AS kind, unnest(regexp_extr
 
 @query(f"WITH {_FILES} {_IMPORTS}")
 def extracted_imports(spark, root):
-    """Import targets of every file."""
+    """Import targets of every file, as written."""
     return E.imports_of(file_texts(spark, root))
 
 
 @query(f"WITH {_FILES} {_SYMBOLS}")
 def extracted_symbols(spark, root):
-    """Top-level definitions of every file."""
+    """Top-level declarations by patterns inside code generation, a quick outline without Python; the scanner of `definitions` finds methods and constants too."""
     return E.symbols_of(file_texts(spark, root))
 
 
 @query(f"""WITH {_FILES}, e AS ({_SYMBOLS}), g AS (SELECT DISTINCT c.file_id, s.kind, s.name FROM symbols s JOIN (SELECT DISTINCT chunk_id, file_id FROM code_chunks) c USING (chunk_id))
  SELECT g.kind, count(*) AS given, count(e.name) AS found FROM g LEFT JOIN e ON e.file_id = g.file_id AND e.name = g.name AND e.kind = g.kind GROUP BY g.kind""")
 def extraction_recall(spark, root):
-    """R17-like measure: how many of the given symbols extraction finds, per kind."""
+    """How many of the given symbols the patterns find, per kind; `definition_recall` measures the scanner."""
     found = E.symbols_of(file_texts(spark, root)).withColumn("hit", F.lit(True))
     files = table(spark, root, "code_chunks").select("chunk_id", "file_id").distinct()
     given = table(spark, root, "symbols").join(files, "chunk_id").select("file_id", "kind", "name").distinct()
@@ -47,7 +47,7 @@ def extraction_recall(spark, root):
 
 @query()
 def windows(spark, root):
-    """Overlapping line windows of every file."""
+    """Overlapping line windows of every file."""
     return E.windows(file_texts(spark, root)).select("file_id", "window_no", "line_start", "line_end", F.length("content").alias("n_chars"))
 
 

@@ -214,7 +214,7 @@ def node_ids(spark, root):
 
 @query(f"SELECT edge_id AS given, left(sha256(src_file || chr(31) || target_path || chr(31) || 'IMPORTS'), 16) AS edge_id FROM {_EDGES}")
 def edge_ids(spark, root):
-    """Deterministic ids of edges."""
+    """Deterministic ids of edges."""
     e = edges(spark, root)
     return e.select(F.col("edge_id").alias("given"), X.hex_id(F.col("src"), F.col("dst"), F.lit("IMPORTS")).alias("edge_id"))
 
@@ -237,7 +237,7 @@ _RANK = "CASE event_type WHEN 'view' THEN 3 WHEN 'click' THEN 2 WHEN 'signup' TH
 
 @query(f"SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_RANK} DESC, ts, event_id) AS rn FROM events) WHERE rn = 1")
 def edge_winner(spark, root):
-    """The record of greatest authority per key, the earliest among equals, over the whole log at once."""
+    """The record of greatest authority per key, the earliest among equals, over the whole log at once."""
     e = F.col("event_type")
     rank = F.when(e == "view", 3).when(e == "click", 2).when(e == "signup", 1).otherwise(0)
     return G.winners(table(spark, root, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", rank, F.asc("ts"), F.asc("event_id")).select("user_id", "event_id", "event_type")
@@ -246,7 +246,7 @@ def edge_winner(spark, root):
 @query(f"""WITH d AS (SELECT name, count(*) AS definitions, count(DISTINCT c.repo_id) AS repos FROM symbols s JOIN {_CHUNKS} c USING (chunk_id) GROUP BY name), u AS (SELECT name, count(*) AS uses FROM (SELECT unnest(i.names) AS name FROM (SELECT unnest(imports) AS i FROM {_CHUNKS})) GROUP BY name)
  SELECT coalesce(u.name, d.name) AS name, coalesce(definitions, 0) AS definitions, coalesce(repos, 0) AS repos, coalesce(uses, 0) AS uses, CASE WHEN coalesce(definitions, 0) = 0 THEN 'UNRESOLVED' WHEN definitions = 1 THEN 'EXTRACTED' ELSE 'AMBIGUOUS' END AS confidence FROM u FULL JOIN d ON u.name = d.name""")
 def call_resolution(spark, root):
-    """Imported names against definitions; both sides are aggregated first, so frequent names give no pairs."""
+    """Imported names against definitions; both sides are aggregated first, so frequent names give no pairs."""
     chunks = distinct_chunks(spark, root, "repo_id", "imports")
     defined = table(spark, root, "symbols").join(chunks.select("chunk_id", "repo_id"), "chunk_id").groupBy("name").agg(F.count(F.lit(1)).alias("definitions"), F.count_distinct("repo_id").alias("repos"))
     used = chunks.select(F.explode("imports.names").alias("names")).select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("uses"))
@@ -263,5 +263,5 @@ def callers(spark, root):
 
 @query("SELECT confidence, count(DISTINCT edge_id) AS n FROM imports GROUP BY confidence")
 def edge_confidence(spark, root):
-    """Edges per confidence."""
+    """Edges per confidence."""
     return edges(spark, root).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))

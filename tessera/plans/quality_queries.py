@@ -35,13 +35,13 @@ def _smells(spark, root):
 
 @query(f"WITH {_SMELLS} SELECT * FROM smells")
 def smell_union(spark, root):
-    """All smells of files and symbols; those of cycles are in health_snapshot."""
+    """All smells of files and symbols; files on cycles are in bounded_cycles."""
     return _smells(spark, root)
 
 
 @query(f"WITH {_SMELLS} SELECT rule, count(*) AS n, max(measure) AS worst FROM smells GROUP BY rule")
 def health_report(spark, root):
-    """Findings per rule."""
+    """Findings per rule."""
     return _smells(spark, root).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.max("measure").alias("worst"))
 
 

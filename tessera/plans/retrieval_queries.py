@@ -83,7 +83,7 @@ def regex_rules(spark, root):
 
 @query("SELECT rule, chunk_id FROM (SELECT rule, chunk_id, row_number() OVER (PARTITION BY rule ORDER BY chunk_id) AS rn FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, chunk_id FROM {_CHUNKS} WHERE regexp_matches(content, '{v}')" for k, v in _RULES.items()) + ")) WHERE rn <= 20")
 def rule_table_join(spark, root):
-    """at most 20 examples of each rule; the limit of each rule is cut before the shuffle."""
+    """at most 20 examples of each rule, all rules in one scan instead of a join of texts and rules; the limit of each rule is cut before the shuffle."""
     hit = F.filter(F.array(*[F.when(F.col("content").rlike(v), F.lit(k)) for k, v in _RULES.items()]), lambda x: x.isNotNull())
     rows = distinct_chunks(spark, root, hit.alias("rules")).select("chunk_id", F.explode("rules").alias("rule"))
     order = Window.partitionBy("rule").orderBy("chunk_id")
@@ -240,7 +240,7 @@ def issue_refs(spark, root):
 
 @query(r"SELECT doc_id, regexp_extract(text, '^([^\s:]+):(\d+)', 1) AS file_path, try_cast(regexp_extract(text, '^([^\s:]+):(\d+)', 2) AS INT) AS line FROM documents WHERE doc_kind = 'review' AND regexp_matches(text, '^[^\s:]+:\d+')")
 def line_span(spark, root):
-    """File and line a review speaks of."""
+    """File and line a review speaks of."""
     rows = table(spark, root, "documents").where("doc_kind = 'review'").where(F.col("text").rlike(r"^[^\s:]+:\d+"))
     part = lambda k: F.regexp_extract("text", r"^([^\s:]+):(\d+)", k)
     return rows.select("doc_id", part(1).alias("file_path"), part(2).try_cast("int").alias("line"))
@@ -258,7 +258,7 @@ def module_names(spark, root):
  n AS (SELECT *, lead(line) OVER (PARTITION BY chunk_id ORDER BY k) AS next FROM l)
  SELECT chunk_id, (line_start + k - 1)::INT AS line_no, regexp_extract(line, '@(\w+)', 1) AS decorator, regexp_extract(next, 'class\s+(\w+)', 1) AS target FROM n WHERE regexp_matches(line, '^\s*@\w+')""")
 def endpoint_scan(spark, root):
-    """Decorated lines and the class declared on the line that follows."""
+    """Decorated lines of files with a role and the class declared on the line that follows; routes are in `endpoints`."""
     rows = distinct_chunks(spark, root, "nest_role", "line_start", "content").where("nest_role IS NOT NULL")
     lines = F.split("content", "\n")
     pairs = rows.select("chunk_id", "line_start", F.posexplode(F.arrays_zip(lines.alias("line"), F.expr("slice(split(content, '\\n'), 2, 1000000)").alias("next"))).alias("k", "p"))

@@ -180,7 +180,7 @@ def recent_event_stats(spark, root):
 @query(f"""WITH s AS (SELECT DISTINCT ON (chunk_id) chunk_id, repo_id, symbols FROM code_chunks ORDER BY chunk_id, created_at), e AS (SELECT repo_id, unnest(symbols) AS s FROM s)
  SELECT repo_id, kind, n FROM (SELECT repo_id, s.kind AS kind, count(*) AS n, row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, s.kind) AS rn FROM e WHERE repo_id IS NOT NULL GROUP BY 1, 2) WHERE rn <= 3""")
 def historical_patterns(spark, root):
-    """The 3 most frequent kinds of symbols per repository, from nested arrays."""
+    """The 3 most frequent kinds of symbols per repository, from nested arrays."""
     each = distinct_chunks(spark, root, "repo_id", F.col("symbols.kind").alias("kinds")).where(F.col("repo_id").isNotNull()).select("repo_id", F.explode("kinds").alias("kind"))
     counts = each.groupBy("repo_id", "kind").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("repo_id").orderBy(F.desc("n"), F.asc("kind"))
@@ -267,7 +267,7 @@ def nearest_rank(spark, root):
  d AS (SELECT repo_id, count(*) AS documents FROM documents WHERE repo_id IS NOT NULL GROUP BY 1)
  SELECT r.full_name, r.is_active, coalesce(chunks, 0) AS chunks, coalesce(files, 0) AS files, coalesce(documents, 0) AS documents, coalesce(requests, 0) AS requests FROM repos r LEFT JOIN c USING (repo_id) LEFT JOIN d USING (repo_id) LEFT JOIN u USING (repo_id)""")
 def repo_dashboard(spark, root):
-    """Repositories with pre-aggregated chunks, documents and requests."""
+    """Repositories with pre-aggregated chunks, documents and requests."""
     there = F.col("repo_id").isNotNull()
     chunks = table(spark, root, "code_chunks").where(there).groupBy("repo_id").agg(F.count_distinct("chunk_id").alias("chunks"), F.count_distinct("file_id").alias("files"))
     documents = table(spark, root, "documents").where(there).groupBy("repo_id").agg(F.count(F.lit(1)).alias("documents"))

@@ -218,3 +218,97 @@ def test_engine_refuses_bad_arguments(spark, root):
             engine.call(tool, **arguments)
     assert engine.call("graph_analysis", kind="hotspots").count() > 0
     assert engine.call("search_codebase", query="ledger quiver", top_k=50).count() <= 20
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["x", "y", None]), st.one_of(st.none(), st.floats(-1e6, 1e6), st.floats(0, 1))), max_size=50))
+def test_interpolated_percentiles(spark, rows):
+    """Against the definition, with fractions below one and the null key."""
+    frame = spark.createDataFrame(rows, "k string, v double")
+    got = {(r["key"], r["p"]): r["value"] for r in skew.key_interpolated(frame, "k", "v", (0.0, 0.25, 0.9, 1.0)).collect()}
+    groups = defaultdict(list)
+    for k, v in rows:
+        if v is not None:
+            groups[k].append(v)
+    for k, values_of in groups.items():
+        ordered = sorted(values_of)
+        for p in (0.0, 0.25, 0.9, 1.0):
+            place = p * (len(ordered) - 1)
+            low = int(place)
+            want = ordered[low] + (place - low) * (ordered[min(low + 1, len(ordered) - 1)] - ordered[low])
+            assert got[k, p] == pytest.approx(want, rel=1e-9, abs=1e-9)
+    assert len(got) == 4 * len(groups)
+
+
+def test_small_values_keep_their_buckets_apart(spark):
+    frame = spark.createDataFrame([(v,) for v in (0.0, -0.5, 0.001, 0.25, 0.26, 0.5, 0.999, 1.0, 5e-324, float("inf"), -3.0)], "v double")
+    rows = frame.select("v", skew._bucket(F.col("v")).alias("b")).orderBy("v").collect()
+    assert [r["b"] for r in rows] == sorted(r["b"] for r in rows) and len({r["b"] for r in rows}) == len(rows)
+
+
+def test_look_back_over_stretches(spark):
+    times = [0, 10, 3599, 3600, 3601, 7300, 10900, 10900]
+    rows = spark.createDataFrame([("a", t) for t in times] + [("b", 0), (None, 5)], "k string, s long").withColumn("t", F.timestamp_seconds("s"))
+    got = sorted(r["recent"] for r in telemetry.busy_keys(rows, "k", "t", 1, 3600).where("k = 'a'").collect())
+    assert got == sorted(n for n in (sum(t - 3600 <= o < t for o in times) for t in times) if n >= 1)
+
+
+def test_formats_for_people(spark):
+    sizes = spark.createDataFrame([(0,), (1023,), (1536,), (1 << 20,), (3 << 30,), (None,)], "n long").select(X.human_size(F.col("n")).alias("s"))
+    assert [r["s"] for r in sizes.collect()] == ["0 B", "1023 B", "1.5 KB", "1.0 MB", "3.00 GB", None]
+    ages = spark.createDataFrame([(5.0,), (61.0,), (7200.0,), (86400.0 * 3,), (86400.0 * 65,), (86400.0 * 800,), (-1.0,), (None,), (float("nan"),)], "n double").select(X.human_age(F.col("n")).alias("s"))
+    assert [r["s"] for r in ages.collect()] == ["just now", "1m ago", "2h ago", "3d ago", "2mo ago", "2y ago", "unknown", "unknown", "unknown"]
+    texts = spark.createDataFrame([("abcdef",), ("abc",), (None,), ("",)], "t string").select(X.ellipsis(F.col("t"), 4).alias("e"), X.truncated(F.col("t"), 5, "[..]").alias("c"))
+    assert [tuple(r) for r in texts.collect()] == [("abc…", "a[..]"), ("abc", "abc"), (None, None), ("", "")]
+    ranges = spark.createDataFrame([("24h",), ("30d",), ("0d",), ("999d",), ("x",), (None,)], "t string").select(X.range_days(F.col("t")).alias("d"))
+    assert [r["d"] for r in ranges.collect()] == [1, 30, 7, 7, 7, 7]
+    answers = spark.createDataFrame([('{"a": 1}',), ('so:\n```json\n{"a": 2}\n```',), ('it is {"a": 3} then',), ("none",), (None,)], "t string").select(F.get_json_object(X.tolerant_json(F.col("t")), "$.a").alias("a"))
+    assert [r["a"] for r in answers.collect()] == ["1", "2", "3", None, None]
+    words = spark.createDataFrame([("critical",), ("Warning",), ("suggestion",), ("info",), (None,)], "t string").select(X.severity(F.col("t")).alias("s"))
+    assert [r["s"] for r in words.collect()] == ["critical", "high", "medium", "low", "low"]
+
+
+def test_roles_and_artifacts(spark):
+    rows = spark.createDataFrame([("a/b.guard.ts", []), ("x/user.service.ts", ["Injectable"]), ("x/user.ts", ["Controller"]), ("x/user.ts", None), (None, [])], "p string, d array<string>")
+    assert [r["r"] for r in rows.select(scan.nest_role(F.col("p"), F.col("d")).alias("r")).collect()] == ["guard", "service", "controller", "unknown", "unknown"]
+    paths = spark.createDataFrame([(p,) for p in ("db/a.sql", "x/schema.ts", "k8s/a.yaml", "main.tf", "docs/x/a.txt", "a/docs/b.txt", "README.md", "test/a.sql", "a.proto", "b.ts", None)], "p string")
+    assert [r["k"] for r in paths.select(scan.artifact_kind(F.col("p")).alias("k")).collect()] == ["schema", "schema", "openapi", "terraform", None, "markdown", "markdown", None, "proto", None, None]
+    pages = spark.createDataFrame([("app/page.tsx",), ("app/api/x/route.ts",), ("src/hooks/a.ts",), ("b.ts",)], "p string")
+    assert [r["r"] for r in pages.select(scan.framework_role(F.col("p"), "nextjs").alias("r")).collect()] == ["page", "api-route", "hook", "component"]
+    assert [r["r"] for r in pages.select(scan.framework_role(F.col("p"), "nestjs").alias("r")).collect()] == [None] * 4
+
+
+def test_smells_at_their_thresholds(spark):
+    chunks = spark.createDataFrame([("f", 400, None, False), ("g", 401, [("a",)], True), ("h", None, [(str(k),) for k in range(11)], False)], "file_id string, line_end int, imports array<struct<source: string>>, deep boolean")
+    spans = spark.createDataFrame([("f", "run", "function", 1, 81), ("f", "go", "function", 1, 82), ("f", "A", "class", 1, 501), ("f", "B", "class", 1, 502), ("f", None, "class", None, None)], "file_id string, name string, kind string, first int, last int")
+    methods = spark.createDataFrame([("f", f"A.m{k}") for k in range(15)] + [("f", f"B.m{k}") for k in range(16)], "file_id string, qualified string")
+    got = values(quality.smells(chunks, spans, methods), "rule", "subject")
+    assert got == [("deep_nesting", "g"), ("fan_out", "h"), ("god_class", "f:B"), ("large_file", "g"), ("long_function", "f:go"), ("many_methods", "f:B")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from unittest.mock import MagicMock
+
+    from tessera.session import ensure_checkpoint_dir
+
+    session = MagicMock()
+    session.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    session.conf.get.return_value = None
+    session.sparkContext.master = "spark://head:7077"
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session)
+    session.conf.get.return_value = "hdfs:///shared"
+    ensure_checkpoint_dir(session)
+    session.sparkContext.setCheckpointDir.assert_called_with("hdfs:///shared")
+
+
+def test_tools_check_their_parameters(spark, root):
+    from tessera.engine import Engine, InvalidArgument
+
+    engine = Engine(spark, root)
+    for tool, arguments in (("search_code", {}), ("find_symbol", {"name": 3}), ("find_symbol", {"name": "a", "other": 1}), ("graph_analysis", {"kind": "nope"}), ("query_code_graph", {"file": ""})):
+        with pytest.raises(InvalidArgument):
+            engine.call(tool, **arguments)
+    assert engine.call("get_api_endpoints").columns == ["chunk_id", "file_path", "line_no", "verb", "path", "handler"]
+    engine.call("query_code_graph", file="nothing.ts").count()
+    assert [h[0] for h in engine.history] == ["get_api_endpoints", "query_code_graph"]
