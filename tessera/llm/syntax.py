@@ -3,8 +3,8 @@
 Method: a lexer per language feeds a pushdown stack. The lexer finds unterminated literals, illegal characters and
 merge-conflict markers (outside strings and comments); the stack finds unbalanced delimiters and premature ends, and
 remembers in each frame what a colon may mean there. Rules on neighbouring tokens find text of another language and
-cuts in the middle. JSON needs no more. Python files that pass are
-held against the parser Python brings along, which alone knows its statements.
+cuts in the middle; for Python, rules on logical lines and a stack of indents find missing blocks and colons. JSON needs
+no more. Python files that pass are held against the parser Python brings along as well.
 """
 
 from __future__ import annotations
@@ -295,6 +295,61 @@ _PY = re.compile(
 )
 
 
+# Words of Python that are no operands, words that open a block, and signs that no statement begins with.
+_PY_WORDS = _words("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type print exec _")
+_PY_OPENERS = _words("if elif else for while try except finally with def class")
+_PY_NO_START = re.compile(r"(?://|@@|[%/=<>|&^,;:.)\]}](?!\.\.))")
+_PY_ADJACENT = re.compile(r"(?<![\w.])([^\W\d]\w*)[ \t]+(?=([^\W\d]\w*))")
+_PY_NUMBERED = re.compile(r"[-+]?\d[\w.]*[ \t]*(?::(?!=)|[^\W\d])")
+
+
+def _statements(text: str) -> None:
+    """Rules of Python's logical lines, with a stack of indents: blocks where they are due, no signs or words that cannot stand side by side."""
+    indents, due, depth, joined = [0], False, 0, False
+    plain = _PY.sub(lambda m: m.group() if m.lastgroup != "text" and m.lastgroup != "note" else '""' * (m.lastgroup == "text") + "\\\n" * m.group().count("\n"), text)
+    at, header = 0, ""
+    for line in plain.split("\n"):
+        body = line.strip(" \t\r\f")
+        if body and not joined and depth == 0:
+            indent = len(line[: len(line) - len(line.lstrip(" \t\f"))].expandtabs(8))
+            if due and indent <= indents[-1]:
+                raise _Fault("missing block", at)
+            if not due and indent > indents[-1]:
+                raise _Fault("unexpected indent", at)
+            if due:
+                indents.append(indent)
+            while indent < indents[-1]:
+                indents.pop()
+            if indent != indents[-1]:
+                raise _Fault("unmatched dedent", at)
+            if _PY_NO_START.match(body) or _PY_NUMBERED.match(body):
+                raise _Fault("invalid statement", at)
+            due, header = False, ""
+            words = re.match(r"(?:async[ \t]+)?([^\W\d]\w*)", body)
+            if words and words.group(1) in _PY_OPENERS:
+                header = words.group(1)
+        for m in _PY_ADJACENT.finditer(body):
+            if m.group(1) not in _PY_WORDS and m.group(2) not in _PY_WORDS:
+                raise _Fault("operator missing", at)
+        if not body.isascii() and any(not (c.isascii() or c.isidentifier() or ("a" + c).isidentifier()) for c in body):
+            raise _Fault("illegal character", at)
+        joined = body.endswith("\\")
+        depth = max(0, depth + sum(body.count(c) for c in "([{") - sum(body.count(c) for c in ")]}"))
+        if body and depth == 0 and not joined:
+            if body.endswith(":"):
+                due = True
+            elif header and not body.startswith((")", "]", "}")):
+                flat, before = body, ""
+                while flat != before:
+                    flat, before = re.sub(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", "", flat), flat
+                if ":" not in flat:
+                    raise _Fault("missing colon", at)
+            header = header if joined or depth else ""
+        at += len(line) + 1
+    if due:
+        raise _Fault("premature end", len(text))
+
+
 def _python(text: str) -> None:
     stack: list[tuple[str, int]] = []
     if _MARKER.match(text):
@@ -312,6 +367,7 @@ def _python(text: str) -> None:
             raise _Fault("merge conflict marker", m.end())
     if stack:
         raise _Fault("premature end", stack[-1][1])
+    _statements(text)
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")

@@ -151,6 +151,24 @@ def test_faults_of_real_python_files(spark, root):
         assert (Y.fault_of(path, text) is None) == valid
 
 
+def test_statement_rules_of_python_raise_no_false_alarm():
+    """Modules of the standard library, which are valid, and lines that are not."""
+    import glob
+    import sysconfig
+
+    for path in glob.glob(f"{sysconfig.get_paths()['stdlib']}/*.py"):
+        with open(path, encoding="utf-8", errors="strict") as file:
+            try:
+                text = file.read()
+                ast.parse(text)
+            except (SyntaxError, ValueError):
+                continue
+        Y._statements(text)
+    for bad in ("for x in y:\nz\n", "if x\n    y\n", "def f(a: int)\n    pass\n", "x = 1\n  y = 2\n", "// note\n", "404: Not Found\n", "a = “b”\n", "if a:\n        b\n    c\n", "import a b\n", "try:\n    pass\nexcept:\n", "@@ -1,2 +1,2 @@\n"):
+        with pytest.raises(Y._Fault):
+            Y._statements(bad)
+
+
 def test_rates_with_nulls(spark):
     frame = spark.createDataFrame([("1", "a.json", "{}", None), ("2", "b.json", "{", None), ("3", "c.md", "{", "r"), ("4", None, None, "r"), ("5", "d.py", None, "r")], "file_id string, file_path string, text string, repo_id string")
     checked = Y.parse_faults(frame)
