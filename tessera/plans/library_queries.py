@@ -192,6 +192,30 @@ def graph_edges(spark, root):
     return defines.unionByName(imports).select(X.hex_id(F.col("src"), F.col("dst"), F.col("relation")).alias("edge_id"), "src", "dst", "relation", "confidence")
 
 
+_KIND = "CASE event_type WHEN 'view' THEN 'ast' WHEN 'click' THEN 'llm' WHEN 'signup' THEN 'hybrid' ELSE 'other' END"
+
+
+@query(f"""WITH w AS (SELECT user_id, kind, s FROM (SELECT user_id, {_KIND} AS kind, greatest(0, least(1, value / 20)) AS s, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'view' THEN 3 WHEN 'click' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END DESC, ts, event_id) AS rn FROM events) WHERE rn = 1),
+ t AS (SELECT user_id, CASE WHEN kind = 'ast' THEN 'EXTRACTED' WHEN kind = 'llm' AND s IS NOT NULL THEN 'INFERRED' WHEN kind = 'hybrid' AND s >= 0.5 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS tag FROM w), e AS (SELECT edge_id, min(confidence) AS confidence FROM imports GROUP BY 1)
+ SELECT edge_id, confidence AS before, coalesce(tag, confidence, 'AMBIGUOUS') AS confidence, coalesce(tag, confidence) IS DISTINCT FROM confidence AS changed FROM e LEFT JOIN t ON t.user_id = ('0x' || left(edge_id, 6))::BIGINT % 1000""")
+def retagged_edges(spark, root):
+    """Edges with the confidence of their audit of greatest authority, else their own, else ambiguous.
+
+    The event log stands for the audits: those of a user are the audits of the edges whose id falls to that user.
+    """
+    e = F.col("event_type")
+    rank = F.when(e == "view", 3).when(e == "click", 2).when(e == "signup", 1).otherwise(0)
+    kind = F.when(e == "view", "ast").when(e == "click", "llm").when(e == "signup", "hybrid").otherwise("other")
+    audits = G.winners(table(spark, root, "events").select("user_id", "event_id", "event_type", "ts", "value"), "user_id", rank, F.asc("ts"), F.asc("event_id"))
+    tag, _ = G.tagged(kind, F.col("value") / 20)
+    tags = audits.select("user_id", tag.alias("tag"))
+    own = table(spark, root, "imports").groupBy("edge_id").agg(F.min("confidence").alias("before"))
+    of = own.withColumn("user_id", F.conv(F.left("edge_id", F.lit(6)), 16, 10).cast("long") % 1000)
+    both = of.join(tags, "user_id", "left")
+    new = F.coalesce("tag", "before")
+    return both.select("edge_id", "before", F.coalesce(new, F.lit("AMBIGUOUS")).alias("confidence"), (~new.eqNullSafe(F.col("before"))).alias("changed"))
+
+
 @query(f"""WITH e AS (SELECT date_trunc('hour', started_at AT TIME ZONE 'UTC') AS hour, 1 AS begun, 0 AS ended FROM {_REQ} WHERE started_at IS NOT NULL UNION ALL SELECT date_trunc('hour', completed_at AT TIME ZONE 'UTC'), 0, 1 FROM {_REQ} WHERE started_at IS NOT NULL AND completed_at IS NOT NULL),
  h AS (SELECT hour::TIMESTAMP AS hour, sum(begun)::BIGINT AS begun, sum(ended)::BIGINT AS ended FROM e GROUP BY 1) SELECT *, sum(begun - ended) OVER (ORDER BY hour)::BIGINT AS depth FROM h""")
 def queue_depth(spark, root):

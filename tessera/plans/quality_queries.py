@@ -180,7 +180,7 @@ def artifacts(spark, root):
 
 @query(r"""SELECT repo_id, CASE WHEN bool_or(regexp_matches(file_path, '\.(module|controller|service)\.ts$')) THEN 'nestjs' WHEN bool_or(contains(file_path, 'src/main/java/')) THEN 'spring' WHEN bool_or(regexp_matches(file_path, '\.m?js$')) THEN 'express' END AS framework FROM code_chunks WHERE repo_id IS NOT NULL GROUP BY repo_id""")
 def frameworks(spark, root):
-    """SC10: framework of each repository by its files."""
+    """A guess at the framework of each repository by the names of its files alone."""
     return scan.framework_of(table(spark, root, "code_chunks").where("repo_id IS NOT NULL").select("repo_id", "file_path"), "repo_id")
 
 
@@ -193,6 +193,18 @@ def roles(spark, root):
     return rows.groupBy("role", F.coalesce("nest_role", F.lit("none")).alias("given")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH f AS (SELECT DISTINCT repo_id, file_path FROM code_chunks WHERE repo_id IS NOT NULL), t AS (SELECT repo_id, file_path, string_agg(content, chr(10) ORDER BY line_start) AS text FROM (SELECT DISTINCT ON (chunk_id) * FROM code_chunks ORDER BY chunk_id, created_at) WHERE file_path IN ('package.json', 'requirements.txt', 'pom.xml') OR file_path LIKE 'vite.config.%' GROUP BY 1, 2),
+ r AS (SELECT repo_id, bool_or(file_path = 'package.json' AND contains(text, '@nestjs/core')) AS nest, bool_or(file_path = 'package.json' AND contains(text, '"express"')) AS express FROM t GROUP BY 1),
+ g AS (SELECT repo_id, min(CASE regexp_extract(lower(file_path), '[^/]+$') WHEN 'next.config.js' THEN 'a:nextjs' WHEN 'next.config.ts' THEN 'a:nextjs' WHEN 'next.config.mjs' THEN 'a:nextjs' WHEN 'vite.config.ts' THEN 'b:vite-react' WHEN 'vite.config.js' THEN 'b:vite-react' WHEN 'vite.config.mts' THEN 'b:vite-react' WHEN 'angular.json' THEN 'c:angular' WHEN '.angular-cli.json' THEN 'c:angular'
+   WHEN 'svelte.config.js' THEN 'd:svelte' WHEN 'svelte.config.ts' THEN 'd:svelte' WHEN 'nuxt.config.ts' THEN 'e:nuxt' WHEN 'nuxt.config.js' THEN 'e:nuxt' END) FILTER (WHERE len(string_split(file_path, '/')) <= 2) AS signal FROM f GROUP BY 1)
+ SELECT g.repo_id, CASE WHEN nest THEN 'nestjs' WHEN signal IS NOT NULL THEN substr(signal, 3) WHEN express THEN 'express' ELSE 'unknown' END AS framework FROM g LEFT JOIN r USING (repo_id)""")
+def detected_frameworks(spark, root):
+    """SC10: framework of each repository by manifest, signal files, requirements and build files."""
+    paths = table(spark, root, "code_chunks").where("repo_id IS NOT NULL").select("repo_id", "file_path").distinct()
+    texts = file_texts(spark, root, "repo_id", where=F.col("file_path").isin(*scan.READ)).where("repo_id IS NOT NULL")
+    return scan.detected_framework(paths, texts, "repo_id")
+
+
 @query()
 def framework_roles(spark, root):
     """SC11: roles that each framework would give to the files."""

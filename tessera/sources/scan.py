@@ -100,3 +100,38 @@ def framework_of(files: DataFrame, repo: str) -> DataFrame:
     nest, spring, express = path.rlike(r"\.(module|controller|service)\.ts$"), path.rlike(r"src/main/java/"), path.rlike(r"\.m?js$")
     by = files.groupBy(repo).agg(*[F.bool_or(c).alias(n) for c, n in ((nest, "nest"), (spring, "spring"), (express, "express"))])
     return by.select(repo, F.when(F.col("nest"), "nestjs").when(F.col("spring"), "spring").when(F.col("express"), "express").alias("framework"))
+
+
+# Files in a repository's upper two levels that say what it is built with, in this order.
+SIGNALS = (
+    ("next.config.js", "nextjs"), ("next.config.ts", "nextjs"), ("next.config.mjs", "nextjs"), ("vite.config.ts", "vite-react"), ("vite.config.js", "vite-react"), ("vite.config.mts", "vite-react"), ("angular.json", "angular"),
+    (".angular-cli.json", "angular"), ("svelte.config.js", "svelte"), ("svelte.config.ts", "svelte"), ("nuxt.config.ts", "nuxt"), ("nuxt.config.js", "nuxt"),
+)
+READ = ("package.json", "requirements.txt", "pom.xml", "vite.config.ts", "vite.config.js", "vite.config.mts")
+
+
+def detected_framework(paths: DataFrame, texts: DataFrame, repo: str) -> DataFrame:
+    """(repo, framework): what a repository is built with, by its manifest, signal files, requirements and build files; else ``unknown``.
+
+    paths has repo and file_path of all files, texts also the text of those READ in the root. One aggregate over each.
+    """
+    path = F.lower("file_path")
+    upper = F.size(F.split(path, "/")) <= 2
+    has = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
+    seen = paths.groupBy(repo).agg(
+        *[has(upper & (F.substring_index(path, "/", -1) == f), f"s{k}") for k, (f, _) in enumerate(SIGNALS)],
+        has(F.contains(F.col("file_path"), F.lit("pom.xml")) | F.contains(F.col("file_path"), F.lit("build.gradle")), "build"),
+    )
+    says = lambda file, *words: (F.col("file_path") == file) & F.coalesce(F.expr(" OR ".join(f"contains(text, '{w}')" for w in words)), F.lit(False))
+    vite = F.col("file_path").startswith("vite.config.")
+    read = texts.groupBy(F.col(repo).alias("_repo")).agg(
+        has(says("package.json", "@nestjs/core"), "nest"), has(says("package.json", '"express"'), "express"), has((F.col("file_path") == "package.json") & (F.length("text") > 0), "manifest"),
+        has(says("requirements.txt", "fastapi"), "fastapi"), has(says("requirements.txt", "django"), "django"), has(says("pom.xml", "spring-boot"), "spring"),
+        has(vite & (F.contains("text", F.lit("@vitejs/plugin-vue")) | F.contains("text", F.lit("vue()"))), "vue"), has(vite & (F.contains("text", F.lit("@sveltejs/kit")) | F.contains("text", F.lit("sveltekit"))), "kit"),
+    )
+    both = seen.join(read, seen[repo].eqNullSafe(read["_repo"]), "left").drop("_repo").na.fill(False)
+    out = F.when(F.col("nest"), "nestjs")
+    for k, (_, name) in enumerate(SIGNALS):
+        out = out.when(F.col(f"s{k}"), F.when(F.col("vue"), "vite-vue").when(F.col("kit"), "sveltekit").otherwise(name) if name == "vite-react" else F.lit(name))
+    out = out.when(~F.col("manifest") & F.col("fastapi"), "fastapi").when(~F.col("manifest") & F.col("django"), "django").when(F.col("build") & F.col("spring"), "spring").when(F.col("express"), "express")
+    return both.select(repo, out.otherwise("unknown").alias("framework"))

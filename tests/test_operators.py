@@ -312,3 +312,10 @@ def test_tools_check_their_parameters(spark, root):
     assert engine.call("get_api_endpoints").columns == ["chunk_id", "file_path", "line_no", "verb", "path", "handler"]
     engine.call("query_code_graph", file="nothing.ts").count()
     assert [h[0] for h in engine.history] == ["get_api_endpoints", "query_code_graph"]
+
+
+def test_frameworks_by_priority(spark):
+    paths = [("n", "package.json"), ("n", "next.config.js"), ("x", "web/next.config.ts"), ("deep", "a/b/next.config.ts"), ("v", "vite.config.ts"), ("r", "vite.config.js"), ("f", "requirements.txt"), ("s", "pom.xml"), ("e", "package.json"), (None, "a.ts")]
+    texts = [("n", "package.json", '{"@nestjs/core": 1}'), ("v", "vite.config.ts", "import vue from '@vitejs/plugin-vue'"), ("r", "vite.config.js", "x"), ("f", "requirements.txt", "fastapi==1"), ("s", "pom.xml", "spring-boot"), ("e", "package.json", '{"express": 1}'), ("deep", "package.json", None)]
+    got = scan.detected_framework(spark.createDataFrame(paths, "r string, file_path string"), spark.createDataFrame(texts, "r string, file_path string, text string"), "r")
+    assert {r["r"]: r["framework"] for r in got.collect()} == {"n": "nestjs", "x": "nextjs", "deep": "unknown", "v": "vite-vue", "r": "vite-react", "f": "fastapi", "s": "spring", "e": "express", None: "unknown"}
