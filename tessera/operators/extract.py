@@ -68,7 +68,7 @@ def line_windows(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
         size, last, blank = 0, first, -1
         while last < len(lines) and (size + len(lines[last]) + 1 <= target or last == first):
             size += len(lines[last]) + 1
-            if not lines[last].strip() and size >= 0.6 * target:
+            if last > first and not lines[last].strip() and size >= 0.6 * target:
                 blank = last
                 break
             last += 1

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict]], schema: str) -> DataFrame:
@@ -37,15 +39,37 @@ def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object],
 
 
 def cooled_down(df: DataFrame, key: str, micros: str, ident: str, gap: int) -> DataFrame:
-    """The rows that pass a cool-down: the first of each key, and each that comes ``gap`` microseconds or more after the last passed."""
+    """The rows that pass a cool-down: the first of each key, and each that comes ``gap`` microseconds or more after the last passed.
 
-    def step(last, row):
-        if last is None or row[micros] - last >= gap:
-            return row[micros], {key: row[key], ident: row[ident]}
-        return last, None
+    Rows come in order of time and ident and stream through; from one that passes the next is found by bisection, so the work
+    of a key grows with what passes, not with its rows. Null times never pass.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, at, last = False, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            times = batch.column(1).to_numpy(zero_copy_only=False)
+            codes = batch.column(0).dictionary_encode(null_encoding="encode")
+            code, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            passed = []
+            for a, b in zip(starts, np.append(starts[1:], len(code)), strict=True):
+                name = names[code[a]]
+                i = int(a)
+                if begun and name == at:
+                    i += int(np.searchsorted(times[a:b], last + gap))
+                while i < b:
+                    passed.append(i)
+                    last = int(times[i])
+                    i += 1 + int(np.searchsorted(times[i + 1 : b], last + gap))
+                begun, at = True, name
+            yield batch.select([key, ident]).take(pa.array(passed, pa.int64()))
 
     kinds = dict(df.dtypes)
-    return fold(df, key, [micros, ident], lambda: None, step, f"{key} {kinds[key]}, {ident} {kinds[ident]}")
+    rows = df.where(F.col(micros).isNotNull()).select(key, F.col(micros).cast("long").alias(micros), ident)
+    return rows.repartition(key).sortWithinPartitions(key, micros, ident).mapInArrow(run, f"{key} {kinds[key]}, {ident} {kinds[ident]}")
 
 
 def token_bucket(df: DataFrame, key: str, micros: str, ident: str, cost: str, capacity: float, refill: float) -> DataFrame:

@@ -45,7 +45,14 @@ def extraction_recall(spark, root):
     return given.join(found, ["file_id", "kind", "name"], "left").groupBy("kind").agg(F.count(F.lit(1)).alias("given"), F.count("hit").alias("found"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FILES}, n AS (SELECT file_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM f WHERE regexp_matches(text, '[^\\s]') AND NOT contains(text, chr(0))),
+ c AS (SELECT file_id, k, length(line) + 1 AS len, NOT regexp_matches(line, '[^\\s]') AS blank, sum(length(line) + 1) OVER (PARTITION BY file_id ORDER BY k) AS upto, count(*) OVER (PARTITION BY file_id) AS size FROM n),
+ w(file_id, start, stop, good, prev, prev_upto, nxt, base, size) AS (SELECT DISTINCT file_id, 0::BIGINT, 0::BIGINT, false, 0::BIGINT, 0::HUGEINT, 1::BIGINT, 0::HUGEINT, size FROM c
+  UNION ALL SELECT file_id, nxt, stop, stop > prev, greatest(prev, stop), CASE WHEN stop > prev THEN stop_upto ELSE prev_upto END, CASE WHEN stop >= size THEN NULL WHEN stop <= prev THEN prev + 1 ELSE coalesce(back, stop + 1) END, CASE WHEN stop <= prev THEN prev_upto ELSE coalesce(back_base, stop_upto) END, size
+  FROM (SELECT y.*, min(c.k) FILTER (WHERE c.k > nxt AND stop_upto - (c.upto - c.len) <= 200) AS back, arg_min(c.upto - c.len, c.k) FILTER (WHERE c.k > nxt AND stop_upto - (c.upto - c.len) <= 200) AS back_base
+   FROM (SELECT x.*, e.k AS stop, e.upto AS stop_upto FROM (SELECT r.file_id, r.prev, r.prev_upto, r.size, r.nxt, r.base, max(c.k) FILTER (WHERE c.upto - r.base <= 2000 OR c.k = r.nxt) AS l, min(c.k) FILTER (WHERE c.blank AND c.k > r.nxt AND c.upto - r.base BETWEEN 1200 AND 2000) AS b
+     FROM w r JOIN c ON c.file_id = r.file_id AND c.k >= r.nxt GROUP BY ALL) x JOIN c e ON e.file_id = x.file_id AND e.k = coalesce(b, l)) y JOIN c ON c.file_id = y.file_id AND c.k BETWEEN y.nxt AND y.stop GROUP BY ALL))
+ SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY start) - 1)::INT AS window_no, start::INT AS line_start, stop::INT AS line_end, (SELECT sum(c.len) - 1 FROM c WHERE c.file_id = w.file_id AND c.k BETWEEN w.start AND w.stop)::INT AS n_chars FROM w WHERE good""")
 def windows(spark, root):
     """Overlapping line windows of every file."""
     return E.windows(file_texts(spark, root)).select("file_id", "window_no", "line_start", "line_end", F.length("content").alias("n_chars"))

@@ -228,3 +228,50 @@ def queue_depth(spark, root):
     ended = rows.where("completed_at IS NOT NULL").select(hour("completed_at"), F.lit(0).alias("b"), F.lit(1).alias("e"))
     hours = begun.unionByName(ended).groupBy("hour").agg(F.sum("b").alias("begun"), F.sum("e").alias("ended"))
     return hours.withColumn("depth", F.sum(F.col("begun") - F.col("ended")).over(Window.orderBy("hour")))
+
+
+@query(f"""WITH f AS (SELECT file_path, max(created_at) AS made FROM {_CHUNKS} GROUP BY 1 ORDER BY made DESC, file_path LIMIT 4), r AS (SELECT file_path, chunk_id, line_start, row_number() OVER (PARTITION BY file_path ORDER BY line_start, chunk_id) AS rn FROM {_CHUNKS} JOIN f USING (file_path)) SELECT file_path, chunk_id, line_start FROM r WHERE rn <= 2""")
+def first_chunks(spark, root):
+    """The first two chunks, by line, of each of the four files changed last."""
+    from pyspark.sql import Window
+
+    rows = table(spark, root, "code_chunks").where("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.min("file_path").alias("file_path"), F.min("line_start").alias("line_start"), F.min("created_at").alias("made"))
+    latest = rows.groupBy("file_path").agg(F.max("made").alias("last")).orderBy(F.desc("last"), "file_path").limit(4).select("file_path")
+    order = Window.partitionBy("file_path").orderBy("line_start", "chunk_id")
+    return rows.join(F.broadcast(latest), "file_path", "left_semi").withColumn("rn", F.row_number().over(order)).where("rn <= 2").select("file_path", "chunk_id", "line_start")
+
+
+@query(f"""SELECT doc_id, doc_kind, round({' + '.join(_SHARE)}, 6) AS score FROM documents WHERE doc_kind IN ('readme', 'runbook', 'schema', 'changelog') AND text IS NOT NULL AND {' AND '.join(f'{x} > 0' for x in _SHARE)} ORDER BY score DESC, doc_id LIMIT 5""")
+def artifact_search(spark, root):
+    """The five best context documents that have all words, of some kinds only."""
+    rows = table(spark, root, "documents").where(F.col("doc_kind").isin("readme", "runbook", "schema", "changelog") & F.col("text").isNotNull())
+    share = [R.lexical_score(F.col("text"), (t,)) for t in ASKED]
+    return rows.where((share[0] > 0) & (share[1] > 0)).select("doc_id", "doc_kind", F.round(share[0] + share[1], 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(5)
+
+
+@query(rf"""WITH q AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_./-]+\.(?:ts|js|py|go|java)')) AS name, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_./-]+\.(?:ts|js|py|go|java)'), 1) AS pos FROM documents WHERE doc_kind IN ('review', 'issue')), d AS (SELECT doc_id, name, min(pos) AS pos FROM q GROUP BY 1, 2),
+ n AS (SELECT regexp_extract(file_path, '[^/]+$') AS base, count(DISTINCT file_id) AS files, min(file_path) AS best FROM code_chunks GROUP BY 1)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place, name, coalesce(files, 0) AS files, best, CASE WHEN files IS NULL THEN 'not_found' ELSE 'found' END AS state FROM d LEFT JOIN n ON n.base = regexp_extract(d.name, '[^/]+$')""")
+def evidence_in_order(spark, root):
+    """The files a text cites, once each in order of mention, with what is known of files of that name or not_found."""
+    from pyspark.sql import Window
+
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_./-]+\.(?:ts|js|py|go|java)"), F.lit(0)))
+    cited = table(spark, root, "documents").where(F.col("doc_kind").isin("review", "issue")).select("doc_id", F.posexplode(names).alias("k", "name")).withColumn("base", F.substring_index("name", "/", -1))
+    known = table(spark, root, "code_chunks").groupBy(F.substring_index("file_path", "/", -1).alias("base")).agg(F.count_distinct("file_id").alias("files"), F.min("file_path").alias("best"))
+    both = cited.join(known, "base", "left")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("k"))
+    return both.select("doc_id", place.alias("place"), "name", F.coalesce("files", F.lit(0)).alias("files"), "best", F.when(F.col("files").isNull(), "not_found").otherwise("found").alias("state"))
+
+
+@query("""WITH v AS (SELECT repo_id, commit_sha, min(created_at AT TIME ZONE 'UTC') AS made FROM code_chunks WHERE repo_id IS NOT NULL AND commit_sha IS NOT NULL GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY made, commit_sha) AS version, lag(commit_sha) OVER (PARTITION BY repo_id ORDER BY made, commit_sha) AS before FROM v)
+ SELECT repo_id, version, commit_sha, before, version = max(version) OVER (PARTITION BY repo_id) AS current FROM n""")
+def setting_versions(spark, root):
+    """Versions of a value by key in order, each with the one it replaced and whether it holds now: an audit of appended rows."""
+    from pyspark.sql import Window
+
+    rows = table(spark, root, "code_chunks").where("repo_id IS NOT NULL AND commit_sha IS NOT NULL")
+    first = rows.groupBy("repo_id", "commit_sha").agg(F.min(F.col("created_at").cast("timestamp_ntz")).alias("made"))
+    order = Window.partitionBy("repo_id").orderBy("made", "commit_sha")
+    numbered = first.select("repo_id", "commit_sha", F.row_number().over(order).alias("version"), F.lag("commit_sha").over(order).alias("before"), F.lead("commit_sha").over(order).isNull().alias("current"))
+    return numbered.select("repo_id", F.col("version").cast("long").alias("version"), "commit_sha", "before", "current")
