@@ -199,8 +199,7 @@ def test_field_finds_held_out_secrets(corpus):
     assert right / truth >= 0.8 and right / said >= 0.9
 
 
-def test_redaction_keeps_the_rest(spark, corpus):
-    field = C.fit_field(C.training_lines(list(corpus["text"])))
+def test_redaction_keeps_the_rest(spark, field):
     token = "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC2dF4hJ6"
     text = f"const a = 1;\r\nconst apiToken = '{token}';\nconst b = \"x\";"
     frame = spark.createDataFrame([("k", text, 5, "x"), ("n", None, 1, "x"), ("e", "", None, "x"), ("p", 'password: "changeme"', 1, "x")], "id string, t string, line int, redacted string")
@@ -210,16 +209,14 @@ def test_redaction_keeps_the_rest(spark, corpus):
     assert [(r["id"], r["line_no"]) for r in C.found_secrets(frame, "id", "t", "line", field).collect()] == [("k", 6)]
 
 
-def test_private_keys_are_redacted_whole(corpus):
-    field = C.fit_field(C.training_lines(list(corpus["text"])))
+def test_private_keys_are_redacted_whole(field):
     key = "-----BEGIN PRIVATE KEY-----\nMIIabc\nDEFghi=\n-----END PRIVATE KEY-----"
     text = f"const tlsKey = `{key}`;\nnext()"
     spans = C.secrets_of(field, text)
     assert len(spans) == 1 and text[spans[0][1] : spans[0][2]] == key
 
 
-def test_private_keys_go_on_in_the_next_chunks(spark, corpus):
-    field = C.fit_field(C.training_lines(list(corpus["text"])))
+def test_private_keys_go_on_in_the_next_chunks(spark, field):
     body = ["MIIabc" + "aB3d" * 14, "Q1+/" * 16, "x9Yz" * 15]
     rows = [("a1", "A", 1, f"const tlsKey = `-----BEGIN PRIVATE KEY-----\n{body[0]}"), ("a2", "A", 3, f"{body[1]}\n"), ("a3", "A", 5, f"{body[2]}\nDE=\n-----END PRIVATE KEY-----`;\nnext()"), ("a4", "A", 9, body[0])]
     rows += [("b1", "B", 1, rows[0][3].replace("\n", '\\n" +\n"')), ("b2", "B", 3, f'  "{body[1]}\\n"\n  + "-----END PRIVATE KEY-----";\nrun()')]
