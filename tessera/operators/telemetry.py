@@ -15,12 +15,13 @@ def percent(part: Column, whole: Column, digits: int, empty: float = 0.0) -> Col
     return F.when(whole == 0, F.lit(empty)).otherwise(F.round(100.0 * part / whole, digits))
 
 
-def since(df: DataFrame, time: str, days: int) -> DataFrame:
+def since(df: DataFrame, time: str, days: int, of: DataFrame | None = None) -> DataFrame:
     """Rows of the last ``days`` days of the data: after its greatest time less the period.
 
-    The latest time stands for now, so that results don't depend on the clock. Null times are left out.
+    The latest time stands for now, so that results don't depend on the clock; it is that of ``of`` if given, such as the
+    scan below a de-duplicated ``df``. Null times are left out.
     """
-    latest = df.agg((F.max(time) - F.expr(f"INTERVAL {days} DAYS")).alias("from")).select("from")
+    latest = (df if of is None else of).agg((F.max(time) - F.expr(f"INTERVAL {days} DAYS")).alias("from")).select("from")
     return df.where(F.col(time) > latest.scalar())
 
 

@@ -91,7 +91,7 @@ _P = "round(quantile_cont(duration_ms, 0.5), 4) AS p50, round(quantile_cont(dura
 def latency_percentiles(spark, root):
     """Average, exact percentiles and token sums of the last 7 days."""
     tokens = ("prompt_tokens", "completion_tokens", "total_tokens")
-    week = T.since(requests(spark, root, "duration_ms", "created_at", *tokens), "created_at", 7)
+    week = T.since(requests(spark, root, "duration_ms", "created_at", *tokens), "created_at", 7, table(spark, root, "ai_request_metrics"))
     week = week.withColumn("all", F.lit(1))
     stats = week.agg(F.max(F.lit(1)).alias("all"), F.count(F.lit(1)).alias("n"), F.round(F.avg("duration_ms"), 4).alias("average"), *[F.sum(t).alias(t) for t in tokens])
     return T.with_percentiles(stats, week, "all", "duration_ms", (0.5, 0.9, 0.95, 0.99)).drop("all")
@@ -103,7 +103,7 @@ def latency_percentiles(spark, root):
  SELECT *, CASE WHEN last_week IS NULL OR last_week = 0 THEN 0 ELSE round(100.0 * (this_week - last_week) / last_week, 2) END AS delta_pct FROM a""")
 def trend_delta(spark, root):
     """Average of a week against the week before, in one pass."""
-    rows = T.since(requests(spark, root, "source", "duration_ms", "created_at"), "created_at", 14)
+    rows = T.since(requests(spark, root, "source", "duration_ms", "created_at"), "created_at", 14, table(spark, root, "ai_request_metrics"))
     now = table(spark, root, "ai_request_metrics").agg((F.max("created_at") - F.expr("INTERVAL 7 DAYS")).alias("t")).select("t").scalar()
     recent = rows.withColumn("recent", F.col("created_at") > now)
     a = recent.groupBy("source").agg(
@@ -190,7 +190,7 @@ def historical_patterns(spark, root):
 @query(f"SELECT p.org_id, sum(total_tokens)::BIGINT AS tokens FROM {_WEEK} q JOIN repos p USING (repo_id) WHERE p.org_id IS NOT NULL GROUP BY p.org_id HAVING sum(total_tokens) >= 1000")
 def token_spike(spark, root):
     """Organisations whose tokens of the week reach a threshold."""
-    week = T.since(requests(spark, root, "repo_id", "total_tokens", "created_at"), "created_at", 7)
+    week = T.since(requests(spark, root, "repo_id", "total_tokens", "created_at"), "created_at", 7, table(spark, root, "ai_request_metrics"))
     owned = table(spark, root, "repos").where("org_id IS NOT NULL").select("repo_id", "org_id")
     return week.join(owned, "repo_id").groupBy("org_id").agg(F.sum("total_tokens").alias("tokens")).where("tokens >= 1000")
 
@@ -205,7 +205,7 @@ def sustained_flags(spark, root):
 @query(f"SELECT count(*) AS failures FROM {_WEEK} WHERE status <> 'completed' HAVING count(*) >= 1")
 def volume_alert(spark, root):
     """One row if the week's failures reach a threshold, else none."""
-    week = T.since(requests(spark, root, "status", "created_at"), "created_at", 7)
+    week = T.since(requests(spark, root, "status", "created_at"), "created_at", 7, table(spark, root, "ai_request_metrics"))
     return week.where("status <> 'completed'").agg(F.count(F.lit(1)).alias("failures")).where("failures >= 1")
 
 
