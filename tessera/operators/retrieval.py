@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clamp01, cosine, distance
+from tessera.session import spread
 
 
 def usable_vector(v: Column, width: int = 64) -> Column:
@@ -38,13 +39,13 @@ def keyword(df: DataFrame, key: str, text: str, tokens: Sequence[str], k: int) -
     first = F.lit(False)
     for t in tokens:
         first = first | F.contains(F.lower(F.col(text)), F.lit(t))
-    scored = df.where(first).withColumn("score", F.round(lexical_score(F.col(text), tokens), 6)).where("score > 0")
+    scored = spread(df).where(first).withColumn("score", F.round(lexical_score(F.col(text), tokens), 6)).where("score > 0")
     return scored.drop(text).dropDuplicates([key]).orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
 def hybrid(df: DataFrame, key: str, text: str, vector: str, asked: Column, tokens: Sequence[str], k: int, weight: float = 0.7) -> DataFrame:
     """weight * cosine + (1 - weight) * lexical share, over rows that have both a text and a vector."""
-    scored = df.where(usable_vector(F.col(vector)) & F.col(text).isNotNull()).withColumn("asked", asked)
+    scored = spread(df).where(usable_vector(F.col(vector)) & F.col(text).isNotNull()).withColumn("asked", asked)
     lexical = lexical_score(F.col(text), tokens) / max(1, len(tokens))
     score = F.round(weight * cosine(F.col(vector), F.col("asked")) + (1 - weight) * lexical, 6)
     return scored.withColumn("score", score).drop("asked", text, vector).dropDuplicates([key]).orderBy(F.desc("score"), F.asc(key)).limit(k)

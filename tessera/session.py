@@ -45,3 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and continue from there, so a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt over as many tasks as there are cores, where it has fewer splits, such as a table of one row group.
+
+    For work that costs much more than moving its rows once. A scan with enough splits, as every large one has, is left as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
