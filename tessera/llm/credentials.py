@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.models import kept
+from tessera.session import spread
 
 #: Hash buckets of the features.
 FEATURES = 1 << 17
@@ -758,7 +759,7 @@ def _scanned(df: DataFrame, key: str, text: str, file: str | None, first_line: s
     rows = df.select(
         F.col(key).alias("key"), F.col(text).alias("text"), (F.col(file) if file else F.lit(None).cast("string")).alias("file"), (F.col(first_line) if first_line else F.lit(None)).cast("int").alias("first")
     )
-    read = rows.mapInArrow(run, f"key {kinds[0]}, file {kinds[1]}, first int, flag boolean, plain {result}, carried {result}")
+    read = spread(rows).mapInArrow(run, f"key {kinds[0]}, file {kinds[1]}, first int, flag boolean, plain {result}, carried {result}")
     if not file:
         return read.select("key", F.col("plain").alias("found"))
     # a row without file is a group by itself

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import TOKENIZERS, WordBook
+from tessera.session import spread
 
 #: Characters of text that are encoded together.
 BLOCK_CHARS = 24_000_000
@@ -190,7 +191,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k"
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return spread(rows).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 DECODE = """

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import TOKENIZERS, TokenCounts, token_counts
-from tessera.session import cut
+from tessera.session import cut, spread
 
 #: Terms are hashed into this many buckets, which bounds the table of document frequencies.
 BUCKETS = 1 << 18
@@ -64,7 +64,7 @@ def sized(df: DataFrame, key: str, text: str, name: str, folder: str) -> DataFra
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc {kind}, n_tokens long, terms array<int>, often array<int>")
+    return spread(rows).mapInArrow(run, f"doc {kind}, n_tokens long, terms array<int>, often array<int>")
 
 
 def _term_table(counts: TokenCounts):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import TOKENIZERS, TokenCounts, token_counts
+from tessera.session import spread
 
 #: Words under the rolling hash, and its multiplier.
 WINDOW, MULTIPLIER = 12, np.uint64(0x9E3779B97F4A7C15)
@@ -219,4 +220,4 @@ def cut_oversized(df: DataFrame, key: str, text: str, profiles: Sequence[tuple[s
 
     # a token has at least one byte, so shorter texts cannot be oversized
     rows = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.octet_length("text") > smallest)
-    return rows.mapInArrow(run, SCHEMA.format(df.schema[key].dataType.simpleString())).withColumnRenamed("doc", key)
+    return spread(rows).mapInArrow(run, SCHEMA.format(df.schema[key].dataType.simpleString())).withColumnRenamed("doc", key)
