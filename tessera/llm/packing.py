@@ -46,15 +46,12 @@ def sized(df: DataFrame, key: str, text: str, name: str, folder: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = token_counts(folder, name)
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                numbers = [counts.numbers(t) for t in part.column(1).to_pylist()]
-                counts.learn()
+            for first, _, numbers in counts.blocks(batch.column(1), 512):
                 term_of = _term_table(counts)
                 found = [term_of(n) for n in numbers]
                 yield pa.record_batch(
                     [
-                        part.column(0),
+                        batch.column(0).slice(first, len(numbers)),
                         pa.array([int(counts.tokens[n].sum()) for n in numbers], pa.int64()),
                         pa.array([t for t, _ in found], pa.list_(pa.int32())),
                         pa.array([o for _, o in found], pa.list_(pa.int32())),

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 #: Where the public vocabulary files lie; every operator takes it as a parameter.
@@ -93,11 +95,23 @@ class TokenCounts:
         self.extra: dict[str, np.ndarray] = {}
 
     def numbers(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        if self.book.full():
-            self.forget()
-        return self.book.numbers(text)
+        return self.book.numbers(text) if text else np.zeros(0, dtype=np.int32)
+
+    def blocks(self, column: pa.Array, most: int) -> Iterator[tuple[int, list[str | None], list[np.ndarray]]]:
+        """(row, texts, their words as numbers) of blocks of at most ``most`` texts that begin at a row; their tokens are counted.
+
+        A block ends where the book is full, and the book is cleared between blocks only: numbers hold within their block.
+        """
+        for row in range(0, len(column), most):
+            texts, first, found = column.slice(row, most).to_pylist(), 0, []
+            for k, text in enumerate(texts, 1):
+                if not found and self.book.full():
+                    self.forget()
+                found.append(self.numbers(text))
+                if k == len(texts) or self.book.full():
+                    self.learn()
+                    yield row + first, texts[first:k], found
+                    first, found = k, []
 
     def learn(self) -> None:
         """Count the tokens of words not counted yet."""

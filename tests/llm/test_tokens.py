@@ -251,6 +251,21 @@ def test_packing_splits_only_what_exceeds(spark):
     assert pack(frame.limit(0), "doc", "text", [("small", 50)]).count() == 0
 
 
+def more_words_than_a_worker_keeps(spark):
+    """500 texts of 1,000 words each that no other text has."""
+    return spark.range(0, 500, 1, 1).selectExpr("id AS doc", "array_join(transform(sequence(id * 1000, id * 1000 + 999), x -> string(x)), ' ') AS text")
+
+
+def test_sizes_hold_when_the_book_fills_within_a_batch(spark, counts, monkeypatch):
+    monkeypatch.setattr(packing, "spread", lambda rows: rows.coalesce(1))
+    frame = more_words_than_a_worker_keeps(spark)
+    got = {r["doc"]: r for r in packing.sized(frame, "doc", "text", "byte_bpe_50k", W.TOKENIZERS).collect()}
+    assert len(got) == 500
+    for doc, text in frame.collect():
+        assert got[doc]["n_tokens"] == len(counts.encoding.encode_ordinary(text))
+        assert sorted(got[doc]["terms"]) == sorted({t for word in text.split(" ") for t in packing._terms_of(word)})
+
+
 def test_shards_hold_what_retrieves_each_other(spark, monkeypatch):
     """Many small shards: texts of one subject meet, a subject larger than a shard is spread, nothing is lost."""
     monkeypatch.setattr(packing, "SHARD_TOKENS", 400)
