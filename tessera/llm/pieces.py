@@ -202,10 +202,8 @@ def cut_oversized(df: DataFrame, key: str, text: str, profiles: Sequence[tuple[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = token_counts(folder, name)
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                keys, texts = batch.column(0)[first : first + 256].to_pylist(), batch.column(1)[first : first + 256].to_pylist()
-                numbers = [counts.numbers(t) for t in texts]
-                counts.learn()
+            for first, texts, numbers in counts.blocks(batch.column(1), 256):
+                keys = batch.column(0).slice(first, len(texts)).to_pylist()
                 rows: list[tuple] = []
                 for doc, whole, words in zip(keys, texts, numbers, strict=True):
                     total = int(counts.tokens[words].sum())

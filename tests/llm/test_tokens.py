@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import packing
+from tessera.llm import packing, pieces
 from tessera.llm import words as W
 from tessera.llm.encode import ByteEncoder, _byte_letters, decode_corpus, encode_corpus
 from tessera.llm.packing import pack, pack_shard
@@ -266,6 +266,18 @@ def test_sizes_hold_when_the_book_fills_within_a_batch(spark, counts, monkeypatc
         assert sorted(got[doc]["terms"]) == sorted({t for word in text.split(" ") for t in packing._terms_of(word)})
 
 
+def test_pieces_hold_when_the_book_fills_within_a_batch(spark, counts, monkeypatch):
+    monkeypatch.setattr(pieces, "spread", lambda rows: rows.coalesce(1))
+    frame = more_words_than_a_worker_keeps(spark)
+    got = {}
+    for r in sorted(cut_oversized(frame, "doc", "text", [("p", 500, 0)]).collect(), key=lambda r: (r["doc"], r["piece_no"])):
+        got.setdefault(r["doc"], []).append(r)
+    for doc, text in frame.collect():
+        assert "".join(r["text"] for r in got[doc]) == text
+        assert got[doc][-1]["token_end"] == len(counts.encoding.encode_ordinary(text))
+        assert all(len(counts.encoding.encode_ordinary(r["text"])) <= 500 for r in got[doc])
+
+
 def test_shards_hold_what_retrieves_each_other(spark, monkeypatch):
     """Many small shards: texts of one subject meet, a subject larger than a shard is spread, nothing is lost."""
     monkeypatch.setattr(packing, "SHARD_TOKENS", 400)
